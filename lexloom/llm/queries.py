@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import media
+from lexloom.llm import decontaminate, media
 from lexloom.session import table
 
 
@@ -16,9 +16,15 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("media", "frame_offsets")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged against the whole benchmark."""
+    hits = decontaminate.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.judge(hits).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them by name."""
-    return {f.__name__: f for f in (op3_media,)}
+    return {f.__name__: f for f in (op3_media, op7_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
