@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, media
+from lexloom.llm import decontaminate, media, warc
 from lexloom.session import table
 
 
@@ -22,11 +22,25 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(hits).drop("text")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written to archives and read back by byte ranges."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them by name."""
-    return {f.__name__: f for f in (op3_media, op7_decontaminate)}
+    return {f.__name__: f for f in (op3_media, op7_decontaminate, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL expresses."""
-    return {}
+    return {
+        "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT body, min(page_id) AS first_id, count(*) AS k FROM p WHERE n >= 100 GROUP BY body)
+SELECT p.page_id, n AS payload_bytes, sha256(p.body) AS payload_digest,
+  CASE WHEN k > 1 AND first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN k > 1 AND first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to, true AS intact
+FROM p LEFT JOIN g ON p.body = g.body AND p.n >= 100
+""",
+    }
