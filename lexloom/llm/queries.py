@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, media, warc
+from lexloom.llm import decontaminate, media, ngram_join, warc
 from lexloom.session import table
 
 
@@ -22,6 +22,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(hits).drop("text")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 3/4 of their five-word shingles."""
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written to archives and read back by byte ranges."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
@@ -29,7 +34,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them by name."""
-    return {f.__name__: f for f in (op3_media, op7_decontaminate, op10_warc)}
+    return {f.__name__: f for f in (op3_media, op7_decontaminate, op8_ngram_join, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
