@@ -11,9 +11,10 @@ document's component under all links; nothing is approximate but 54-bit hashes o
    with one entry meet nothing, so only the remainder of this prefix becomes a bucket entry.
 3. Products with a pivot. Each bucket's most typical row (fewest lone entries) is its pivot; the overlap of each
    row with its pivots is counted exactly. Pairs at the bound are links; components of these links follow.
-4. Remaining pairs. A pair in one bucket but two components has an overlap of at most
-   min(overlap with the pivot) + min(entries outside the pivot). Only pairs for which this reaches the bound
-   3/7 of both sizes are counted, exactly. A family of near copies thus costs about its size, not its square.
+4. Remaining pairs. In one bucket but two components, a pair's overlap has two parts. Inside the pivot it is at most
+   the pivot's size less what either misses of it; outside, at most what either has there less what the other
+   lacks. Both are bounded by 256-bit signatures: a set bit of one side only is an entry at least. Only
+   pairs for which the sum reaches the bound 3/7 of both sizes are counted, exactly.
 
 Cases: a document with fewer words than n has its whole sequence as one n-gram; null, empty and blank texts have
 none and link with nothing; rows with a null id get their size and a null component and take no part in links; an
@@ -45,8 +46,8 @@ _ENTRY = 8
 
 _PACKED = "block int, chunk long, kind int, data binary"
 _PACKED_TYPES = pa.schema([("block", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-_SETS = "id long, key string, n long, lone long, kept array<long>, counts array<int>"
-_SETS_TYPES = pa.schema([("id", pa.int64()), ("key", pa.string()), ("n", pa.int64()), ("lone", pa.int64()), ("kept", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+_SETS = "id long, key string, n long, lone long, kept array<long>"
+_SETS_TYPES = pa.schema([("id", pa.int64()), ("key", pa.string()), ("n", pa.int64()), ("lone", pa.int64()), ("kept", pa.list_(pa.int64()))])
 _HEADER = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<i8"), ("key", "S32")])
 
 
@@ -148,11 +149,19 @@ def _scan_sets(sets: DataFrame, bits: int) -> DataFrame:
     return sets.select("id", "key", "n", "kept").mapInArrow(run, _PACKED)
 
 
-def _column_block(key: tuple, table: pa.Table) -> pa.Table:
-    """Of a block's entries those whose column has two or more, with the column's count."""
+def _column_block(counting: bool):
+    """Of a block's entries those whose column has two or more, with the column's count where it is asked for."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return _many(key[0].as_py(), table, counting)
+
+    return run
+
+
+def _many(block: int, table: pa.Table, counting: bool) -> pa.Table:
     kinds = table.column("kind").to_numpy()
     chunks, data = table.column("chunk").to_pylist(), table.column("data")
-    out = [{"block": key[0].as_py(), "chunk": chunks[i], "kind": 1, "data": data[i].as_py()} for i in np.flatnonzero(kinds == 1).tolist()]
+    out = [{"block": block, "chunk": chunks[i], "kind": 1, "data": data[i].as_py()} for i in np.flatnonzero(kinds == 1).tolist()]
     lists = np.flatnonzero(kinds == 0).tolist()
     if lists:
         parts = [np.frombuffer(data[i].as_buffer(), dtype=np.uint64) for i in lists]
@@ -169,12 +178,12 @@ def _column_block(key: tuple, table: pa.Table) -> pa.Table:
             own = counts[at : at + part.size]
             many = own > 1
             if many.any():
-                out.append({"block": key[0].as_py(), "chunk": chunks[i], "kind": 0, "data": part[many].tobytes() + own[many].tobytes()})
+                out.append({"block": block, "chunk": chunks[i], "kind": 0, "data": part[many].tobytes() + (own[many].tobytes() if counting else b"")})
             at += part.size
     return pa.Table.from_pylist(out, _PACKED_TYPES)
 
 
-def _assemble(bits: int, percent: int):
+def _assemble(bits: int, percent: int, counting: bool):
     """Joins what the blocks sent back to a chunk: a row for each text, entries only where it can reach a bound."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -187,11 +196,11 @@ def _assemble(bits: int, percent: int):
             if kind == 1:
                 header = np.frombuffer(raw, dtype=_HEADER)
                 continue
-            size = len(raw) // (_ENTRY + 4)
+            size = len(raw) // (_ENTRY + 4 * counting)
             entries = np.frombuffer(raw, dtype=np.uint64, count=size)
             rows.append((entries & np.uint64(0xFFFF)).astype(np.int64))
             hs.append((entries >> np.uint64(16)) << np.uint64(16 - bits) | np.uint64(block << 64 - bits))
-            counts.append(np.frombuffer(raw, dtype=np.uint32, offset=size * _ENTRY).astype(np.int32))
+            counts.append(np.frombuffer(raw, dtype=np.uint32, offset=size * _ENTRY).astype(np.int32) if counting else np.zeros(size, np.int32))
         if header is None:
             return pa.Table.from_pylist([], _SETS_TYPES)
         h, row, count = map(np.concatenate, (hs, rows, counts))
@@ -203,11 +212,10 @@ def _assemble(bits: int, percent: int):
         offsets = np.concatenate([[0], np.cumsum(np.where(alive, kept, 0))])
         mask = pa.array(~alive)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[order].view(np.int64)), mask=mask)
-        numbers = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(count[order]), mask=mask)
         return pa.Table.from_arrays(
             [
                 pa.array(header["id"], mask=header["null"] == 1), pa.array([k.decode() for k in header["key"].tolist()]), pa.array(header["n"]),
-                pa.array(header["n"] - kept), lists, numbers,
+                pa.array(header["n"] - kept), lists,
             ],
             schema=_SETS_TYPES,
         )
@@ -215,10 +223,10 @@ def _assemble(bits: int, percent: int):
     return run
 
 
-def _product(packed: DataFrame, bits: int, percent: int) -> DataFrame:
-    """Rows of _SETS after one exchange with the column blocks. kept is sorted by (count, hash), null for rows that are done."""
-    kept = packed.groupBy("block").applyInArrow(_column_block, _PACKED)
-    return kept.groupBy("chunk").applyInArrow(_assemble(bits, percent), _SETS)
+def _product(packed: DataFrame, bits: int, percent: int, counting: bool) -> DataFrame:
+    """Rows of _SETS after one exchange with the column blocks. kept is null for rows that are done, else sorted by hash, where counting by (count, hash)."""
+    kept = packed.groupBy("block").applyInArrow(_column_block(counting), _PACKED)
+    return kept.groupBy("chunk").applyInArrow(_assemble(bits, percent, counting), _SETS)
 
 
 def _bits(entries: float) -> int:
@@ -249,12 +257,24 @@ def connected(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def _overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs (a, b) with both sizes, both numbers of kept entries, and the overlap."""
+def _signature(array: str) -> str:
+    """SQL of the entries' 256-bit signature: an array of four longs."""
+    spot = "pmod(shiftright(h, 20), 256)"
+    words = (f"aggregate(filter({array}, h -> {spot} div 64 = {w}), 0L, (s, h) -> s | shiftleft(1L, cast({spot} % 64 AS int)))" for w in range(4))
+    return f"array({', '.join(words)})"
+
+
+def _bits_of(left: str, right: str, sign: str) -> F.Column:
+    """Bits of one signature combined with the other."""
+    return F.expr(" + ".join(f"bit_count({left}[{w}] {sign}{right}[{w}])" for w in range(4)))
+
+
+def _overlaps(pairs: DataFrame, rows: DataFrame, *more: F.Column) -> DataFrame:
+    """pairs (a, b) with both sizes, both numbers of kept entries, and the overlap; more: of ka and kb, the kept entries."""
     left = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("kept").alias("ka"))
     right = rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("kept").alias("kb"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", "na", "nb", F.size("ka").alias("sa"), F.size("kb").alias("sb"), F.size(F.array_intersect("ka", "kb")).alias("overlap"))
+    return both.select("a", "b", "na", "nb", F.size("ka").alias("sa"), F.size("kb").alias("sb"), F.size(F.array_intersect("ka", "kb")).alias("overlap"), *more)
 
 
 def _linked(overlaps: DataFrame, percent: int) -> DataFrame:
@@ -268,40 +288,47 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = _bits(chars / 5)
-    sets, _ = materialise(_product(_scan_texts(texts, n, bits), bits, percent), "sets")
+    sets, _ = materialise(_product(_scan_texts(texts, n, bits), bits, percent, counting=False), "sets")
 
     # Equal word sequences are one row; its id is the smallest.
     once = sets.where("kept IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "n", "kept")).alias("r")).select("r.id", "key", "r.n", "r.kept")
-    rows, first_path = materialise(_product(_scan_sets(once, bits), bits, percent).where("kept IS NOT NULL"), "rows")
+    rows, first_path = materialise(_product(_scan_sets(once, bits), bits, percent, counting=True).where("kept IS NOT NULL"), "rows")
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - F.col("lone")
     entries = rows.where(prefix > 0).select("id", "n", F.size("kept").alias("size"), (F.col("lone") / F.col("n")).alias("lone"), F.explode(F.slice("kept", 1, prefix.cast("int"))).alias("h"))
     buckets = entries.groupBy("h").agg(F.min_by("id", F.struct("lone", "id")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
     filled, filled_path = materialise(entries.drop("lone").join(buckets.drop("members"), "h"), "buckets")
 
     pairs = filled.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    counted, counted_path = materialise(_overlaps(pairs, rows), "pivots")
+    signs = F.expr(_signature("array_except(kb, ka)")).alias("missing"), F.expr(_signature("array_except(ka, kb)")).alias("outside")
+    counted, counted_path = materialise(_overlaps(pairs, rows, *signs), "pivots")
     near = _linked(counted, percent)
     first = connected(near)
 
     # What is left: pairs of one bucket in two components whose bound is in reach.
-    to_pivot = counted.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "overlap")
+    to_pivot = counted.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "overlap", F.col("sb").alias("whole"))
     placed = filled.join(to_pivot, ["id", "pivot"], "left").join(first, "id", "left")
-    placed = placed.select("h", "id", "n", F.coalesce("component", "id").alias("c"), F.when(F.col("id") == F.col("pivot"), F.col("size")).otherwise(F.col("overlap")).alias("o"), "size")
+    own = F.col("id") == F.col("pivot")
+    placed = placed.select("h", "id", "pivot", "n", F.coalesce("component", "id").alias("c"), F.when(own, F.col("size")).otherwise(F.col("overlap")).alias("o"), F.when(own, F.col("size")).otherwise(F.col("whole")).alias("whole"), "size")
     placed = placed.withColumn("rest", F.col("size") - F.col("o"))
     placed, placed_path = materialise(placed, "placed")
     by_component = placed.groupBy("h", "c").agg(F.count("*").alias("k"), F.max("rest").alias("rest"))
     mixed = by_component.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.max("rest").alias("most")).where("parts > 1")
-    open_rows = placed.join(mixed.select("h", "main", "most"), "h")
-    reach = 100 * (F.col("o") + F.least("rest", "most")) >= percent * F.col("n")
-    minor = open_rows.where(reach & (F.col("c") != F.col("main"))).select("h", *(F.col(x).alias(f"{x}a") for x in ("id", "n", "c", "o", "rest")))
-    every = open_rows.where(reach).select("h", *(F.col(x).alias(f"{x}b") for x in ("id", "n", "c", "o", "rest")))
-    bound = F.least("oa", "ob") + F.least("resta", "restb")
+    open_rows = placed.join(mixed.select("h", "main", "most"), "h").where(100 * (F.col("o") + F.least("rest", "most")) >= percent * F.col("n"))
+    marks = counted.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "missing", "outside")
+    none = F.array(*[F.lit(0).cast("long")] * 4)
+    open_rows = open_rows.join(marks, ["id", "pivot"], "left").withColumns({x: F.coalesce(x, none) for x in ("missing", "outside")})
+    open_rows, open_path = materialise(open_rows, "open")
+    fields = ("id", "n", "c", "rest", "missing", "outside")
+    minor = open_rows.where("c != main").select("h", "whole", *(F.col(x).alias(f"{x}a") for x in fields))
+    every = open_rows.select("h", *(F.col(x).alias(f"{x}b") for x in fields))
+    inside = F.col("whole") - _bits_of("missinga", "missingb", "| ")
+    bound = inside + F.least(F.col("resta") - _bits_of("outsidea", "outsideb", "& ~"), F.col("restb") - _bits_of("outsideb", "outsidea", "& ~"))
     left = minor.join(every, "h").where((F.col("ca") != F.col("cb")) & ((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))))
     left = left.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
     late, late_path = materialise(_linked(_overlaps(left, rows), percent), "links")
     links = near.union(late).union(first.select(F.col("id").alias("a"), F.col("component").alias("b")))
     found, _ = materialise(connected(links) if late.take(1) else first, "components")
-    for path in (first_path, filled_path, counted_path, placed_path, late_path):
+    for path in (first_path, filled_path, counted_path, placed_path, open_path, late_path):
         remove(spark, path)
 
     groups = sets.where("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("id").alias("id"))
