@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, media, ngram_join, warc
+from lexloom.llm import decontaminate, media, ngram_join, secrets, warc
 from lexloom.session import table
 
 
@@ -27,6 +27,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document."""
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written to archives and read back by byte ranges."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
@@ -34,7 +39,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them by name."""
-    return {f.__name__: f for f in (op3_media, op7_decontaminate, op8_ngram_join, op10_warc)}
+    return {f.__name__: f for f in (op3_media, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
