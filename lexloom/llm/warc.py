@@ -75,7 +75,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     base = base.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.length("payload").cast("long")})
     groups = base.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = base.join(groups, "payload_digest", "left")
+    out = base.join(groups.hint("shuffle_hash"), "payload_digest", "left")  # no sort of the pages: their rows are large
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     return out.select(
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", F.when(revisit, F.col("first_id")).alias("refers_to")
@@ -153,8 +153,8 @@ _EDGE_FIELDS = [("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()
 class _Range:
     """The pieces of one byte range, in order: whole records, and what is left for the neighbours."""
 
-    def __init__(self, file: str, block: int):
-        self.file, self.block, self.seq = file, block, 0
+    def __init__(self, file: str, block: int, with_payload: bool = True):
+        self.file, self.block, self.seq, self.with_payload = file, block, 0, with_payload
         self.pending: list[bytes] = []
         self.edges: list[dict] = []
 
@@ -169,7 +169,7 @@ class _Range:
             try:
                 found = decode(joined)
                 self.pending = []
-                return [_row(found)] if found else []
+                return self._rows(found)
             except Incomplete:
                 pass
             except ValueError:
@@ -192,7 +192,13 @@ class _Range:
         for x in self.pending:
             self._edge(x)
         self.pending = []
-        return [_row(found)] if found else []
+        return self._rows(found)
+
+    def _rows(self, found: dict | None) -> list[dict]:
+        row = _row(found) if found else None
+        if row and not self.with_payload:
+            row["payload"] = None
+        return [row] if row else []
 
     def close(self) -> list[dict]:
         for x in self.pending:
@@ -218,34 +224,30 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             for piece, file, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at is None or (at.file, at.block) != (file, block):
                     edges += at.close() if at else []
-                    at = _Range(file, block)
+                    at = _Range(file, block, with_payload)
                 if piece:  # what stands before the first magic of a file
                     rows += at.add(MAGIC + piece)
             edges += at.edges if at else []
             if at:
                 at.edges = []
-            yield _batch(rows, edges, with_payload)
+            yield _batch(rows, edges)
         if at:
-            yield _batch([], at.close(), with_payload)
+            yield _batch([], at.close())
 
     both, _ = materialise(raw.mapInArrow(run, f"{READ}, {_EDGE}"), "records")  # read twice below, decoded once
     whole = both.where("file IS NULL").select(*(n for n, _ in _FIELDS))
     rest = both.where("file IS NOT NULL").select("file", "block", "seq", "piece")
 
     def stitch(table: pa.Table) -> pa.Table:
-        at, rows = _Range("", 0), []
+        at, rows = _Range("", 0, with_payload), []
         for r in sorted(table.to_pylist(), key=lambda r: (r["block"], r["seq"])):
             rows += at.add(r["piece"])
-        rows = rows if with_payload else [r | {"payload": None} for r in rows]
         return pa.Table.from_pylist(rows, pa.schema(_FIELDS))
 
     return whole.unionByName(rest.groupBy("file").applyInArrow(stitch, READ))
 
 
-def _batch(rows: list[dict], edges: list[dict], with_payload: bool) -> pa.RecordBatch:
-    if not with_payload:
-        for r in rows:
-            r["payload"] = None
+def _batch(rows: list[dict], edges: list[dict]) -> pa.RecordBatch:
     every = rows + edges
     return pa.RecordBatch.from_pylist([{n: None for n, _ in (*_FIELDS, *_EDGE_FIELDS)} | r for r in every], pa.schema([*_FIELDS, *_EDGE_FIELDS]))
 
