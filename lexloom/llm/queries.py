@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, media, ngram_join, secrets, warc
+from lexloom.llm import decontaminate, media, ngram_join, packing, secrets, warc
 from lexloom.session import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed in sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an MPEG audio stream, read back."""
     out = media.encode_media(table(spark, sf_dir, "documents"), keep_media=False)
@@ -39,7 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them by name."""
-    return {f.__name__: f for f in (op3_media, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)}
+    return {f.__name__: f for f in (op2_packing, op3_media, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
