@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, media, ngram_join, packing, secrets, warc
+from lexloom.llm import decontaminate, media, ngram_join, packing, secrets, toxicity, warc
 from lexloom.session import table
 
 
@@ -21,6 +22,14 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("media", "frame_offsets")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; labels are learned where crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.crc_mod("doc_id", 3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged against the whole benchmark."""
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -44,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them by name."""
-    return {f.__name__: f for f in (op2_packing, op3_media, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)}
+    return {f.__name__: f for f in (op2_packing, op3_media, op4_toxicity, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
