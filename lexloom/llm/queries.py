@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, media, ngram_join, packing, secrets, toxicity, warc
+from lexloom.llm import decontaminate, language, media, ngram_join, packing, secrets, toxicity, warc
 from lexloom.session import table
 
 
@@ -30,6 +30,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; profiles are learned where crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = toxicity.crc_mod("doc_id", 4) == 2
+    profiles = language.train(docs, ~held_out)
+    return language.identify(docs.drop("lang"), profiles).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged against the whole benchmark."""
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -53,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them by name."""
-    return {f.__name__: f for f in (op2_packing, op3_media, op4_toxicity, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)}
+    return {f.__name__: f for f in (op2_packing, op3_media, op4_toxicity, op5_language, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
