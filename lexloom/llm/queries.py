@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, language, media, ngram_join, packing, secrets, toxicity, warc
+from lexloom.llm import decontaminate, language, media, ngram_join, packing, pii, secrets, toxicity, warc
 from lexloom.session import table
 
 
@@ -38,6 +38,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), profiles).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find_pii(docs, pii.train(docs))).drop("text")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged against the whole benchmark."""
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -61,7 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them by name."""
-    return {f.__name__: f for f in (op2_packing, op3_media, op4_toxicity, op5_language, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)}
+    return {f.__name__: f for f in (op2_packing, op3_media, op4_toxicity, op5_language, op6_pii, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
