@@ -344,7 +344,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     """
     keep = docs.columns
     found = components(docs, text_col, id_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    out = docs.join(found, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi").select(*keep)
+    out = docs.join(found.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_keep")), "left_semi").select(*keep)
     nulls = docs.where(F.col(id_col).isNull())
     repeated = docs.groupBy(id_col).count().where(f"count > 1 AND `{id_col}` IS NOT NULL").take(1)
     return (out.dropDuplicates([id_col]) if repeated else out).unionByName(nulls)

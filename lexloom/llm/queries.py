@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, language, media, ngram_join, packing, pii, secrets, toxicity, warc
+import corpus_pipeline
+from lexloom.llm import chat, decontaminate, language, media, ngram_join, packing, pii, secrets, toxicity, warc
 from lexloom.session import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, read back from their prefix trees."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    return chat.read_trees(chat.format_trees(rows.unionByName(own)))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed in sequences of 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -67,7 +75,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them by name."""
-    return {f.__name__: f for f in (op2_packing, op3_media, op4_toxicity, op5_language, op6_pii, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)}
+    return {f.__name__: f for f in (op1_chat, op2_packing, op3_media, op4_toxicity, op5_language, op6_pii, op7_decontaminate, op8_ngram_join, op9_secrets, op10_warc)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

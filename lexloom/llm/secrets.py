@@ -51,6 +51,7 @@ ADDED = (
     Rule("stripe", "[sr]k_(live|test)_[A-Za-z0-9]+", least=24),
 )
 RULES = BASE + ADDED
+MARK = "[SECRET]"
 
 
 class Scanner:
@@ -150,7 +151,7 @@ def digest(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
     return found.withColumns(counts | {"base_sha256": F.sha2(join(own), 256), "spans": join(F.col("secrets"))}).drop("secrets")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every secret in the text replaced by a mark; overlapping spans by one. Other texts are unchanged."""
     keep, text = docs.columns, F.col(text_col)
     merged = F.aggregate(
