@@ -53,8 +53,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Words(dict):
+    """Ids of words as bytes; a word that is not there is asked for and kept. Full, it begins anew."""
+
+    def __init__(self, path: str, most: int):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__()
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        found = self.model.tokenize(word if word.isascii() and word.isprintable() else self.to_bytes(word)[0][0])
+        ids = self[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return ids
+
+
 class WordTokenizer:
-    """Ids of a text as little-endian bytes, by word, with the tokenizer asked once for each new word.
+    """Ids of a text as little-endian bytes, by word, with the model asked once for each new word.
 
     The tokenizer normalises (NFC, lower case), splits in words and encodes each word by itself, so the ids of a text
     are those of its words. Texts for which that does not hold letter by letter (not in NFC; Σ and İ, whose
@@ -62,36 +81,18 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words = cache_words
-        self.words: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.words = _Words(path, cache_words)
 
     def whole(self, text: str) -> bytes:
         """The tokenizer's own answer."""
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        ids = self.words.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of text."""
         if not text.isascii() and (not unicodedata.is_normalized("NFC", text) or "Σ" in text or "İ" in text) or "<|" in text:
             return self.whole(text)
-        words = _SPLIT.findall(text.lower())
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > self.cache_words:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = self._pack(e.ids)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text.lower())))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
