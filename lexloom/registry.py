@@ -10,7 +10,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("terms", "qa")
+MODULES = ("terms", "qa", "story")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
