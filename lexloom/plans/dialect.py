@@ -16,8 +16,8 @@ from lexloom.plans import fixtures as fx
 from lexloom.session import table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-_SPARK = {"RLIKE(": "regexp_like(", "SIZE(": "size(", "FILTER(": "filter(", "MAP(": "transform(", "HAS(": "array_contains(", "ARR(": "array(", "EXPLODE(": "explode(", " DIV ": " DIV ", "SPLIT(": "split(", "ITEM(": "try_element_at(", "DISTINCT_OF(": "array_distinct(", "CONCAT_OF(": "concat(", "SLICE(": "slice(", "STRPOS(": "instr("}
-_DUCK = {"RLIKE(": "regexp_matches(", "SIZE(": "len(", "FILTER(": "list_filter(", "MAP(": "list_transform(", "HAS(": "list_contains(", "ARR(": "list_value(", "EXPLODE(": "unnest(", " DIV ": " // ", "SPLIT(": "string_split(", "ITEM(": "list_extract(", "DISTINCT_OF(": "list_distinct(", "CONCAT_OF(": "list_concat(", "SLICE(": "list_slice(", "SHA256(": "sha256(", "STRPOS(": "strpos("}
+_SPARK = {"RLIKE(": "regexp_like(", "SIZE(": "size(", "FILTER(": "filter(", "MAP(": "transform(", "HAS(": "array_contains(", "ARR(": "array(", "EXPLODE(": "explode(", " DIV ": " DIV ", "SPLIT(": "split(", "ITEM(": "try_element_at(", "DISTINCT_OF(": "array_distinct(", "CONCAT_OF(": "concat(", "sequence(": "sequence(", "SLICE(": "slice(", "STRPOS(": "instr(", "array_to_string(": "array_join("}
+_DUCK = {"RLIKE(": "regexp_matches(", "SIZE(": "len(", "FILTER(": "list_filter(", "MAP(": "list_transform(", "HAS(": "list_contains(", "ARR(": "list_value(", "EXPLODE(": "unnest(", " DIV ": " // ", "SPLIT(": "string_split(", "ITEM(": "list_extract(", "DISTINCT_OF(": "list_distinct(", "CONCAT_OF(": "list_concat(", "sequence(": "generate_series(", "SLICE(": "list_slice(", "SHA256(": "sha256(", "STRPOS(": "strpos("}
 #: Fixtures in SQL of this dialect, in an order in which each names earlier ones only.
 VIEWS: dict[str, str] = {}
 _FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -36,18 +36,26 @@ def _swap(sql: str, words: dict[str, str]) -> str:
 
 
 def to_spark(sql: str) -> str:
-    """The query as Spark reads it; views get a prefix."""
-    sql = re.sub(r"SHA256\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", sql)
+    """The query as Spark reads it; views get a prefix. Parentheses in an argument of SHA256 are balanced."""
+    while (at := sql.find("SHA256(")) >= 0:
+        end, depth = at + 7, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}sha2({sql[at + 7 : end - 1]}, 256){sql[end:]}"
     sql = re.sub(r"LISTAGG\[(.*?);(.*?);(.*?)\]", r"listagg(\1, \2) WITHIN GROUP (ORDER BY \3)", sql, flags=re.S)
     sql = _swap(sql.replace(" RXR)", ")").replace("RXR(", "regexp_replace(").replace("R'", "r'"), _SPARK)
     names = "|".join([*TABLES, *_FRAMES, *VIEWS])
-    return re.sub(rf"\b(FROM|JOIN|,) ({names})\b(?! AS \()(?!\.)(?=\s|\)|,|$)", lambda m: f"{m[1]} lx_{m[2]} {m[2]}" if m[1] != "," else m[0], sql)
+    return re.sub(rf"\b(FROM|JOIN) ({names})\b", r"\1 lx_\2", sql)
 
 
 def to_duck(sql: str) -> str:
     """The query as DuckDB reads it, without the fixtures."""
     sql = re.sub(r"LISTAGG\[(.*?);(.*?);(.*?)\]", r"string_agg(\1, \2 ORDER BY \3)", sql, flags=re.S)
     sql = sql.replace(" RXR)", ", 'g')").replace("RXR(", "regexp_replace(").replace("R'", "'")
+    sql = re.sub(r"\$([0-9])", r"\\\1", sql).replace(", 'utf-8')", ")")
+    sql = re.sub(r"regexp_count\(([^,]+), ", r"len(regexp_extract_all(\1, ", sql).replace(") AS BIGINT) AS headings", ")) AS BIGINT) AS headings").replace(") AS BIGINT) AS paragraphs", ")) AS BIGINT) AS paragraphs").replace(") AS BIGINT) AS items", ")) AS BIGINT) AS items")
+    sql = sql.replace("get(tw, i - 1) = get(tw, i) AND length(get(tw, i)) > 1", "tw[i] = tw[i + 1] AND length(tw[i + 1]) > 1")  # lists count from 1 there
     return re.sub(r"\b(\w+) -> ", r"lambda \1: ", _swap(sql, _DUCK))
 
 

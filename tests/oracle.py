@@ -65,8 +65,14 @@ def main(names, sf_dir="/root/testdata/sf0.01"):
     con = connect(sf_dir)
     queries, oracles = registry.queries(), registry.oracle_sql()
     bad = 0
+    chosen = set()
+    for n in names:
+        if n in registry.MODULES:
+            from importlib import import_module
+
+            chosen |= set(import_module(f"lexloom.plans.{n}").QUERIES)
     for name, query in queries.items():
-        if names and not any(name.startswith(n) or getattr(query, "__module__", "").endswith("." + n) for n in names):
+        if names and name not in chosen and name not in names:
             continue
         t = time.time()
         try:
