@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexloom.llm import chat, decontaminate, language, media, ngram_join, packing, pii, secrets, toxicity, warc
+from lexloom.llm import chat, decontaminate, language, media, ngram_join, oracles, packing, pii, secrets, toxicity, warc
 from lexloom.session import table
 
 
@@ -16,7 +16,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, read back from their prefix trees."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    return chat.read_trees(chat.format_trees(rows.unionByName(own)))
+    return chat.read_trees(chat.format_trees(rows.unionByName(own))).drop("n_tokens")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL expresses."""
-    return {
-        "op10_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
-g AS (SELECT body, min(page_id) AS first_id, count(*) AS k FROM p WHERE n >= 100 GROUP BY body)
-SELECT p.page_id, n AS payload_bytes, sha256(p.body) AS payload_digest,
-  CASE WHEN k > 1 AND first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN k > 1 AND first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to, true AS intact
-FROM p LEFT JOIN g ON p.body = g.body AND p.n >= 100
-""",
-    }
+    return {"op1_chat": oracles.CHAT, "op7_decontaminate": oracles.DECONTAMINATE, "op8_ngram_join": oracles.NGRAM_JOIN, "op10_warc": oracles.WARC}
