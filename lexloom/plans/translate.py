@@ -88,7 +88,7 @@ ENTRIES = {
     "count_segments": ("Segments in all and translated.", "SELECT lang, count(*) AS total, sum(CASE WHEN status = 'translated' THEN 1 ELSE 0 END) AS translated FROM segments GROUP BY lang"),
     "checkpoint": ("Latest checkpoint of each project.", "SELECT user_id, max(event_id) AS event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1 GROUP BY user_id"),
     "resume_report": ("What a run would take up.", "SELECT chapter, count(*) AS total, sum(CASE WHEN status IN ('pending', 'error') THEN 1 ELSE 0 END) AS pending FROM segments GROUP BY chapter"),
-    "tm_exact_shortcut": ("Lines that begin a locked entry and are translated by it.", "SELECT l.doc_id, l.line_no, t.tm_id FROM lines l JOIN tm t ON t.locked AND l.line = split_part(t.source_term, chr(10), 1) AND l.line <> ''"),
+    "tm_exact_shortcut": ("Texts that a locked entry translates as a whole.", "SELECT b.item_id, t.tm_id FROM benchmark b JOIN tm t ON t.locked AND b.text = t.source_term"),
     "glossary_enforce": ("Targets with left-over terms replaced in order.", "SELECT doc_id, replace(replace(target, 'Count', 'Conde'), 'Earl', 'Conde') AS target FROM segments WHERE contains(target, 'Count')"),
     "dialogue_dash": ("Leading quotes as dashes.", "SELECT doc_id, RXR(target, R'^[\"“]', '— ' RXR) AS target FROM segments WHERE RLIKE(target, R'^[\"“]')"),
     **{f"rank_{k}": (f"Score of candidates: {k}.", f"SELECT doc_id, cand, round({c}, 6) AS score FROM scored") for k, c in (("fidelity", "fidelity"), ("naturalness", "naturalness"), ("terminology", "terminology"), ("consistency", "consistency"), ("character", "character_score"), ("style", "style"), ("fluency", "fluency"))},

@@ -63,7 +63,9 @@ def main(names, sf_dir="/root/testdata/sf0.01"):
     spark = get_spark("oracle", cpus=4, shuffle_partitions=4)
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
-    queries, oracles = registry.queries(), registry.oracle_sql()
+    import __spark_entry__ as entry
+
+    queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     chosen = set()
     for n in names:
