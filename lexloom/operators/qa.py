@@ -63,7 +63,7 @@ def months(df: DataFrame, keys=KEYS) -> DataFrame:
     """Months of the source that the target lacks."""
     table = F.array(*[F.struct(F.lit(e).alias("en"), F.lit(p).alias("pt"), F.lit(any_of([e])).alias("a"), F.lit(any_of([p])).alias("b")) for e, p in d.MONTHS.items()])
     rows = df.select(*keys, F.lower("source").alias("s"), F.lower("target").alias("t"), F.explode(table).alias("m"))
-    rows = rows.where(F.rlike("s", F.col("m.a")) & ~F.rlike("t", F.col("m.b")))
+    rows = rows.where(F.col("s").contains(F.col("m.en")) & F.rlike("s", F.col("m.a")) & ~F.rlike("t", F.col("m.b")))
     return rows.select(*keys, F.lit("date_mismatch").alias("check"), F.lit(REVIEW).alias("severity"), F.col("m.en").alias("found"), F.col("m.pt").alias("fix"))
 
 
@@ -106,6 +106,7 @@ def measures(df: DataFrame, keys=KEYS) -> DataFrame:
     """Measures left in English (safe), or missing (suggested)."""
     table = F.array(*[F.struct(F.lit(e).alias("en"), F.lit(p).alias("pt"), F.lit(rf"([0-9]+(?:[.,][0-9]+)?)\s+{e}(?:$|{NON_WORD})").alias("a")) for e, p in d.UNITS.items()])
     rows = df.select(*keys, F.lower("source").alias("s"), F.lower("target").alias("t"), F.explode(table).alias("u"))
+    rows = rows.where(F.col("s").contains(F.col("u.en")))  # a plain search before a pattern of a column
     rows = rows.select("*", F.explode(F.regexp_extract_all("s", "u.a", F.lit(1))).alias("value"))
     words = F.concat(F.lit(" "), F.regexp_replace("t", r"[^\p{L}\p{N}_.,]+", " "), F.lit(" "))
     left = words.contains(F.concat(F.lit(" "), "value", F.lit(" "), "u.en"))
@@ -147,8 +148,9 @@ def citations(df: DataFrame, keys=KEYS) -> DataFrame:
 
 def locked_terms(df: DataFrame, terms: DataFrame, keys=KEYS) -> DataFrame:
     """Locked terms left in the source's language (safe) or missing in the target (review)."""
-    rows = df.join(F.broadcast(terms.where("locked").select("term", "target_term")), has_term(F.col("source"), F.col("term")))
-    left = has_term(F.col("target"), F.col("term")) & (F.lower("term") != F.lower("target_term"))
+    there = F.lower("source").contains(F.lower("term"))  # a plain search before a pattern of a column
+    rows = df.join(F.broadcast(terms.where("locked").select("term", "target_term")), there & has_term(F.col("source"), F.col("term")))
+    left = F.lower("target").contains(F.lower("term")) & has_term(F.col("target"), F.col("term")) & (F.lower("term") != F.lower("target_term"))
     rows = rows.withColumn("severity", F.when(left, SAFE).when(~has_term(F.col("target"), F.col("target_term")), REVIEW)).where("severity IS NOT NULL")
     return rows.select(*keys, F.lit("locked_term_violation").alias("check"), "severity", F.col("term").alias("found"), F.col("target_term").alias("fix"))
 
