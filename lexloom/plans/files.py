@@ -106,7 +106,7 @@ def process_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (words(joined) == words(F.col("text"))).alias("whole"))
 
 
-def sem_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sem_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each vector to the next, by their dot product."""
     rows = table(spark, sf_dir, "embeddings")
     nxt = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
@@ -118,9 +118,9 @@ def sem_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / (norm("a") * norm("b")))), 4).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (src_html_units, sink_txt, norm_newlines_unicode, norm_parser_nfc, src_encoding, chunk_greedy, group_short_paragraphs, segment_chapter, process_document, sem_encode)} | {"sink_docx": _round_trip("docx"), "src_docx": _round_trip("docx"), "sink_epub": _round_trip("epub"), "src_epub": _round_trip("epub")}
+QUERIES = {f.__name__: f for f in (src_html_units, sink_txt, norm_newlines_unicode, norm_parser_nfc, src_encoding, chunk_greedy, group_short_paragraphs, segment_chapter, process_document, sem_cosine)} | {"sink_docx": _round_trip("docx"), "src_docx": _round_trip("docx"), "sink_epub": _round_trip("epub"), "src_epub": _round_trip("epub")}
 ORACLES = {k: _sql_trip(k.split("_")[1]) for k in ("sink_docx", "src_docx", "sink_epub", "src_epub")} | {
     "src_encoding": "SELECT doc_id, true AS same FROM documents",
     "process_document": "SELECT doc_id, true AS whole FROM documents",
-    "sem_encode": "SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 4) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "sem_cosine": "SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 4) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
 }

@@ -113,11 +113,12 @@ BODY = {
       UNION ALL SELECT doc_id, 'duplication_detected', 'suggested_fix', s[i], NULL FROM (SELECT doc_id, s, unnest(generate_series(1, len(s) - 1)) AS i FROM (SELECT doc_id, list_transform({_SENT.format(t='target')}, lambda x: lower(x)) AS s FROM pairs)) WHERE s[i] = s[i + 1] AND length(s[i]) >= 15""",
     "qa_names": """SELECT doc_id, 'proper_name_inconsistency' AS check, CASE WHEN near <> '' THEN 'suggested_fix' ELSE 'review_required' END AS severity, near AS found, name AS fix FROM (
       SELECT doc_id, target, name, regexp_extract(lower(target), concat(string_split(lower(name), ' ')[1], '\\s+[a-z]{3,}')) AS near FROM pairs, characters
-      WHERE length(name) >= 3 AND contains(lower(source), lower(name)) AND NOT contains(lower(target), lower(name))) WHERE near <> '' OR NOT contains(lower(target), string_split(lower(name), ' ')[-1])""",
+      WHERE length(name) >= 3 AND HAS_NAME AND NOT contains(lower(target), lower(name))) WHERE near <> '' OR NOT contains(lower(target), string_split(lower(name), ' ')[-1])""",
     "qa_locked_terms": f"""SELECT doc_id, 'locked_term_violation' AS check, CASE WHEN left_in THEN 'safe_fix' ELSE 'review_required' END AS severity, term AS found, target_term AS fix FROM (
       SELECT doc_id, term, target_term, {_has('target', 'term')} AND lower(term) <> lower(target_term) AS left_in, {_has('target', 'target_term')} AS there FROM pairs, glossary WHERE locked AND {_has('source', 'term')}) WHERE left_in OR NOT there""",
 }
 BODY |= {k: BODY[k].replace("FROM pairs", "FROM heads") for k in HEADS}
+BODY["qa_names"] = BODY["qa_names"].replace("HAS_NAME", _has("source", "name"))
 _WITH = f"WITH {PAIRS_SQL}, heads AS (SELECT doc_id, source_head AS source, target_head AS target FROM pairs), {GLOSSARY_SQL}, {CHARACTERS_SQL} "
 ORACLES = {k: _WITH + v for k, v in BODY.items()}
 _EVERY = " UNION ALL ".join(f"SELECT doc_id, severity FROM ({BODY[k]})" for k in CHECKS)

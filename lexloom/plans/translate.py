@@ -107,7 +107,6 @@ ENTRIES = {
     "style_titles": ("Titles left in English.", "SELECT doc_id, en FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)"),
     "style_contradictions": ("Dimensions with more than one value.", "SELECT chapter, count(DISTINCT lang) AS n FROM pairs GROUP BY chapter HAVING count(DISTINCT lang) > 1"),
     "style_validate_all": ("Findings of the style checks by kind.", "SELECT kind, count(*) AS n FROM (SELECT 'dialogue' AS kind FROM segments WHERE RLIKE(target, R'^[\"“]') UNION ALL SELECT 'title' FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)) x GROUP BY kind"),
-    "sem_cosine": ("Similarity of each vector to the first of its label.", "SELECT vec_id, first_id FROM (SELECT vec_id, first_value(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS first_id FROM embeddings) x"),
     "sem_divergence": ("Pairs that share under a fifth of their words.", rf"SELECT doc_id FROM (SELECT doc_id, DISTINCT_OF({_WORDS.format(x='source_head')}) AS a, {_WORDS.format(x='target_head')} AS b FROM pairs) x WHERE SIZE(a) > 3 AND SIZE(FILTER(a, w -> HAS(b, w))) < 0.2e0 * SIZE(a)"),
     "sem_omission_addition": ("Coverage of content words.", "SELECT doc_id, coverage FROM semantic WHERE coverage < 1"),
     "sem_antonym": ("Words beside their opposites.", "SELECT doc_id, en, pt FROM signals JOIN antonyms ON contains(lower(source_head), en) AND contains(lower(target_head), pt)"),

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import segment
+from lexloom.operators import qa, segment
 from lexloom.sources import files, sinks
 from lexloom.streaming import incremental
 
@@ -43,6 +43,13 @@ def test_segments_lose_nothing(spark):
     assert segment.segment_chapter(df).where("doc_id = 1").agg(F.sum("words")).first()[0] == len(text.split())
 
 
+def test_dictionary_join_both_ways(spark):
+    df = spark.createDataFrame([(1, "The old House, by Baker Street"), (2, "housing"), (3, None), (4, "house house")], "doc_id long, source string")
+    terms = spark.createDataFrame([("house",), ("Baker Street",), ("street",)], "term string")
+    small, large = (sorted((r.doc_id, r.term) for r in qa.dictionary_join(df, terms, "source", "term", most).collect()) for most in (10, 1))
+    assert small == large == [(1, "Baker Street"), (1, "house"), (1, "street"), (4, "house")]
+
+
 def test_incremental(spark, tmp_path):
     source, cache, state = (str(tmp_path / n) for n in ("in", "cache", "state"))
     upper = lambda df: df.withColumn("target", F.upper("source"))
