@@ -16,8 +16,8 @@ from lexloom.plans import fixtures as fx
 from lexloom.session import table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-_SPARK = {"RLIKE(": "regexp_like(", "SIZE(": "size(", "FILTER(": "filter(", "MAP(": "transform(", "HAS(": "array_contains(", "ARR(": "array(", "EXPLODE(": "explode(", " DIV ": " DIV ", "SPLIT(": "split(", "ITEM(": "try_element_at(", "DISTINCT_OF(": "array_distinct(", "CONCAT_OF(": "concat(", "sequence(": "sequence(", "SLICE(": "slice(", "ORD(": "ascii(", "STRPOS(": "instr(", "array_to_string(": "array_join("}
-_DUCK = {"RLIKE(": "regexp_matches(", "SIZE(": "len(", "FILTER(": "list_filter(", "MAP(": "list_transform(", "HAS(": "list_contains(", "ARR(": "list_value(", "EXPLODE(": "unnest(", " DIV ": " // ", "SPLIT(": "string_split(", "ITEM(": "list_extract(", "DISTINCT_OF(": "list_distinct(", "CONCAT_OF(": "list_concat(", "sequence(": "generate_series(", "SLICE(": "list_slice(", "ORD(": "unicode(", "SHA256(": "sha256(", "STRPOS(": "strpos("}
+_SPARK = {"RLIKE(": "regexp_like(", "SIZE(": "size(", "FILTER(": "filter(", "MAP(": "transform(", "HAS(": "array_contains(", "ARR(": "array(", "EXPLODE(": "explode(", " DIV ": " DIV ", "SPLIT(": "split(", "ITEM(": "try_element_at(", "DISTINCT_OF(": "array_distinct(", "INTERSECT_OF(": "array_intersect(", "CONCAT_OF(": "concat(", "sequence(": "sequence(", "SLICE(": "slice(", "ORD(": "ascii(", "STRPOS(": "instr(", "array_to_string(": "array_join("}
+_DUCK = {"RLIKE(": "regexp_matches(", "SIZE(": "len(", "FILTER(": "list_filter(", "MAP(": "list_transform(", "HAS(": "list_contains(", "ARR(": "list_value(", "EXPLODE(": "unnest(", " DIV ": " // ", "SPLIT(": "string_split(", "ITEM(": "list_extract(", "DISTINCT_OF(": "list_distinct(", "INTERSECT_OF(": "list_intersect(", "CONCAT_OF(": "list_concat(", "sequence(": "generate_series(", "SLICE(": "list_slice(", "ORD(": "unicode(", "SHA256(": "sha256(", "STRPOS(": "strpos("}
 #: Fixtures in SQL of this dialect, in an order in which each names earlier ones only.
 VIEWS: dict[str, str] = {}
 _FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
 from lexloom.operators import dictionaries as d
 from lexloom.plans import dialect
-from lexloom.plans.fixtures import values
+from lexloom.plans.fixtures import pairs, values
 from lexloom.plans.text import in_list
+from lexloom.session import ship_package
 
 # False friends and strong words with the forms that give them away, antonyms, titles.
 FALSE_FRIENDS = (("actually", "atualmente"), ("eventually", "eventualmente"), ("parents", "parentes"), ("parent", "parente"), ("realize", "realiz"), ("push", "pux"), ("prejudice", "prejuízo"), ("fabric", "fábrica"), ("novel", "novela"), ("legend", "legenda"), ("pretended", "pretendia"), ("collar", "colar"))
@@ -15,8 +22,8 @@ TITLES = (("count", "conde"), ("doctor", "doutor"), ("sir", "senhor"), ("lady",
 LEFT_OVER = ("the", "and", "with", "from", "that", "this", "because")
 WEIGHTS = {"fidelity": 0.25, "naturalness": 0.15, "terminology": 0.20, "consistency": 0.15, "character_score": 0.10, "style": 0.08, "fluency": 0.07}
 
-_EN = r"RLIKE(lower(source_head), R'(^|[^\p{L}])(" + "|".join(d.NEGATIONS_EN).replace("'", r"\x27") + r")($|[^\p{L}])')"
-_PT = r"RLIKE(lower(target_head), R'(^|[^\p{L}])(" + "|".join(d.NEGATIONS_PT) + r")($|[^\p{L}])')"
+_EN = r"RLIKE(lower(source), R'(^|[^\p{L}])(" + "|".join(d.NEGATIONS_EN).replace("'", r"\x27") + r")($|[^\p{L}])')"
+_PT = r"RLIKE(lower(target), R'(^|[^\p{L}])(" + "|".join(d.NEGATIONS_PT) + r")($|[^\p{L}])')"
 _WORDS = r"regexp_extract_all(lower({x}), R'[\p{{L}}\p{{N}}_]+', 0)"
 _CLIP = "greatest(0e0, least(1e0, {x}))"
 
@@ -25,34 +32,34 @@ dialect.VIEWS |= {
     "strong": f"SELECT en, pt FROM {values(INTENSITY, 'en, pt')} f",
     "antonyms": f"SELECT en, pt FROM {values(ANTONYMS, 'en, pt')} f",
     "titles": f"SELECT en, pt FROM {values(TITLES, 'en, pt')} f",
-    "segments": "SELECT doc_id, lang, chapter, seq, source_head AS source, target_head AS target, source_head, target_head, CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'error' ELSE 'translated' END AS status FROM pairs",
-    "candidates": "SELECT doc_id, 1 AS cand, source_head, target_head FROM pairs UNION ALL SELECT doc_id, 2, source_head, source_head FROM pairs UNION ALL SELECT doc_id, 3, source_head, concat(target_head, ' ', target_head) FROM pairs UNION ALL SELECT doc_id, 4, source_head, substr(target_head, 1, 15) FROM pairs WHERE doc_id % 2 = 0",
+    "segments": "SELECT doc_id, lang, chapter, seq, source, target, CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'error' ELSE 'translated' END AS status FROM pairs",
+    "candidates": "SELECT doc_id, 1 AS cand, source, target FROM pairs UNION ALL SELECT doc_id, 2, source, source FROM pairs UNION ALL SELECT doc_id, 3, source, concat(target, ' ', target) FROM pairs UNION ALL SELECT doc_id, 4, source, substr(target, 1, 15) FROM pairs WHERE doc_id % 2 = 0",
     "terms_of": rf"SELECT doc_id, chapter, seq, t, count(*) AS tf FROM (SELECT doc_id, chapter, seq, EXPLODE(FILTER({_WORDS.format(x='source')}, w -> length(w) >= 3)) AS t FROM pairs) x GROUP BY doc_id, chapter, seq, t",
     "norms": "SELECT doc_id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) AS norm FROM terms_of GROUP BY doc_id",
     "cosines": "SELECT a.doc_id, b.doc_id AS other_id, CAST(sum(a.tf * b.tf) AS DOUBLE) / (max(na.norm) * max(nb.norm)) AS score, count(*) AS shared FROM terms_of a JOIN terms_of b ON a.t = b.t AND a.chapter = b.chapter AND b.seq < a.seq JOIN norms na ON na.doc_id = a.doc_id JOIN norms nb ON nb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id",
-    "scored": f"""SELECT doc_id, cand, target_head, {_CLIP.format(x='1e0 - CASE WHEN length(target_head) < 0.4e0 * length(source_head) THEN 0.4e0 WHEN length(target_head) > 2.5e0 * length(source_head) THEN 0.3e0 ELSE 0e0 END - least(0.3e0, 0.15e0 * SIZE(FILTER(DISTINCT_OF(sn), n -> NOT HAS(tn, n)))) - CASE WHEN contains(source_head, chr(63)) AND NOT contains(target_head, chr(63)) THEN 0.1e0 ELSE 0e0 END - CASE WHEN contains(source_head, chr(33)) AND NOT contains(target_head, chr(33)) THEN 0.1e0 ELSE 0e0 END - least(0.4e0, 0.15e0 * SIZE(FILTER(DISTINCT_OF(tw), w -> w IN ' + in_list(LEFT_OVER) + ')))')} AS fidelity,
-      {_CLIP.format(x="1e0 - 0.25e0 * SIZE(FILTER(sequence(1, greatest(1, SIZE(tw) - 1)), i -> get(tw, i - 1) = get(tw, i) AND length(get(tw, i)) > 1)) - CASE WHEN RLIKE(target_head, R',\\s*,|\\.\\s*\\.\\s*\\.') THEN 0.15e0 ELSE 0e0 END")} AS naturalness,
-      {_CLIP.format(x="1e0 - CASE WHEN contains(lower(source_head), 'count') AND NOT contains(lower(target_head), 'conde') THEN 0.4e0 ELSE 0e0 END - CASE WHEN contains(lower(target_head), 'count') THEN 0.35e0 ELSE 0e0 END")} AS terminology,
-      CASE WHEN contains(lower(source_head), 'baker street') AND NOT contains(lower(target_head), 'baker street') THEN 0.8e0 ELSE 1e0 END AS consistency,
-      CASE WHEN contains(lower(target_head), 'sherlock') AND NOT contains(lower(target_head), 'sherlock holmes') THEN 0.85e0 ELSE 1e0 END AS character_score,
-      {_CLIP.format(x="1e0 - CASE WHEN substr(target_head, 1, 1) = chr(34) THEN 0.15e0 ELSE 0e0 END + CASE WHEN substr(target_head, 1, 1) = '—' THEN 0.05e0 ELSE 0e0 END")} AS style,
-      {_CLIP.format(x="1e0 - CASE WHEN RLIKE(lower(target_head), R'(\\s(de|da|do|em|com|para|por|a|o)|,)\\s*$') THEN 0.3e0 ELSE 0e0 END - CASE WHEN length(replace(target_head, '(', '')) <> length(replace(target_head, ')', '')) THEN 0.2e0 ELSE 0e0 END - CASE WHEN length(replace(target_head, '[', '')) <> length(replace(target_head, ']', '')) THEN 0.2e0 ELSE 0e0 END")} AS fluency
-      FROM (SELECT doc_id, cand, source_head, target_head, {_WORDS.format(x='target_head')} AS tw, regexp_extract_all(source_head, R'[0-9]+', 0) AS sn, regexp_extract_all(target_head, R'[0-9]+', 0) AS tn FROM candidates) x""",
-    "ranked": "SELECT doc_id, cand, target_head, final_score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, length(target_head), cand) AS INT) AS rank FROM (SELECT doc_id, cand, target_head, round(" + " + ".join(f"{w}e0 * {k}" for k, w in WEIGHTS.items()) + ", 6) AS final_score FROM scored) x",
-    "signals": rf"""SELECT p.doc_id, p.chapter, p.seq, p.source_head, p.target_head, SIZE({_WORDS.format(x='source_head')}) AS sw, SIZE({_WORDS.format(x='target_head')}) AS tw, {_EN} AS en_neg, {_PT} AS pt_neg FROM pairs p""",
+    "scored": f"""SELECT doc_id, cand, target, {_CLIP.format(x='1e0 - CASE WHEN length(target) < 0.4e0 * length(source) THEN 0.4e0 WHEN length(target) > 2.5e0 * length(source) THEN 0.3e0 ELSE 0e0 END - least(0.3e0, 0.15e0 * (SIZE(DISTINCT_OF(sn)) - SIZE(INTERSECT_OF(sn, tn)))) - CASE WHEN contains(source, chr(63)) AND NOT contains(target, chr(63)) THEN 0.1e0 ELSE 0e0 END - CASE WHEN contains(source, chr(33)) AND NOT contains(target, chr(33)) THEN 0.1e0 ELSE 0e0 END - least(0.4e0, 0.15e0 * SIZE(FILTER(DISTINCT_OF(tw), w -> w IN ' + in_list(LEFT_OVER) + ')))')} AS fidelity,
+      {_CLIP.format(x="1e0 - 0.25e0 * SIZE(FILTER(sequence(1, greatest(1, SIZE(tw) - 1)), i -> get(tw, i - 1) = get(tw, i) AND length(get(tw, i)) > 1)) - CASE WHEN RLIKE(target, R',\\s*,|\\.\\s*\\.\\s*\\.') THEN 0.15e0 ELSE 0e0 END")} AS naturalness,
+      {_CLIP.format(x="1e0 - CASE WHEN contains(lower(source), 'count') AND NOT contains(lower(target), 'conde') THEN 0.4e0 ELSE 0e0 END - CASE WHEN contains(lower(target), 'count') THEN 0.35e0 ELSE 0e0 END")} AS terminology,
+      CASE WHEN contains(lower(source), 'baker street') AND NOT contains(lower(target), 'baker street') THEN 0.8e0 ELSE 1e0 END AS consistency,
+      CASE WHEN contains(lower(target), 'sherlock') AND NOT contains(lower(target), 'sherlock holmes') THEN 0.85e0 ELSE 1e0 END AS character_score,
+      {_CLIP.format(x="1e0 - CASE WHEN substr(target, 1, 1) = chr(34) THEN 0.15e0 ELSE 0e0 END + CASE WHEN substr(target, 1, 1) = '—' THEN 0.05e0 ELSE 0e0 END")} AS style,
+      {_CLIP.format(x="1e0 - CASE WHEN RLIKE(lower(target), R'(\\s(de|da|do|em|com|para|por|a|o)|,)\\s*$') THEN 0.3e0 ELSE 0e0 END - CASE WHEN length(replace(target, '(', '')) <> length(replace(target, ')', '')) THEN 0.2e0 ELSE 0e0 END - CASE WHEN length(replace(target, '[', '')) <> length(replace(target, ']', '')) THEN 0.2e0 ELSE 0e0 END")} AS fluency
+      FROM (SELECT doc_id, cand, source, target, {_WORDS.format(x='target')} AS tw, regexp_extract_all(source, R'[0-9]+', 0) AS sn, regexp_extract_all(target, R'[0-9]+', 0) AS tn FROM candidates) x""",
+    "ranked": "SELECT doc_id, cand, target, final_score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, length(target), cand) AS INT) AS rank FROM (SELECT doc_id, cand, target, round(" + " + ".join(f"{w}e0 * {k}" for k, w in WEIGHTS.items()) + ", 6) AS final_score FROM scored) x",
+    "signals": rf"""SELECT p.doc_id, p.chapter, p.seq, p.source, p.target, SIZE({_WORDS.format(x='source')}) AS sw, SIZE({_WORDS.format(x='target')}) AS tw, {_EN} AS en_neg, {_PT} AS pt_neg FROM pairs p""",
     "semantic": """SELECT s.doc_id, CASE WHEN sw >= 6 AND tw < 0.4e0 * sw THEN 0.4e0 WHEN sw >= 4 AND tw > 2.2e0 * sw THEN 0.5e0 ELSE 1e0 END AS coverage, CASE WHEN a.doc_id IS NOT NULL THEN 0.2e0 WHEN en_neg <> pt_neg AND sw <= 15 THEN 0.3e0 ELSE 1e0 END AS polarity,
-      CASE WHEN RLIKE(lower(source_head), R'^he ') AND RLIKE(lower(target_head), R'^ela ') OR RLIKE(lower(source_head), R'^she ') AND RLIKE(lower(target_head), R'^ele ') THEN 0.4e0 ELSE 1e0 END AS subject, CASE WHEN i.doc_id IS NOT NULL THEN 0.6e0 ELSE 1e0 END AS intensity, CASE WHEN f.doc_id IS NOT NULL THEN 0.5e0 ELSE 1e0 END AS literal
-      FROM signals s LEFT JOIN (SELECT DISTINCT doc_id FROM signals JOIN antonyms ON contains(lower(source_head), en) AND contains(lower(target_head), pt)) a ON a.doc_id = s.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM signals JOIN strong ON contains(lower(source_head), en) AND contains(lower(target_head), pt)) i ON i.doc_id = s.doc_id
-      LEFT JOIN (SELECT DISTINCT doc_id FROM signals JOIN friends ON contains(lower(source_head), en) AND contains(lower(target_head), pt)) f ON f.doc_id = s.doc_id""",
-    "variants": "SELECT p.doc_id, p.chapter, g.term_id, g.term, g.kind, g.locked, CASE WHEN contains(lower(p.target_head), lower(g.target_term)) THEN lower(g.target_term) WHEN contains(lower(p.target_head), lower(g.term)) THEN lower(g.term) ELSE 'other' END AS variant FROM pairs p JOIN glossary g ON contains(lower(p.source_head), lower(g.term))",
-    "grams": "SELECT doc_id, side, n, g, count(*) AS c FROM (SELECT doc_id, 's' AS side, n, substr(x, i, n) AS g FROM (SELECT doc_id, replace(source_head, ' ', '') AS x, n, EXPLODE(sequence(1, length(replace(source_head, ' ', '')) - n + 1)) AS i FROM pairs CROSS JOIN orders_of) a UNION ALL SELECT doc_id, 't', n, substr(x, i, n) FROM (SELECT doc_id, replace(target_head, ' ', '') AS x, n, EXPLODE(sequence(1, length(replace(target_head, ' ', '')) - n + 1)) AS i FROM pairs CROSS JOIN orders_of) b) y GROUP BY doc_id, side, n, g",
+      CASE WHEN RLIKE(lower(source), R'^he ') AND RLIKE(lower(target), R'^ela ') OR RLIKE(lower(source), R'^she ') AND RLIKE(lower(target), R'^ele ') THEN 0.4e0 ELSE 1e0 END AS subject, CASE WHEN i.doc_id IS NOT NULL THEN 0.6e0 ELSE 1e0 END AS intensity, CASE WHEN f.doc_id IS NOT NULL THEN 0.5e0 ELSE 1e0 END AS literal
+      FROM signals s LEFT JOIN (SELECT DISTINCT doc_id FROM signals JOIN antonyms ON contains(lower(source), en) AND contains(lower(target), pt)) a ON a.doc_id = s.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM signals JOIN strong ON contains(lower(source), en) AND contains(lower(target), pt)) i ON i.doc_id = s.doc_id
+      LEFT JOIN (SELECT DISTINCT doc_id FROM signals JOIN friends ON contains(lower(source), en) AND contains(lower(target), pt)) f ON f.doc_id = s.doc_id""",
+    "variants": "SELECT p.doc_id, p.chapter, g.term_id, g.term, g.kind, g.locked, CASE WHEN contains(lower(p.target), lower(g.target_term)) THEN lower(g.target_term) WHEN contains(lower(p.target), lower(g.term)) THEN lower(g.term) ELSE 'other' END AS variant FROM pairs p JOIN glossary g ON contains(lower(p.source), lower(g.term))",
+    "grams": "SELECT doc_id, side, n, g, count(*) AS c FROM (SELECT doc_id, 's' AS side, n, substr(x, i, n) AS g FROM (SELECT doc_id, replace(source, ' ', '') AS x, n, EXPLODE(sequence(1, length(replace(source, ' ', '')) - n + 1)) AS i FROM pairs CROSS JOIN orders_of) a UNION ALL SELECT doc_id, 't', n, substr(x, i, n) FROM (SELECT doc_id, replace(target, ' ', '') AS x, n, EXPLODE(sequence(1, length(replace(target, ' ', '')) - n + 1)) AS i FROM pairs CROSS JOIN orders_of) b) y GROUP BY doc_id, side, n, g",
     "orders_of": f"SELECT n FROM {values([(k,) for k in range(1, 7)], 'n')} v",
 }
 _order = ("friends", "strong", "antonyms", "titles", "segments", "candidates", "terms_of", "norms", "cosines", "scored", "ranked", "signals", "semantic", "variants", "orders_of", "grams")
 for _name in _order:  # a fixture stands behind those it reads
     dialect.VIEWS[_name] = dialect.VIEWS.pop(_name)
 
-_TREAT = r"CASE WHEN RLIKE(lower(target_head), R'(^|[^\p{L}])você($|[^\p{L}])') THEN 'você' WHEN RLIKE(lower(target_head), R'(^|[^\p{L}])tu($|[^\p{L}])') THEN 'tu' END"
+_TREAT = r"CASE WHEN RLIKE(lower(target), R'(^|[^\p{L}])você($|[^\p{L}])') THEN 'você' WHEN RLIKE(lower(target), R'(^|[^\p{L}])tu($|[^\p{L}])') THEN 'tu' END"
 
 
 def _chrf(orders: int, beta: int) -> str:
@@ -63,6 +70,41 @@ def _chrf(orders: int, beta: int) -> str:
       LEFT JOIN (SELECT a.doc_id, a.n, sum(least(a.c, b.c)) AS c FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.n = b.n AND a.g = b.g AND a.side = 's' AND b.side = 't' GROUP BY a.doc_id, a.n) m ON m.doc_id = t.doc_id AND m.n = t.n) x GROUP BY doc_id"""
 
 
+def chrf(source: str, target: str, orders: int, beta: int) -> float | None:
+    """chrF of two texts, as _chrf; linear in their length but for sorting. None where a text has no character."""
+    sides = [np.frombuffer(x.replace(" ", "").encode("utf-32-le"), dtype=np.uint32) for x in (source, target)]
+    cut, total = sides[0].size, sides[0].size + sides[1].size
+    letters = np.unique(np.concatenate(sides), return_inverse=True)[1].astype(np.int64)
+    grams, b, found = letters, beta * beta, []
+    for n in range(1, orders + 1):
+        if n > 1:  # a gram is the one before and a letter; those across the border of the sides are never counted
+            grams = np.unique(grams[:-1] * (letters.max() + 1) + letters[n - 1 :], return_inverse=True)[1]
+        most = min(cut, total - cut) - n + 1
+        if most < 1:
+            break
+        size = int(grams.max()) + 1
+        s, t = np.bincount(grams[: cut - n + 1], minlength=size), np.bincount(grams[cut:], minlength=size)
+        p, r = (int(np.minimum(s, t).sum()) / int(x.sum()) for x in (t, s))
+        found.append((1 + b) * p * r / (b * p + r) if p + r > 0 else 0.0)
+    return round(sum(found) / len(found), 6) if found else None
+
+
+def _chrf_query(orders: int, beta: int, doc: str):
+    """_chrf text by text: as rows, the n-grams of whole texts are twelve times the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((i, chrf(s.as_py(), t.as_py(), orders, beta)) for i, s, t in zip(batch["doc_id"].to_pylist(), batch["source"], batch["target"], strict=True) if s.is_valid and t.is_valid)
+            yield pa.RecordBatch.from_pylist([{"doc_id": i, "chrf": x} for i, x in rows if x is not None], pa.schema([("doc_id", pa.int64()), ("chrf", pa.float64())]))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return pairs(spark, sf_dir).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "source", "target").mapInArrow(run, "doc_id long, chrf double")
+
+    query.__doc__ = doc
+    return query
+
+
 _OVERALL = "round(0.25e0 * coverage + 0.20e0 * polarity + 0.20e0 * subject + 0.15e0 * intensity + 0.10e0 * literal + 0.10e0, 4)"
 ENTRIES = {
     "ctx_neighbours": ("The two segments before and the one behind.", "SELECT doc_id, lag(doc_id, 2) OVER (PARTITION BY chapter ORDER BY seq) AS before_2, lag(doc_id) OVER (PARTITION BY chapter ORDER BY seq) AS before_1, lead(doc_id) OVER (PARTITION BY chapter ORDER BY seq) AS behind FROM segments"),
@@ -94,11 +136,11 @@ ENTRIES = {
     **{f"rank_{k}": (f"Score of candidates: {k}.", f"SELECT doc_id, cand, round({c}, 6) AS score FROM scored") for k, c in (("fidelity", "fidelity"), ("naturalness", "naturalness"), ("terminology", "terminology"), ("consistency", "consistency"), ("character", "character_score"), ("style", "style"), ("fluency", "fluency"))},
     "rank_weighted": ("Weighted score.", "SELECT doc_id, cand, final_score FROM ranked"),
     "rank_topk": ("Candidates in order.", "SELECT doc_id, cand, rank FROM ranked"),
-    "selected_candidate": ("The candidate of rank 1.", "SELECT doc_id, cand, target_head FROM ranked WHERE rank = 1"),
+    "selected_candidate": ("The candidate of rank 1.", "SELECT doc_id, cand, target FROM ranked WHERE rank = 1"),
     "style_set_rule": ("Rules by language; locked ones stay.", "SELECT lang, CASE WHEN lang = 'en' THEN 'locked' ELSE 'updated' END AS outcome, count(*) AS evidence FROM documents GROUP BY lang"),
     "style_get_rule": ("Rules by synonym.", "SELECT term_id, coalesce(nullif(alias, term), target_term) AS rule FROM aliases"),
     "style_explicit_inferred": ("Rules explicit and inferred.", "SELECT locked, count(*) AS n FROM glossary GROUP BY locked"),
-    "style_add_evidence": ("Evidence rows of each rule.", "SELECT g.term_id, count(*) AS n FROM glossary g JOIN pairs p ON contains(p.source_head, g.term) GROUP BY g.term_id"),
+    "style_add_evidence": ("Evidence rows of each rule.", "SELECT g.term_id, count(*) AS n FROM glossary g JOIN pairs p ON contains(p.source, g.term) GROUP BY g.term_id"),
     "style_lock": ("Rules with one locked.", "SELECT term_id, CASE WHEN term_id = 3 THEN true ELSE locked END AS locked FROM glossary"),
     "style_dialogue": ("Targets that begin with a quote under a dash policy.", "SELECT doc_id FROM segments WHERE RLIKE(target, R'^[\"“]')"),
     "style_punct": ("Repeated marks, and dashes without a blank.", "SELECT doc_id, line_no FROM lines WHERE RLIKE(line, R'[*][*][*]|[#][#][#]|%%%|,,|;;|::|!!!|—[^\\s]')"),
@@ -107,28 +149,28 @@ ENTRIES = {
     "style_titles": ("Titles left in English.", "SELECT doc_id, en FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)"),
     "style_contradictions": ("Dimensions with more than one value.", "SELECT chapter, count(DISTINCT lang) AS n FROM pairs GROUP BY chapter HAVING count(DISTINCT lang) > 1"),
     "style_validate_all": ("Findings of the style checks by kind.", "SELECT kind, count(*) AS n FROM (SELECT 'dialogue' AS kind FROM segments WHERE RLIKE(target, R'^[\"“]') UNION ALL SELECT 'title' FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)) x GROUP BY kind"),
-    "sem_divergence": ("Pairs that share under a fifth of their words.", rf"SELECT doc_id FROM (SELECT doc_id, DISTINCT_OF({_WORDS.format(x='source_head')}) AS a, {_WORDS.format(x='target_head')} AS b FROM pairs) x WHERE SIZE(a) > 3 AND SIZE(FILTER(a, w -> HAS(b, w))) < 0.2e0 * SIZE(a)"),
+    "sem_divergence": ("Pairs that share under a fifth of their words.", rf"SELECT doc_id FROM (SELECT doc_id, DISTINCT_OF({_WORDS.format(x='source')}) AS a, {_WORDS.format(x='target')} AS b FROM pairs) x WHERE SIZE(a) > 3 AND SIZE(INTERSECT_OF(a, b)) < 0.2e0 * SIZE(a)"),
     "sem_omission_addition": ("Coverage of content words.", "SELECT doc_id, coverage FROM semantic WHERE coverage < 1"),
-    "sem_antonym": ("Words beside their opposites.", "SELECT doc_id, en, pt FROM signals JOIN antonyms ON contains(lower(source_head), en) AND contains(lower(target_head), pt)"),
+    "sem_antonym": ("Words beside their opposites.", "SELECT doc_id, en, pt FROM signals JOIN antonyms ON contains(lower(source), en) AND contains(lower(target), pt)"),
     "sem_polarity": ("Short pairs negated on one side.", "SELECT doc_id FROM signals WHERE en_neg <> pt_neg AND sw <= 15"),
     "sem_subject": ("Subjects of another gender.", "SELECT doc_id, subject FROM semantic WHERE subject < 1"),
-    "sem_intensity": ("Strong words made weak.", "SELECT doc_id, min(en) AS en, count(*) AS n FROM signals JOIN strong ON contains(lower(source_head), en) AND contains(lower(target_head), pt) GROUP BY doc_id"),
-    "sem_false_friend": ("False friends.", "SELECT doc_id, min(en) AS en, count(*) AS n FROM signals JOIN friends ON contains(lower(source_head), en) AND contains(lower(target_head), pt) GROUP BY doc_id"),
-    "sem_register": ("Informal words under a formal style.", "SELECT doc_id FROM pairs WHERE RLIKE(lower(target_head), R'(^|[^\\p{L}])(cara|mano|né|rua)($|[^\\p{L}])')"),
+    "sem_intensity": ("Strong words made weak.", "SELECT doc_id, min(en) AS en, count(*) AS n FROM signals JOIN strong ON contains(lower(source), en) AND contains(lower(target), pt) GROUP BY doc_id"),
+    "sem_false_friend": ("False friends.", "SELECT doc_id, min(en) AS en, count(*) AS n FROM signals JOIN friends ON contains(lower(source), en) AND contains(lower(target), pt) GROUP BY doc_id"),
+    "sem_register": ("Informal words under a formal style.", "SELECT doc_id FROM pairs WHERE RLIKE(lower(target), R'(^|[^\\p{L}])(cara|mano|né|rua)($|[^\\p{L}])')"),
     "sem_overall": ("Weighted score of all signals; passed from 0.7 on without a signal under 0.5.", f"SELECT doc_id, {_OVERALL} AS score, {_OVERALL} >= 0.7e0 AND least(coverage, polarity, subject) >= 0.5e0 AS passed FROM semantic"),
     "qa_unified": ("Pairs that pass the semantic checks, by chapter.", f"SELECT p.chapter, sum(CASE WHEN {_OVERALL} >= 0.7e0 THEN 1 ELSE 0 END) AS passed, count(*) AS n FROM semantic s JOIN pairs p ON p.doc_id = s.doc_id GROUP BY p.chapter"),
-    "bt_token_f1": ("Overlap of words of both sides.", rf"SELECT a.doc_id, round(2e0 * sum(least(a.c, b.c)) / max(t.n), 6) AS f1 FROM (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, EXPLODE({_WORDS.format(x='source_head')}) AS w FROM pairs) x GROUP BY doc_id, w) a JOIN (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, EXPLODE({_WORDS.format(x='target_head')}) AS w FROM pairs) y GROUP BY doc_id, w) b ON a.doc_id = b.doc_id AND a.w = b.w JOIN (SELECT doc_id, sw + tw AS n FROM signals) t ON t.doc_id = a.doc_id GROUP BY a.doc_id"),
+    "bt_token_f1": ("Overlap of words of both sides.", rf"SELECT a.doc_id, round(2e0 * sum(least(a.c, b.c)) / max(t.n), 6) AS f1 FROM (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, EXPLODE({_WORDS.format(x='source')}) AS w FROM pairs) x GROUP BY doc_id, w) a JOIN (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, EXPLODE({_WORDS.format(x='target')}) AS w FROM pairs) y GROUP BY doc_id, w) b ON a.doc_id = b.doc_id AND a.w = b.w JOIN (SELECT doc_id, sw + tw AS n FROM signals) t ON t.doc_id = a.doc_id GROUP BY a.doc_id"),
     "bt_chrf": ("Character n-gram F2 of one to four.", _chrf(4, 2)),
     "bench_chrf6": ("Character n-gram F2 of one to six.", _chrf(6, 2)),
     "bt_verify": ("Pairs whose negation or length is lost.", "SELECT doc_id, en_neg <> pt_neg AS negation, tw < 0.45e0 * sw AS short FROM signals WHERE en_neg <> pt_neg OR tw < 0.45e0 * sw"),
     "bench_confusion": ("Labels against predictions.", "SELECT lang, sum(CASE WHEN y = 1 AND p THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND p THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 0 AND NOT p THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN y = 1 AND NOT p THEN 1 ELSE 0 END) AS fn FROM (SELECT d.lang, l.quality AS y, d.n_chars > 500 AS p FROM documents d JOIN labels l ON l.doc_id = d.doc_id) x GROUP BY lang"),
     "bench_latency": ("Mean and 95th percentile by rank.", "SELECT event_type, round(avg(value), 6) AS mean, max(CASE WHEN rn = k THEN value END) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn, CAST(floor(0.95e0 * count(*) OVER (PARTITION BY event_type)) AS BIGINT) + 1 AS k FROM events) x GROUP BY event_type"),
     "cons_glossary": ("Terms rendered in more than one way.", "SELECT term_id, locked, count(DISTINCT variant) AS variants, count(*) AS n FROM variants GROUP BY term_id, locked HAVING count(DISTINCT variant) > 1"),
-    "cons_recurrent": ("Recurrent pairs of words in two documents or more.", r"SELECT bigram, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, EXPLODE(regexp_extract_all(lower(source_head), R'[a-z]+ (?:street|house|road|holmes)', 0)) AS bigram FROM pairs) x GROUP BY bigram HAVING count(DISTINCT doc_id) >= 2"),
+    "cons_recurrent": ("Recurrent pairs of words in two documents or more.", r"SELECT bigram, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, EXPLODE(regexp_extract_all(lower(source), R'[a-z]+ (?:street|house|road|holmes)', 0)) AS bigram FROM pairs) x GROUP BY bigram HAVING count(DISTINCT doc_id) >= 2"),
     "cons_tm": ("Entries found in documents with and without their translation.", "SELECT t.tm_id, count(*) AS n, sum(CASE WHEN contains(d.text, t.target_term) THEN 1 ELSE 0 END) AS kept FROM documents d JOIN tm t ON contains(d.text, t.source_term) GROUP BY t.tm_id"),
-    "cons_characters": ("Names rendered in more than one way.", "SELECT c.character_id, count(*) AS n, sum(CASE WHEN contains(lower(p.target_head), lower(c.name)) THEN 1 ELSE 0 END) AS exact FROM pairs p JOIN characters c ON contains(lower(p.source_head), lower(c.name)) GROUP BY c.character_id"),
+    "cons_characters": ("Names rendered in more than one way.", "SELECT c.character_id, count(*) AS n, sum(CASE WHEN contains(lower(p.target), lower(c.name)) THEN 1 ELSE 0 END) AS exact FROM pairs p JOIN characters c ON contains(lower(p.source), lower(c.name)) GROUP BY c.character_id"),
     "cons_treatment": ("Chapters and their usual form of address.", f"SELECT chapter, form FROM (SELECT chapter, form, row_number() OVER (PARTITION BY chapter ORDER BY count(*) DESC, min(seq)) AS rn FROM (SELECT chapter, seq, {_TREAT} AS form FROM segments) x WHERE form IS NOT NULL GROUP BY chapter, form) y WHERE rn = 1"),
-    "cons_pronoun": ("Pronouns of the other gender beside a character.", "SELECT p.doc_id, c.character_id FROM pairs p JOIN characters c ON contains(lower(p.source_head), lower(c.name)) WHERE c.gender = 'male' AND RLIKE(lower(p.target_head), R'(^|[^\\p{L}])(ela|o)($|[^\\p{L}])') OR c.gender = 'female' AND RLIKE(lower(p.target_head), R'(^|[^\\p{L}])(ele|e)($|[^\\p{L}])')"),
+    "cons_pronoun": ("Pronouns of the other gender beside a character.", "SELECT p.doc_id, c.character_id FROM pairs p JOIN characters c ON contains(lower(p.source), lower(c.name)) WHERE c.gender = 'male' AND RLIKE(lower(p.target), R'(^|[^\\p{L}])(ela|o)($|[^\\p{L}])') OR c.gender = 'female' AND RLIKE(lower(p.target), R'(^|[^\\p{L}])(ele|e)($|[^\\p{L}])')"),
     "cons_place_org": ("Places rendered in more than one way.", "SELECT term_id, variant, count(*) AS n FROM variants WHERE kind IN ('place', 'location', 'organization') GROUP BY term_id, variant"),
     "cons_titles": ("Titles of two occurrences or more, by rendering.", "SELECT en, count(*) AS n, sum(CASE WHEN contains(lower(target), pt) THEN 1 ELSE 0 END) AS translated FROM segments JOIN titles ON contains(lower(source), en) GROUP BY en HAVING count(*) >= 2"),
     "cons_chronology": ("Anomalies of the story, once each.", "SELECT DISTINCT story, event_id FROM (SELECT event_id, story, significance, chronological_order, lag(chronological_order) OVER (PARTITION BY story ORDER BY narrative_order, event_id) AS prev FROM story_events) x WHERE prev > chronological_order"),
@@ -142,3 +184,4 @@ ENTRIES = {
     "cons_navigation": ("Chapters with their segments, as lists.", "SELECT chapter, LISTAGG[CAST(doc_id AS STRING); ','; seq] AS segments FROM segments GROUP BY chapter"),
 }
 QUERIES, ORACLES = dialect.register(ENTRIES)
+QUERIES |= {k: _chrf_query(n, 2, ENTRIES[k][0]) for k, n in (("bt_chrf", 4), ("bench_chrf6", 6))}
