@@ -47,9 +47,9 @@ dialect.VIEWS |= {
 ENTRIES = {
     "norm_control_strip": ("Texts without control and invisible characters.", r"SELECT doc_id, line_no, md5(RXR(line, R'[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{200b}-\x{200f}\x{feff}]', '' RXR)) AS h FROM book"),
     "norm_special_spaces": ("Unicode blanks as blanks, none at line ends.", r"SELECT doc_id, line_no, md5(RXR(RXR(line, R'[\x{00a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', ' ' RXR), R'[ \t]+$', '' RXR)) AS h FROM book"),
-    "norm_quotes": ("Straight quotes.", "SELECT doc_id, line_no, translate(line, '“”‘’', '\"\"''''') AS line FROM book WHERE line_no < 0"),
+    "norm_quotes": ("Straight quotes.", "SELECT doc_id, line_no, translate(line, '“”‘’', '\"\"''''') AS line FROM book"),
     "norm_offsets": ("One block that maps a whole text.", "SELECT doc_id, 0 AS start_at, length(text) AS end_at FROM documents"),
-    "dehyphenate": ("Words joined across line ends, compounds kept.", rf"SELECT doc_id, RXR(RXR(RXR(t, R'((?:^|[^\p{{L}}])(?:{'|'.join(PREFIXES)}))-\s*\n\s*', concat(R'$1', chr(3)) RXR), R'([\p{{L}}]{{2,}})-\s*\n\s*([\p{{L}}]{{2,}})', R'$1$2' RXR), chr(3), '-' RXR) AS t FROM (SELECT doc_id, LISTAGG[line; chr(10); line_no] AS t FROM book WHERE line_no < 0 GROUP BY doc_id) x"),
+    "dehyphenate": ("Words joined across line ends, compounds kept.", rf"SELECT doc_id, RXR(RXR(RXR(t, R'((?:^|[^\p{{L}}])(?:{'|'.join(PREFIXES)}))-\s*\n\s*', concat(R'$1', chr(3)) RXR), R'([\p{{L}}]{{2,}})-\s*\n\s*([\p{{L}}]{{2,}})', R'$1$2' RXR), chr(3), '-' RXR) AS t FROM (SELECT doc_id, LISTAGG[line; chr(10); line_no] AS t FROM book GROUP BY doc_id) x"),
     "slugify": ("Lines as lower-case slugs.", r"SELECT doc_id, line_no, RXR(RXR(lower(translate(line, 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn')), R'[^a-z0-9_\s\-]', '' RXR), R'[\s\-]+', '_' RXR) AS slug FROM book"),
     "content_hash": ("Hash of a text with blanks collapsed.", r"SELECT doc_id, substr(SHA256(RXR(RXR(text, R'\s+', ' ' RXR), R'^ | $', '' RXR)), 1, 16) AS h FROM documents"),
     "id_generators": ("Hierarchical ids with leading zeros.", "SELECT doc_id, line_no, concat('doc_', lpad(CAST(doc_id AS STRING), 8, '0'), '_ln_', lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS STRING), 5, '0')) AS id FROM lines"),
@@ -96,7 +96,7 @@ ENTRIES = {
     "style_evidence_sample": ("First five lines of dialogue of each language.", "SELECT lang, doc_id, line_no, pos FROM (SELECT lang, doc_id, line_no, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) AS INT) AS pos FROM flagged WHERE is_dash) x WHERE pos <= 5"),
     "recurrent_concepts": ("Entities that occur twice or more.", "SELECT name, count(*) AS n FROM capitals GROUP BY name HAVING count(*) >= 2"),
     "characters_per_chapter": ("Names in each chapter.", "SELECT doc_id DIV 10 AS chapter, LISTAGG[name; ','; name] AS names FROM (SELECT DISTINCT doc_id DIV 10 * 10 AS doc_id, name FROM mentions) x GROUP BY doc_id DIV 10"),
-    "sink_safe_name": ("Names safe for files.", r"SELECT doc_id, line_no, substr(RXR(RXR(RXR(line, R'[<>:\x22/\\|?*\x00-\x1f]', '' RXR), R'\s+', '_' RXR), R'\.\.+', '.' RXR), 1, 120) AS name FROM book WHERE line_no < 0"),
+    "sink_safe_name": ("Names safe for files.", r"SELECT doc_id, line_no, substr(RXR(RXR(RXR(line, R'[<>:\x22/\\|?*\x00-\x1f]', '' RXR), R'\s+', '_' RXR), R'\.\.+', '.' RXR), 1, 120) AS name FROM book"),
     "stitch_segments": ("Parts of a paragraph joined in order.", "SELECT doc_id, block DIV 3 AS paragraph, md5(LISTAGG[text; ' '; block]) AS h FROM blocks GROUP BY doc_id, block DIV 3"),
     "sink_sqlite_upsert": ("Latest row of each key, the original from the first.", "SELECT user_id, max(event_id) AS latest, min(event_id) AS original FROM events GROUP BY user_id"),
     "export_inline_format": ("Bold and italic marks as tags.", r"SELECT doc_id, line_no, RXR(RXR(replace(replace(replace(m, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), R'\*\*([^*]+)\*\*', R'<b>$1</b>' RXR), R'\*([^*]+)\*', R'<i>$1</i>' RXR) AS html FROM (SELECT doc_id, line_no, concat('**', line, '** *x* <y>') AS m FROM lines WHERE line <> '' AND NOT contains(line, '*')) x"),

@@ -7,6 +7,7 @@ import pytest
 
 from lexloom import registry
 from lexloom.plans import fixtures as fx
+from lexloom.plans.text import HEAD
 
 BODY = {0: "All quiet.", 3: "At the end the doctor came. O doctor chegou, né.", 11: "“So you are home” he said.\nActually the masterpiece was sold. Atualmente um bom trabalho.", 14: "Count Count again.", 20: "guilty, yet inocente"}
 
@@ -69,3 +70,36 @@ def test_candidates_are_whole(spark, sf):
 def f1(source, target):
     a, b = (Counter(re.findall(r"\w+", x.lower())) for x in (source, target))
     return 2 * (a & b).total() / (a.total() + b.total())
+
+
+LINES = {1: "He said ‘no’ and “yes”.\nthe inter-\nnational and self-\nmade man: a ninety-\n  nine", 2: "a:b/c*d  e..f\n“x”-\nCo-\noperate"}
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("lines"))
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in LINES.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.range(1).write.parquet(f"{d}/part.parquet")  # a head line has the word, so the dialect looks for the table
+    return d
+
+
+def book():
+    """(doc_id, line_no, line) with the constant lines in front."""
+    return [(i, n, x) for i, t in LINES.items() for n, x in [*HEAD, *enumerate(t.split("\n"), 1)]]
+
+
+def test_quotes_of_all_lines(spark, lines):
+    table = str.maketrans("“”‘’", "\"\"''")
+    assert sorted(tuple(r.values()) for r in rows(spark, lines, "norm_quotes")) == sorted((i, n, x.translate(table)) for i, n, x in book())
+
+
+def test_safe_names_of_all_lines(spark, lines):
+    safe = lambda x: re.sub(r"\.\.+", ".", re.sub(r"(?a)\s+", "_", re.sub(r'[<>:"/\\|?*\x00-\x1f]', "", x)))[:120]
+    assert sorted(tuple(r.values()) for r in rows(spark, lines, "sink_safe_name")) == sorted((i, n, safe(x)) for i, n, x in book())
+
+
+def test_hyphens_of_all_lines(spark, lines):
+    got = {r["doc_id"]: r["t"] for r in rows(spark, lines, "dehyphenate")}
+    assert got[1].endswith("the international and self-made man: a ninety-nine")
+    assert got[2].endswith("a:b/c*d  e..f\n“x”-\nCooperate")  # as before, prefixes are looked for in lower case only
+    assert all("the international and well-known road" in x for x in got.values())
