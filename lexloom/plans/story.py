@@ -24,7 +24,7 @@ ENTRIES = {
     "glossary_upsert_locked": ("Changed targets; locked ones are refused.", "SELECT term_id, term, target_term AS old_target, upper(target_term) AS new_target, CASE WHEN locked AND target_term <> upper(target_term) THEN 'rejected' ELSE 'updated' END AS outcome FROM glossary"),
     "glossary_update": ("Fields that differ after an update, one row each.", "SELECT term_id, 'target_term' AS field, target_term AS old_value, upper(target_term) AS new_value FROM glossary WHERE target_term <> upper(target_term) UNION ALL SELECT term_id, 'kind', kind, 'term' FROM glossary WHERE kind <> 'term'"),
     "glossary_lookup": ("Words of documents looked up as term, else as alias.", "SELECT d.lang, coalesce(g.term_id, a.term_id) AS term_id, count(*) AS n FROM (SELECT lang, EXPLODE(SPLIT(lower(text), ' ')) AS w FROM documents) d LEFT JOIN glossary g ON lower(g.term) = w LEFT JOIN (SELECT alias, min(term_id) AS term_id FROM aliases WHERE alias <> term GROUP BY alias) a ON lower(a.alias) = w WHERE coalesce(g.term_id, a.term_id) IS NOT NULL GROUP BY d.lang, coalesce(g.term_id, a.term_id)"),
-    "tm_search": ("Memory entries equal to a line, or one inside the other, of enough confidence.", "SELECT l.doc_id, l.line_no, t.tm_id, CASE WHEN l.line = t.source_term THEN 'exact' ELSE 'partial' END AS kind FROM lines l JOIN tm t ON t.confidence >= 0.3e0 AND length(l.line) >= 20 AND (contains(t.source_term, l.line) OR contains(l.line, t.source_term))"),
+    "tm_search": ("Memory entries equal to a line, or one inside the other, of enough confidence.", "SELECT l.doc_id, l.line_no, t.tm_id, CASE WHEN l.line = t.source_term THEN 'exact' ELSE 'partial' END AS kind FROM lines l JOIN tm t ON t.confidence >= 0.3e0 AND (contains(t.source_term, l.line) OR contains(l.line, t.source_term))"),
     "tm_verify_locked": ("Locked entries in a document whose translation is not there.", "SELECT d.doc_id, t.tm_id FROM documents d JOIN tm t ON t.locked AND contains(d.text, t.source_term) AND NOT contains(d.text, t.target_term)"),
     "tm_conflicts": ("Entries rejected and yet locked.", "SELECT tm_id, status FROM tm WHERE locked AND status = 'rejected'"),
     "tm_upsert": ("Latest entry of each key in lower case, with its occurrences.", "SELECT lower(event_type) AS k, count(*) AS occurrences, max(event_id) AS latest FROM events GROUP BY lower(event_type)"),

@@ -41,6 +41,8 @@ dialect.VIEWS |= {
     "blocks": "SELECT doc_id, lang, CAST(chapter AS BIGINT) AS chapter, CAST(block AS BIGINT) AS block, min(line_no) AS first_line, max(line_no) AS last_line, LISTAGG[t; ' '; line_no] AS text FROM islands WHERE NOT is_blank AND NOT is_scene GROUP BY doc_id, lang, chapter, block",
     "words": r"SELECT doc_id, lang, source, EXPLODE(regexp_extract_all(lower(text), R'[\p{L}]{3,}', 0)) AS w FROM documents",
     "mentions": rf"SELECT doc_id, lang, line_no, EXPLODE(regexp_extract_all(line, R'(?:{_HON}) [A-Z][a-z]+(?: [A-Z][a-z]+)?', 0)) AS name, 'honorific' AS pattern, 0.95e0 AS confidence FROM book",
+    "groups_of": "SELECT source, count(DISTINCT doc_id) AS total FROM documents WHERE text IS NOT NULL GROUP BY source",
+    "repeated": "SELECT x.source, x.k, x.n FROM (SELECT source, lower(line) AS k, count(DISTINCT doc_id) AS n FROM lines WHERE length(line) <= 100 AND line <> '' GROUP BY source, lower(line)) x JOIN groups_of g ON g.source IS NOT DISTINCT FROM x.source WHERE x.n >= greatest(2, CAST(floor(0.6e0 * g.total) AS BIGINT))",
     "capitals": r"SELECT doc_id, lang, line_no, EXPLODE(regexp_extract_all(line, R'[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}', 0)) AS name FROM book",
 }
 
@@ -63,8 +65,8 @@ ENTRIES = {
     "speaker_hint": ("Who speaks, by verb and name.", rf"SELECT doc_id, line_no, speaker FROM (SELECT doc_id, line_no, coalesce(nullif(regexp_extract(t, R'(?:{_VERBS})\s+([A-Z][a-z]+)', 1), ''), nullif(regexp_extract(t, R'([A-Z][a-z]+)\s+(?:{_VERBS})', 1), '')) AS speaker FROM flagged) x WHERE speaker IS NOT NULL AND lower(speaker) NOT IN ('he', 'she', 'they', 'it', 'ele', 'ela', 'eles')"),
     "sentence_split": ("Sentences of blocks.", "SELECT doc_id, block, SIZE(s) AS n, md5(array_to_string(s, '|')) AS h FROM (SELECT doc_id, block, " + _SENT.format(x="text") + " AS s FROM blocks) x"),
     "verify_no_loss": ("Documents whose lines, joined, are the text.", "SELECT d.doc_id, d.text = b.t AS same FROM documents d JOIN (SELECT doc_id, LISTAGG[line; chr(10); line_no] AS t FROM lines GROUP BY doc_id) b ON b.doc_id = d.doc_id"),
-    "repetition_detect": ("Lines in two documents or more of a source.", "SELECT source, md5(lower(line)) AS h, count(DISTINCT doc_id) AS groups FROM lines WHERE length(line) <= 100 AND line <> '' GROUP BY source, md5(lower(line)) HAVING count(DISTINCT doc_id) >= 2"),
-    "repetition_filter": ("Lines of documents without the repeated ones.", "SELECT l.doc_id, count(*) AS n FROM lines l LEFT JOIN (SELECT source, lower(line) AS k FROM lines WHERE length(line) <= 100 AND line <> '' GROUP BY source, lower(line) HAVING count(DISTINCT doc_id) >= 2) r ON r.source = l.source AND r.k = lower(l.line) WHERE r.k IS NULL GROUP BY l.doc_id"),
+    "repetition_detect": ("Lines in max(2, 0.6 of the documents) of a source or more.", "SELECT source, md5(k) AS h, n AS groups FROM repeated"),
+    "repetition_filter": ("Lines of documents without the repeated ones.", "SELECT l.doc_id, count(*) AS n FROM lines l LEFT JOIN repeated r ON r.source IS NOT DISTINCT FROM l.source AND r.k = lower(l.line) WHERE r.k IS NULL GROUP BY l.doc_id"),
     "header_footer_filter": ("Margin lines on 0.35 of the pages or more; a page is ten lines.", "SELECT doc_id, h, n FROM (SELECT doc_id, md5(line) AS h, count(DISTINCT page) AS n, max(pages) AS pages FROM (SELECT doc_id, line, line_no DIV 10 AS page, row_number() OVER (PARTITION BY doc_id, line_no DIV 10 ORDER BY line_no) AS top, row_number() OVER (PARTITION BY doc_id, line_no DIV 10 ORDER BY line_no DESC) AS bottom, max(line_no DIV 10) OVER (PARTITION BY doc_id) + 1 AS pages FROM lines) x WHERE (top <= 2 OR bottom <= 2) AND line <> '' GROUP BY doc_id, md5(line)) y WHERE n >= greatest(2, CAST(floor(pages * 0.35e0) AS BIGINT))"),
     "reading_sequence": ("Units of several kinds in one order.", "SELECT doc_id, line_no, CASE WHEN is_chapter THEN 'heading' WHEN is_dash THEN 'dialogue' ELSE 'paragraph' END AS kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS pos FROM flagged WHERE NOT is_blank"),
     "word_count": ("Words of blocks by chapter.", "SELECT doc_id, chapter, CAST(sum(SIZE(FILTER(SPLIT(text, ' '), w -> w <> ''))) AS BIGINT) AS n FROM blocks GROUP BY doc_id, chapter"),

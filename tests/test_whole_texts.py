@@ -103,3 +103,26 @@ def test_hyphens_of_all_lines(spark, lines):
     assert got[1].endswith("the international and self-made man: a ninety-nine")
     assert got[2].endswith("a:b/c*d  e..f\n“x”-\nCooperate")  # as before, prefixes are looked for in lower case only
     assert all("the international and well-known road" in x for x in got.values())
+
+
+def test_repetition_counts_groups(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("groups"))
+    docs = [(i, "Header\n" * (i < 7) + "pair\n" * (i < 2) + f"own {i}", "en", "big") for i in range(10)]
+    docs += [(10 + i, "Small\nlong " + "x" * 100, "en", "two") for i in range(2)] + [(20 + i, "none", "en", None) for i in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    total, seen = Counter(s for *_, s in docs), Counter((s, x) for _, t, _, s in docs for x in {x.lower() for x in t.split("\n") if x and len(x) <= 100})
+    drop = {k: n for k, n in seen.items() if n >= max(2, int(total[k[0]] * 0.6))}
+    assert drop == {("big", "header"): 7, ("two", "small"): 2, (None, "none"): 3}
+    assert sorted((r["source"] or "", r["groups"]) for r in rows(spark, d, "repetition_detect")) == sorted((s or "", n) for (s, _), n in drop.items())
+    want = Counter(i for i, t, _, s in docs for x in t.split("\n") if (s, x.lower()) not in drop)
+    assert {r["doc_id"]: r["n"] for r in rows(spark, d, "repetition_filter")} == want
+
+
+def test_memory_search_of_short_lines(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("memory"))
+    text, terms = "old house\n\nthe old house stands\nroad", {3: "old house", 5: "the old house stands here", 1: "road"}
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(list(terms.items()), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    want = {(1, n, t, "exact" if x == y else "partial") for n, x in enumerate(text.split("\n"), 1) for t, y in terms.items() if t >= 3 and (x in y or y in x)}
+    assert {tuple(r.values()) for r in rows(spark, d, "tm_search")} == want
+    assert len(want) == 6
