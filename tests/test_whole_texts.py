@@ -17,6 +17,7 @@ def sf(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("whole"))
     docs = [(i, t, "en", "s", len(t)) for i, t in BODY.items()]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(2, "a passage of the memory")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
@@ -126,3 +127,27 @@ def test_memory_search_of_short_lines(spark, tmp_path_factory):
     want = {(1, n, t, "exact" if x == y else "partial") for n, x in enumerate(text.split("\n"), 1) for t, y in terms.items() if t >= 3 and (x in y or y in x)}
     assert {tuple(r.values()) for r in rows(spark, d, "tm_search")} == want
     assert len(want) == 6
+
+
+def test_scores_join_every_entry(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("entries"))
+    memory = {2: "a locked passage", 3: "an open passage", 4: "another locked one"}
+    texts = {9: "The house of der Mann. a locked passage, an open passage", 29: "Doctor Watson and Ann left: another locked one.", 49: "under warehouses"}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(list(memory.items()), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    has = lambda x, t: re.search(rf"\b{re.escape(t.lower())}\b", x.lower()) is not None
+    want = {}
+    for i, text in texts.items():
+        s, t = (f"{h}\n{text}" for h in fx.PAIRS[i % len(fx.PAIRS)])
+        for cand, target in [(1, t), (2, s), (3, f"{t} {t}")] + [(4, t[:15])] * (i % 2 == 0):
+            terms = sum(0.4 * (not has(target, y)) + 0.35 * (has(target, x) and x.lower() != y.lower()) for _, x, y, _, locked, _ in fx.GLOSSARY if locked and has(s, x))
+            kept = sum(0.2 * (x.upper().lower() not in target.lower()) for k, x in memory.items() if k % 2 == 0 and x in s)
+            names = 0
+            for _, name, aliases, _ in fx.CHARACTERS:
+                parts = [w for w in name.lower().split() if len(w) > 2]
+                if len(name.split()) > 1 and any(a.lower() in s.lower() for a in [name, *filter(None, aliases.split("|"))]):
+                    names += 0.15 * (0 < sum(w in target.lower() for w in parts) < len(parts))
+            want[i, cand] = [max(0, 1 - x) for x in (terms, kept, names)]
+    assert {x for row in want.values() for x in row} > {1}
+    for at, name in enumerate(("rank_terminology", "rank_consistency", "rank_character")):
+        assert {(r["doc_id"], r["cand"]): r["score"] for r in rows(spark, d, name)} == pytest.approx({k: v[at] for k, v in want.items()})
