@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexloom.llm import chat, decontaminate, language, media, ngram_join, oracles, packing, pii, secrets, toxicity, warc
-from lexloom.session import table
+from lexloom.session import materialise, table
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, read back from their prefix trees."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    return chat.read_trees(chat.format_trees(rows.unionByName(own))).drop("n_tokens")
+    trees, _ = materialise(chat.format_trees(rows.unionByName(own)), "trees")
+    return chat.read_trees(trees).drop("n_tokens")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexloom.llm import chat
+from lexloom.session import materialise
 
 CONTROLS = ["<|turn|>", "<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", "\\-", "-", "<", "[", "a", "é\n"]
 
@@ -44,31 +46,58 @@ def corpus():
 def run(spark, rows, **limits):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, key string")
     trees = chat.format_trees(df, **limits)
+    trees, _ = materialise(trees, "trees")
     got = chat.read_trees(trees).collect()
     assert len({r.conv_id for r in got}) == len(got)
     return trees, {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in got}
 
 
-def test_round_trip(spark):
-    rows = corpus()
-    trees, got = run(spark, rows)
-    assert got == expected(rows)
-    held = trees.collect()
-    nodes = [n for t in held for n in t.nodes]
-    assert len(nodes) < len(rows) / 2  # shared turns stand once
-    for t in held:
-        at = 0
-        for n in t.nodes:
-            assert n.start == at and n.position == sum(s.end - s.start for s in n.attends)
-            at = n.end
-        assert at == len(t.token_ids)
-
-
-def test_limits_give_the_same(spark):
+def lists(pieces):
+    """Each tree's token list and nodes, its pieces put together; every token is there once."""
+    out = {}
+    for p in sorted(pieces, key=lambda p: (p.tree_id, p.start, len(p.token_ids))):
+        tokens, nodes = out.setdefault(p.tree_id, ([], []))
+        assert p.start == len(tokens)
+        tokens += p.token_ids
+        nodes += p.nodes
+    return out
+
+
+def distinct_prefixes(rows):
+    groups = {}
+    for c, n, r, t, *_ in rows:
+        groups.setdefault(c, []).append((n is not None, n or 0, r or "", t or ""))
+    seen = set()
+    for turns in groups.values():
+        turns = [(r, t) for *_, r, t in sorted(turns)]
+        seen |= {tuple(turns[: k + 1]) for k in range(len(turns))}
+    return len(seen)
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_tokens": 40}, {"max_members": 1}, {"max_tokens": 1, "max_members": 2}])
+def test_round_trip(spark, limits):
     rows = corpus()
-    trees, got = run(spark, rows, max_conversations=3)
-    assert got == expected(rows)
-    assert max(sum(len(n.conv_ids) for n in t.nodes) for t in trees.collect()) <= 3
+    for adaptive in ("true", "false"):  # without it the hot first turn runs across partitions
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            trees, got = run(spark, rows, **limits)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert got == expected(rows)
+        held = lists(trees.collect())
+        assert sum(len(nodes) for _, nodes in held.values()) == distinct_prefixes(rows)
+        for tokens, nodes in held.values():
+            at, places = 0, {}
+            for n in nodes:
+                assert n.start == at and n.position == sum(s.end - s.start for s in n.attends)
+                assert (n.parent == -1) == (n.depth == 0) and (n.depth == 0 or places[n.parent] == n.depth - 1)
+                at, places[n.start] = n.end, n.depth
+            assert at == len(tokens)
+
+
+def test_pieces_inherit(spark):
+    trees, _ = run(spark, corpus(), max_tokens=40)
+    assert trees.where("size(inherited) > 0").count() > 20
 
 
 def test_empty(spark):
@@ -78,10 +107,10 @@ def test_empty(spark):
 def test_intervals_are_ancestors():
     b = chat.Builder(lambda s: list(s.encode()))
     for k, turns in enumerate([[("u", "a")], [("u", "a"), ("assistant", "b"), ("u", "c")], [("u", "a"), ("assistant", "d"), ("u", "e")]]):
-        b.add(k, turns)
-    t = b.close()
+        b.add(k, "".join(f"{hash(t) % 10**8:032d}" for t in turns), turns)
+    t = chat.settle(b.close()[0], {})
     spans = [[(s["start"], s["end"]) for s in n["attends"]] for n in t["nodes"]]
     n = t["nodes"]
-    assert [x["parent"] for x in n] == [-1, 0, 1, 0, 3]
+    assert [x["parent"] for x in n] == [-1, 0, n[1]["start"], 0, n[3]["start"]]
     assert spans[2] == [(0, n[1]["end"])] and spans[3] == [(0, n[0]["end"])]
     assert spans[4] == [(0, n[0]["end"]), (n[3]["start"], n[3]["end"])]
