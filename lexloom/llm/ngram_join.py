@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents x n-grams as a sparse matrix, multiplied block by block.
 
 Two documents link when the Jaccard similarity of their sets of word n-grams is at least 3/4. The result is each
-document's component under all links; nothing is approximate but 54-bit hashes or longer standing for n-grams.
+document's component under all links; nothing is approximate but hashes of 53 bits or more standing for n-grams.
 
 1. Incidence blocks. One scan turns texts into sets of n-gram hashes. A chunk of texts sends each column block (a
    range of hashes) one packed list of entries. A column block drops columns with one entry, which add to no
@@ -17,13 +17,17 @@ document's component under all links; nothing is approximate but 54-bit hashes o
    pairs for which the sum reaches the bound 3/7 of both sizes are counted, exactly.
 
 Cases: a document with fewer words than n has its whole sequence as one n-gram; null, empty and blank texts have
-none and link with nothing; rows with a null id get their size and a null component and take no part in links; an
-id that several rows bear stands for all of them; an empty table gives an empty result.
+none and link with nothing; very long texts are slices of their own; rows with a null id get their size and a null
+component and take no part in links; an id that several rows bear stands for all of them; ids that are no whole
+numbers are numbered first; an empty table gives an empty result; other columns, of any name, are not read.
+Frequent keys (a text with very many copies, a bucket with very many rows) are joined by broadcast, which a bound on
+their number allows; links() gives all pairs between different texts, components() and keep_one() do without.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +35,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexloom.llm import textvec as tv
+from lexloom.llm.rows import carried
 from lexloom.session import materialise, remove, ship_package
 
 N = 5
@@ -62,14 +68,34 @@ def _pack(h: np.ndarray, row: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _chunk_rows(chunk: int, h: np.ndarray, row: np.ndarray, header: np.ndarray, bits: int) -> Iterator[dict]:
-    """The packed rows of a chunk. h, row: its entries sorted by hash."""
+    """The packed rows of a chunk. h, row: its entries sorted by hash.
+
+    A column that a chunk has once sends its entry to the column's block (kind 0). One that it has more often sends its
+    number alone (kind 2), while its entries go to the chunk's own place (kind 3), as the header does (kind 1). So a block
+    gets one entry of a frequent column from a chunk, not one from each document.
+    """
+    if h.size:
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        run = np.cumsum(new) - 1
+        sizes = np.bincount(run)
+        single = sizes[run] == 1
+        yield from _by_block(0, chunk, h[single], bits, _pack(h[single], row[single], bits))
+        columns = h[new][sizes > 1]
+        if columns.size:
+            many = sizes[sizes > 1].astype(np.uint32)
+            yield from _by_block(2, chunk, columns, bits, _pack(columns, np.zeros(columns.size, np.int64), bits), many)
+            home = columns.tobytes() + many.tobytes() + row[~single].astype(np.uint16).tobytes()
+            yield {"block": chunk * 2654435761 % (1 << bits), "chunk": chunk, "kind": 3, "data": struct.pack("<q", columns.size) + home}
+    yield {"block": chunk * 2654435761 % (1 << bits), "chunk": chunk, "kind": 1, "data": header.tobytes()}
+
+
+def _by_block(kind: int, chunk: int, h: np.ndarray, bits: int, *arrays: np.ndarray) -> Iterator[dict]:
+    """A row for each block that these sorted hashes fall in, with its part of each array."""
     block = (h >> np.uint64(64 - bits)).astype(np.int64)
-    packed = _pack(h, row, bits)
     cuts = np.flatnonzero(np.diff(block)) + 1
     for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [h.size]]).tolist(), strict=True):
         if b > a:
-            yield {"block": int(block[a]), "chunk": chunk, "kind": 0, "data": packed[a:b].tobytes()}
-    yield {"block": chunk * 2654435761 % (1 << bits), "chunk": chunk, "kind": 1, "data": header.tobytes()}
+            yield {"block": int(block[a]), "chunk": chunk, "kind": kind, "data": b"".join(x[a:b].tobytes() for x in arrays)}
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -161,24 +187,27 @@ def _column_block(counting: bool):
 def _many(block: int, table: pa.Table, counting: bool) -> pa.Table:
     kinds = table.column("kind").to_numpy()
     chunks, data = table.column("chunk").to_pylist(), table.column("data")
-    out = [{"block": block, "chunk": chunks[i], "kind": 1, "data": data[i].as_py()} for i in np.flatnonzero(kinds == 1).tolist()]
-    lists = np.flatnonzero(kinds == 0).tolist()
+    out = [{"block": block, "chunk": chunks[i], "kind": int(kinds[i]), "data": data[i].as_py()} for i in np.flatnonzero((kinds == 1) | (kinds == 3)).tolist()]
+    lists = np.flatnonzero((kinds == 0) | (kinds == 2)).tolist()
     if lists:
-        parts = [np.frombuffer(data[i].as_buffer(), dtype=np.uint64) for i in lists]
-        entries = np.concatenate(parts)
-        columns = entries >> np.uint64(16)
+        parts, weights = [], []
+        for i in lists:
+            raw = data[i].as_buffer()
+            size = len(raw) // (_ENTRY + 4 * (kinds[i] == 2))
+            parts.append(np.frombuffer(raw, dtype=np.uint64, count=size))
+            weights.append(np.frombuffer(raw, dtype=np.uint32, offset=size * _ENTRY) if kinds[i] == 2 else np.ones(size, np.uint32))
+        columns = np.concatenate(parts) >> np.uint64(16)
         order = np.argsort(columns, kind="stable")
         ranked = columns[order]
-        edge = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        run = np.cumsum(edge) - 1
-        counts = np.empty(entries.size, dtype=np.uint32)
-        counts[order] = np.bincount(run)[run]
+        run = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]])) - 1
+        counts = np.empty(columns.size, dtype=np.uint32)
+        counts[order] = np.bincount(run, np.concatenate(weights)[order])[run]
         at = 0
         for i, part in zip(lists, parts, strict=True):
             own = counts[at : at + part.size]
             many = own > 1
-            if many.any():
-                out.append({"block": block, "chunk": chunks[i], "kind": 0, "data": part[many].tobytes() + (own[many].tobytes() if counting else b"")})
+            if many.any() and (counting or kinds[i] == 0):  # a chunk knows that its own frequent columns have two entries
+                out.append({"block": block, "chunk": chunks[i], "kind": int(kinds[i]), "data": part[many].tobytes() + (own[many].tobytes() if counting else b"")})
             at += part.size
     return pa.Table.from_pylist(out, _PACKED_TYPES)
 
@@ -190,19 +219,39 @@ def _assemble(bits: int, percent: int, counting: bool):
         kinds, blocks = table.column("kind").to_pylist(), table.column("block").to_pylist()
         data = table.column("data")
         hs, rows, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        header = None
+        known, total = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        header, home = None, None
         for i, (kind, block) in enumerate(zip(kinds, blocks, strict=True)):
             raw = data[i].as_py()
             if kind == 1:
                 header = np.frombuffer(raw, dtype=_HEADER)
-                continue
-            size = len(raw) // (_ENTRY + 4 * counting)
-            entries = np.frombuffer(raw, dtype=np.uint64, count=size)
-            rows.append((entries & np.uint64(0xFFFF)).astype(np.int64))
-            hs.append((entries >> np.uint64(16)) << np.uint64(16 - bits) | np.uint64(block << 64 - bits))
-            counts.append(np.frombuffer(raw, dtype=np.uint32, offset=size * _ENTRY).astype(np.int32) if counting else np.zeros(size, np.int32))
+            elif kind == 3:
+                home = raw
+            else:
+                size = len(raw) // (_ENTRY + 4 * counting)
+                entries = np.frombuffer(raw, dtype=np.uint64, count=size)
+                h = (entries >> np.uint64(16)) << np.uint64(16 - bits) | np.uint64(block << 64 - bits)
+                n = np.frombuffer(raw, dtype=np.uint32, offset=size * _ENTRY).astype(np.int32) if counting else np.zeros(size, np.int32)
+                if kind == 2:
+                    known.append(h)
+                    total.append(n)
+                else:
+                    rows.append((entries & np.uint64(0xFFFF)).astype(np.int64))
+                    hs.append(h)
+                    counts.append(n)
         if header is None:
             return pa.Table.from_pylist([], _SETS_TYPES)
+        if home is not None:
+            size = struct.unpack_from("<q", home)[0]
+            columns, many = np.frombuffer(home, np.uint64, size, 8), np.frombuffer(home, np.uint32, size, 8 + 8 * size)
+            hs.append(np.repeat(columns, many))
+            rows.append(np.frombuffer(home, np.uint16, offset=8 + 12 * size).astype(np.int64))
+            n = np.zeros(size, np.int32)
+            if counting:
+                known, total = np.concatenate(known), np.concatenate(total)
+                order = np.argsort(known)
+                n = total[order][np.searchsorted(known[order], columns)]
+            counts.append(np.repeat(n, many))
         h, row, count = map(np.concatenate, (hs, rows, counts))
         kept = np.bincount(row, minlength=header.size)
         alive = (100 * kept >= percent * header["n"]) & (header["n"] > 0) & (header["null"] == 0)
@@ -281,22 +330,54 @@ def _linked(overlaps: DataFrame, percent: int) -> DataFrame:
     return overlaps.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
-def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row. See the module for method and cases."""
+def _frequent(rows: DataFrame, table: DataFrame, key: str, least: int) -> DataFrame:
+    """rows with the columns of table, which has one row a key and says how many `members` bear it; null where it has none.
+
+    Keys with more than `least` members, at most (members in all) / least of them, are joined by broadcast; the rest by a
+    plain join, in which rows of frequent keys and without a key are spread.
+    """
+    names = [c for c in table.columns if c not in (key, "members")]
+    hot = table.where(F.col("members") > least).select(key, F.struct(*names).alias("_hot"))
+    cold = table.where(F.col("members") <= least).select(key, F.lit(0).alias("_salt"), F.struct(*names).alias("_cold"))
+    there = rows.join(F.broadcast(hot), key, "left")
+    salt = F.when(F.col(key).isNotNull() & F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(4096)).cast("int"))
+    both = there.withColumn("_salt", salt).join(cold, [key, "_salt"], "left")
+    return both.select(*rows.columns, F.coalesce("_hot", "_cold").alias("_found")).select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in names])
+
+
+#: Members from which a key is joined by broadcast: these, or one in 2000 documents.
+_HOT = 1000
+
+
+def _incidence(docs: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, str, int]:
+    """Every row's set; the rows that can have partners, equal texts once, with their entries; the latter's path; members of a hot key."""
     spark: SparkSession = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = _bits(chars / 5)
+    size = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    bits = _bits((size[0] or 0) / 5)
     sets, _ = materialise(_product(_scan_texts(texts, n, bits), bits, percent, counting=False), "sets")
-
     # Equal word sequences are one row; its id is the smallest.
     once = sets.where("kept IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "n", "kept")).alias("r")).select("r.id", "key", "r.n", "r.kept")
-    rows, first_path = materialise(_product(_scan_sets(once, bits), bits, percent, counting=True).where("kept IS NOT NULL"), "rows")
+    rows, path = materialise(_product(_scan_sets(once, bits), bits, percent, counting=True).where("kept IS NOT NULL"), "rows")
+    return sets, rows, path, max(_HOT, size[1] // 2000)
+
+
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(id, n, size, lone, h): the entries of which any partner shares one."""
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - F.col("lone")
-    entries = rows.where(prefix > 0).select("id", "n", F.size("kept").alias("size"), (F.col("lone") / F.col("n")).alias("lone"), F.explode(F.slice("kept", 1, prefix.cast("int"))).alias("h"))
+    return rows.where(prefix > 0).select("id", "n", F.size("kept").alias("size"), (F.col("lone") / F.col("n")).alias("lone"), F.explode(F.slice("kept", 1, prefix.cast("int"))).alias("h"))
+
+
+def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row. See the module for method and cases."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        return _named(docs, text_col, id_col, n, percent)
+    spark: SparkSession = docs.sparkSession
+    sets, rows, first_path, least = _incidence(docs, text_col, id_col, n, percent)
+    entries = _prefixes(rows, percent)
     buckets = entries.groupBy("h").agg(F.min_by("id", F.struct("lone", "id")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    filled, filled_path = materialise(entries.drop("lone").join(buckets.drop("members"), "h"), "buckets")
+    filled, filled_path = materialise(_frequent(entries.drop("lone"), buckets, "h", least).where("pivot IS NOT NULL"), "buckets")
 
     pairs = filled.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     signs = F.expr(_signature("array_except(kb, ka)")).alias("missing"), F.expr(_signature("array_except(ka, kb)")).alias("outside")
@@ -312,8 +393,8 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     placed = placed.withColumn("rest", F.col("size") - F.col("o"))
     placed, placed_path = materialise(placed, "placed")
     by_component = placed.groupBy("h", "c").agg(F.count("*").alias("k"), F.max("rest").alias("rest"))
-    mixed = by_component.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.max("rest").alias("most")).where("parts > 1")
-    open_rows = placed.join(mixed.select("h", "main", "most"), "h").where(100 * (F.col("o") + F.least("rest", "most")) >= percent * F.col("n"))
+    mixed = by_component.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.max("rest").alias("most"), F.sum("k").alias("members")).where("parts > 1")
+    open_rows = _frequent(placed, mixed.drop("parts"), "h", least).where("main IS NOT NULL").where(100 * (F.col("o") + F.least("rest", "most")) >= percent * F.col("n"))
     marks = counted.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "missing", "outside")
     none = F.array(*[F.lit(0).cast("long")] * 4)
     open_rows = open_rows.join(marks, ["id", "pivot"], "left").withColumns({x: F.coalesce(x, none) for x in ("missing", "outside")})
@@ -331,20 +412,61 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     for path in (first_path, filled_path, counted_path, placed_path, open_path, late_path):
         remove(spark, path)
 
-    groups = sets.where("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("id").alias("id"))
-    by_key = groups.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    out = sets.select("id", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key"), "n").join(by_key, "key", "left")
+    linkable = F.col("id").isNotNull() & (F.col("n") > 0)
+    groups = sets.where(linkable).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("members"))
+    by_key = groups.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"), "members")
+    out = _frequent(sets.select("id", F.when(linkable, F.col("key")).alias("key"), "n"), by_key, "key", least)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component_id"))
 
 
+def _named(docs: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> DataFrame:
+    """components() of ids that are no whole numbers: these get numbers, and each component its smallest id."""
+    ids, _ = materialise(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("name")).distinct().withColumn("number", F.monotonically_increasing_id()), "names")
+    numbered = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(ids, "name", "left").select(F.col("number").alias("doc_id"), "text")
+    found, _ = materialise(components(numbered, "text", "doc_id", n, percent), "numbered")
+    own = found.join(ids, F.col("doc_id") == F.col("number"), "left").select("name", "n_shingles", "component_id")
+    least = own.where("name IS NOT NULL").groupBy("component_id").agg(F.min("name").alias("first"))
+    return own.join(least, "component_id", "left").select(F.col("name").alias(id_col), "n_shingles", F.col("first").alias("component_id"))
+
+
+def links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = N, percent: int = PERCENT, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """All links between different texts, and who bears them: (a, b, overlap, size_a, size_b) with a < b, and (doc_id, representative).
+
+    A representative is the smallest id of the rows with equal word sequences; ids are whole numbers. The result has a row
+    for each link, so in a group of m texts that are all alike it has m * (m - 1) / 2: components() does not need them. The
+    overlaps of a bucket's rows are counted in blocks of rows, each pair of blocks by itself.
+    """
+    sets, rows, _, least = _incidence(docs, text_col, id_col, n, percent)
+    entries = _prefixes(rows, percent).select("id", "n", "h")
+    counts = entries.groupBy("h").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    placed = _frequent(entries, counts, "h", least).where("blocks IS NOT NULL").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed, _ = materialise(placed, "placed")
+    left = placed.select("h", F.col("id").alias("x"), F.col("n").alias("nx"), "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+    right = placed.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), "i")).alias("i"))
+    met = left.join(right, ["h", "i", "j"]).where((F.col("i") != F.col("j")) | (F.col("x") < F.col("y"))).where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    overlaps = _overlaps(pairs, rows)
+    found = overlaps.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap", F.col("na").alias("size_a"), F.col("nb").alias("size_b"))
+    linkable = sets.where("id IS NOT NULL AND n > 0").select("id", "key")
+    groups = linkable.groupBy("key").agg(F.min("id").alias("representative"), F.count("*").alias("members"))
+    return found, _frequent(linkable, groups, "key", least).select(F.col("id").alias(id_col), "representative")
+
+
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Of each component the document with the smallest id, unchanged; rows with a null id stay.
+    """Of each component the document with the smallest id, with all its columns unchanged.
 
-    Of rows that repeat such an id, one stays.
+    Rows that share an id, or have none, are documents of their own here: where there are such, rows are told apart by
+    their place in a written copy. A row without an id comes behind those that have one.
     """
-    keep = docs.columns
-    found = components(docs, text_col, id_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    out = docs.join(found.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_keep")), "left_semi").select(*keep)
-    nulls = docs.where(F.col(id_col).isNull())
-    repeated = docs.groupBy(id_col).count().where(f"count > 1 AND `{id_col}` IS NOT NULL").take(1)
-    return (out.dropDuplicates([id_col]) if repeated else out).unionByName(nulls)
+    ids = docs.select(F.col(id_col).alias("id"))
+    plain = isinstance(docs.schema[id_col].dataType, IntegralType) and not ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").take(1)
+    if plain:
+        rows, back = carried(docs, text_col, id_col)
+        found = components(docs, text_col, id_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("key0"))
+        return back(rows.join(found.hint("shuffle_hash"), "key0", "left_semi"))
+    rows, back = carried(docs, text_col, id_col)
+    rows, _ = materialise(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    found = components(rows, "text", "number").select("number", "component_id")
+    order = F.struct(F.col("key0").isNull().alias("none"), F.col("key0"), F.col("number"))
+    best = rows.select("number", "key0").join(found, "number").groupBy("component_id").agg(F.min_by("number", order).alias("number"))
+    return back(rows.join(best, "number", "left_semi"))

@@ -14,12 +14,14 @@ corpus is; it is all that the driver gets. The plan is made on that table, in bu
 A plan is a list of patterns with counts. Pieces get their places by rank within their length: ranks are counted in
 salted shares, so one frequent length is spread over many tasks.
 
-Cases: null and empty texts are one end id; repeated rows and ids are packed row by row; an empty table gives none.
+Cases: null and empty texts are one end id; very long texts are cut in pieces; repeated rows and ids are packed row by
+row; null ids pass through; an empty table gives none; other columns, of any name, are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import unicodedata
 import zlib
@@ -28,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,7 +44,21 @@ CACHE_WORDS = 300_000
 SHARE_ROWS = 100_000
 
 # Fixed value: how the tokenizer file splits lower-cased text into words.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def unassigned() -> re.Pattern:
+    """Finds a code point that this Python's Unicode does not know; libraries may disagree on its class."""
+    from sys import maxunicode
+
+    runs: list[list[int]] = []
+    for c in range(0x80, maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
 
 
 def default_tokenizer() -> str:
@@ -77,11 +92,16 @@ class WordTokenizer:
 
     The tokenizer normalises (NFC, lower case), splits in words and encodes each word by itself, so the ids of a text
     are those of its words. Texts for which that does not hold letter by letter (not in NFC; Σ and İ, whose
-    lower case depends on the library; characters of special tokens) go to the tokenizer whole.
+    lower case depends on the library; characters of special tokens; code points that the installed Unicode tables
+    may class differently) go to the tokenizer whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        import regex
+
         self.words = _Words(path, cache_words)
+        self.split = regex.compile(_SPLIT).findall
+        self.unsure = unassigned().search
 
     def whole(self, text: str) -> bytes:
         """The tokenizer's own answer."""
@@ -90,9 +110,9 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids of text."""
-        if not text.isascii() and (not unicodedata.is_normalized("NFC", text) or "Σ" in text or "İ" in text) or "<|" in text:
+        if not text.isascii() and ("Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text) or self.unsure(text)) or "<|" in text:
             return self.whole(text)
-        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, self.split(text.lower())))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

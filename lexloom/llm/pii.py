@@ -11,19 +11,22 @@ other candidate, and the dynamic program decides about the rest. A candidate mus
 card: 13 to 19 digits and the checksum; for an address: parts of at most 255; and so on).
 
 Training data are regions of a bounded sample of documents (`sample` rows of up to `max_chars` characters, by a hash
-of the id) with the base rules' spans as truth, and copies of them: phones without the country prefix and cards with
+of id and text; regions of up to MAX_REGION atoms, of which `most` are used) with the base rules' spans as truth, and copies of them: phones without the country prefix and cards with
 other separators as further truth; broken checksums and parts over 255 as counterexamples.
 
-Cases: null and empty texts have no spans; texts are scanned whole; equal rows give equal spans; without any
-training region only the base rules act.
+Cases: null and empty texts have no spans; texts are scanned whole, in time that grows with their length and not with
+its square; equal rows give equal spans; without any training region (an empty table) only the base rules act; null
+ids pass through; docs' own columns named base or pii are replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ MAX_ATOMS = 22
 SAMPLE = 1500
 MAX_CHARS = 20_000
 EPOCHS = 4
+#: Atoms of a region that is fitted on.
+MAX_REGION = 60
 _FEATURES = 1 << 12
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|[\s\S]")
 _CHUNK = re.compile(r"\S+")
@@ -150,27 +155,47 @@ class Region:
     plain: list[list[int]]  # feature slots of each atom outside entities
 
 
+_NUMBER_MARKS = frozenset(" ().+/-")
+
+
 def region_of(text: str, a: int, b: int, pinned: list[tuple[int, int]]) -> Region:
-    """The candidates in text[a:b] that touch nothing pinned."""
+    """The candidates in text[a:b] that touch nothing pinned. pinned: in order of their starts."""
     atoms = [(a + m.start(), m[0]) for m in _ATOM.finditer(text[a:b])]
     starts = [p for p, _ in atoms] + [b]
-    taken = [any(x < starts[i + 1] and starts[i] < y for x, y in pinned) for i in range(len(atoms))]
-    by_end: list[list] = [[] for _ in range(len(atoms) + 1)]
+    size = len(atoms)
+    edges = [0] * (size + 1)  # +1 where a pinned span begins to cover atoms, -1 behind it
+    for x, y in pinned:
+        first, last = max(0, bisect.bisect_right(starts, x) - 1), min(size, bisect.bisect_left(starts, y))
+        if last > first:
+            edges[first] += 1
+            edges[last] -= 1
+    taken = [n > 0 for n in accumulate(edges[:size])]
+    by_end: list[list] = [[] for _ in range(size + 1)]
     for i, (p, s) in enumerate(atoms):
-        if not (s[0].isalnum() or s in "+("):
+        if not (s[0].isalnum() or s in "+(") or taken[i] or (i and atoms[i - 1][1][-1].isalnum()):
             continue
-        if i and atoms[i - 1][1][-1].isalnum():
-            continue
-        for j in range(i + 1, min(len(atoms), i + MAX_ATOMS) + 1):
+        number = mail = ip = True  # what the characters so far allow
+        digits = ats = dots = 0
+        for j in range(i + 1, min(size, i + MAX_ATOMS) + 1):
             if taken[j - 1]:
                 break
-            if not atoms[j - 1][1][-1].isalnum() or (j < len(atoms) and atoms[j][1][0].isalnum()):
+            own = atoms[j - 1][1]
+            if "0" <= own[0] <= "9":
+                digits += len(own)
+            else:
+                number = number and own in _NUMBER_MARKS
+                ip, dots = ip and own == ".", dots + (own == ".")
+                ats += own == "@"
+                mail = mail and (own == "@" or (own.isascii() and own[0] in _LOCAL))
+            if not (number and digits <= 19 or ip and dots <= 3 or mail and ats <= 1):
+                break
+            if not own[-1].isalnum() or (j < size and atoms[j][1][0].isalnum()) or not (number and digits >= 8 or ip and dots == 3 or mail and ats == 1):
                 continue
-            own = text[p : starts[j]]
-            if kinds := admissible(own):
-                by_end[j].append((i, kinds, features(own, text[p - 1 : p] if p else "", text[starts[j] : starts[j] + 1])))
-    plain = [[_slot(f"plain {_shape(s)}")] for _, s in atoms]
-    return Region(len(atoms), starts, by_end, plain)
+            found = text[p : starts[j]]
+            if kinds := admissible(found):
+                by_end[j].append((i, kinds, features(found, text[p - 1 : p] if p else "", text[starts[j] : starts[j] + 1])))
+    plain = [[_slot(f"plain {_shape(s)}")] for _, s in atoms] if any(by_end) else []
+    return Region(size, starts, by_end, plain)
 
 
 class Model:
@@ -189,20 +214,41 @@ class Model:
                 yield i, k, slots, float(self.w[k, slots].sum())
 
     def decode(self, r: Region) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities: (type, first character, end). Ties: no entity, then the listed order."""
-        k = len(KINDS) + 1
-        best = np.full((r.size + 1, k), -np.inf)
+        """The best segmentation's entities: (type, first character, end). Ties: no entity, then the listed order.
+
+        An atom that no candidate covers is outside entities in every segmentation, so the program runs over each
+        stretch of covered atoms and the atom behind it alone.
+        """
+        out: list[tuple[int, int, int]] = []
+        j, reach = 0, 0
+        begins: dict[int, int] = {}
+        for e, segs in enumerate(r.by_end):
+            for i, _, _ in segs:
+                begins[i] = max(e, begins.get(i, 0))
+        for i in sorted(begins):
+            if i <= reach and reach:
+                reach = max(reach, begins[i])
+                continue
+            if reach:
+                out += self._stretch(r, j, reach)
+            j, reach = i, begins[i]
+        return out + (self._stretch(r, j, reach) if reach else [])
+
+    def _stretch(self, r: Region, a: int, b: int) -> list[tuple[int, int, int]]:
+        """decode() of the atoms a to b; what stands before and behind is outside entities."""
+        k, end = len(KINDS) + 1, min(r.size, b + 1)
+        best = np.full((end - a + 1, k), -np.inf)
         best[0, 0] = 0
         back: dict[tuple[int, int], tuple[int, int]] = {}
-        for j in range(1, r.size + 1):
+        for j in range(a + 1, end + 1):
             for i, y, _, s in self.segments(r, j):
-                into = best[i] + self.t[:, y] if i else np.where(np.arange(k) == 0, best[0], -np.inf)
+                into = best[i - a] + self.t[:, y] if i else np.where(np.arange(k) == 0, best[0], -np.inf)
                 p = int(into.argmax())
-                if into[p] + s > best[j, y]:
-                    best[j, y] = into[p] + s
+                if into[p] + s > best[j - a, y]:
+                    best[j - a, y] = into[p] + s
                     back[j, y] = (i, p)
-        j, y, out = r.size, int(best[r.size].argmax()), []
-        while j:
+        j, y, out = end, int(best[end - a].argmax()) if end == b else 0, []
+        while j > a:
             i, p = back[j, y]
             if y:
                 out.append((y, r.starts[i], r.starts[j]))
@@ -289,7 +335,7 @@ def fit(texts: list[str], epochs: int = EPOCHS, seed: int = 5, most: int = 3000)
     for text in texts:
         for own, spans in examples(text):
             r = region_of(own, 0, len(own), [])
-            if r.size <= 60 and any(r.by_end):
+            if r.size <= MAX_REGION and any(r.by_end):
                 rows.append((r, truth_of(own, r, spans)))
     rows = [rows[i] for i in rng.permutation(len(rows))[:most]]
     gw, gt = np.full(model.w.shape, 1e-3), np.full(model.t.shape, 1e-3)
@@ -310,13 +356,19 @@ def find(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list[tupl
     base = base_spans(text)
     added = []
     if model.trained:
-        pinned = [(a, b) for _, a, b in base]
+        pinned = sorted((a, b) for _, a, b in base)
+        first = 0  # spans before `first` end before every region to come
         for a, b in regions(text):
-            near = [(x, y) for x, y in pinned if x < b and a < y]
+            while first < len(pinned) and pinned[first][1] <= a:
+                first += 1
+            last = first
+            while last < len(pinned) and pinned[last][0] < b:
+                last += 1
+            near = [(x, y) for x, y in pinned[first:last] if y > a]
             if len(near) == 1 and near[0][0] <= a + 1 and near[0][1] >= b - 1:
                 continue
             r = region_of(text, a, b, near)
-            if any(r.by_end):
+            if r.plain:
                 added += [(KINDS[y - 1], x, z) for y, x, z in model.decode(r)]
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
     return base, sorted(base + added, key=order)
@@ -326,12 +378,13 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, max_chars: int = MAX_CHARS) -> Model:
-    """Fits on about `sample` documents that hold a digit or an at sign."""
-    some = docs.where((F.length(text_col) <= max_chars) & F.col(text_col).rlike("[0-9@]"))
+    """Fits on at most `sample` distinct texts, about, that hold a digit or an at sign, chosen by a hash of id and text."""
+    some = docs.where((F.length(text_col) <= max_chars) & F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
     n = some.count()
     span = 1_000_003
-    dice = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("pii")), F.lit(span))
-    rows = some.where(dice < int(span * min(1.0, sample / max(1, n)))).select(F.col(text_col).alias("t")).collect()
+    dice = F.pmod(F.xxhash64("id", "t", F.lit("pii")), F.lit(span))
+    chosen = some.withColumn("dice", dice).where(F.col("dice") < int(span * min(1.0, sample / max(1, n))))
+    rows = chosen.orderBy("dice", "id").limit(sample + sample // 10).select("t").collect()
     return fit(sorted({r["t"] for r in rows}))
 
 

@@ -6,7 +6,8 @@ match that fails it is dropped and not tried again. (Bounds on a length are cond
 class in which the rule can begin anew would multiply the states of the subset construction.) Spans are code points, end exclusive.
 
 Cases: null and empty texts have no spans; texts of any length are scanned whole; kinds may overlap one another;
-equal spans of two kinds are both reported.
+equal spans of two kinds are both reported; repeated rows give equal spans; an empty table gives none; null ids pass
+through; redact() returns docs' own columns, whatever their names, find_secrets() replaces one named secrets.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import automaton as am
 from lexloom.llm import textvec as tv
+from lexloom.llm.rows import carried
 from lexloom.session import ship_package
 
 
@@ -152,8 +154,9 @@ def digest(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every secret in the text replaced by a mark; overlapping spans by one. Other texts are unchanged."""
-    keep, text = docs.columns, F.col(text_col)
+    """docs with every secret in the text replaced by a mark; overlapping spans by one. Other texts, and all other columns, are unchanged."""
+    rows, back = carried(docs, text_col)
+    text = F.col("text")
     merged = F.aggregate(
         "secrets",
         F.array().cast("array<struct<start:long,end:long>>"),
@@ -169,4 +172,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, rules: tup
         lambda acc, s: F.struct(F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("at")),
     )
     clean = F.concat(pieces["out"], F.substring(text, pieces["at"].cast("int") + 1, F.length(text)))
-    return find_secrets(docs, text_col, rules).withColumn(text_col, F.when(F.size("secrets") > 0, clean).otherwise(text)).select(*keep)
+    return back(find_secrets(rows, "text", rules).withColumn("text", F.when(F.size("secrets") > 0, clean).otherwise(text)))

@@ -9,11 +9,13 @@ at least; a member's last byte is the top byte of its length, zero below 16 MiB,
 Reader: Spark's line reader with the gzip magic as separator. Each task scans its byte range for the magic and owns
 the records that begin there, reading on beyond the range to the next magic. A candidate counts only if its gzip
 header, its deflate stream with checksum, its WARC version line and its Content-Length hold. A magic inside
-compressed data cuts a member in pieces: pieces are joined until they decode, and the piece of a member cut
-at a range's end is completed from the next range.
+compressed data cuts a member in pieces: pieces are joined until they decode; those of a member cut at a range's end,
+or in more than PIECE_LIMIT pieces, are completed by file in a second step, which has no limit. No record is lost in
+silence: bytes that make no record there (a damaged or cut-off archive) raise an error.
 
 Cases: a null or empty payload is a response of 0 bytes; a null page id is an empty header and read as null; a null
-url has no target header; repeated rows with the smallest id are all responses; an empty table gives no records.
+url has no target header; repeated rows with the smallest id are all responses; an empty table gives no records;
+very long payloads are one record each; other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ MAGIC = b"\x1f\x8b\x08"
 _LATIN = "ISO-8859-1"
 _VERSION = b"WARC/1.1\r\n"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Pieces of one member that a range holds before it leaves them to the second step.
 PIECE_LIMIT = 64
 
 
@@ -153,8 +156,8 @@ _EDGE_FIELDS = [("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()
 class _Range:
     """The pieces of one byte range, in order: whole records, and what is left for the neighbours."""
 
-    def __init__(self, file: str, block: int, with_payload: bool = True):
-        self.file, self.block, self.seq, self.with_payload = file, block, 0, with_payload
+    def __init__(self, file: str, block: int, with_payload: bool = True, limit: int = PIECE_LIMIT):
+        self.file, self.block, self.seq, self.with_payload, self.limit = file, block, 0, with_payload, limit
         self.pending: list[bytes] = []
         self.edges: list[dict] = []
 
@@ -182,7 +185,7 @@ class _Range:
         except ValueError:
             if self.pending:
                 self.pending.append(piece)
-                if len(self.pending) > PIECE_LIMIT:
+                if len(self.pending) > self.limit:
                     for x in self.pending:
                         self._edge(x)
                     self.pending = []
@@ -238,13 +241,36 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     whole = both.where("file IS NULL").select(*(n for n, _ in _FIELDS))
     rest = both.where("file IS NOT NULL").select("file", "block", "seq", "piece")
 
-    def stitch(table: pa.Table) -> pa.Table:
-        at, rows = _Range("", 0, with_payload), []
-        for r in sorted(table.to_pylist(), key=lambda r: (r["block"], r["seq"])):
-            rows += at.add(r["piece"])
-        return pa.Table.from_pylist(rows, pa.schema(_FIELDS))
+    def put_together(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(stitch(table.to_pylist(), with_payload), pa.schema(_FIELDS))
 
-    return whole.unionByName(rest.groupBy("file").applyInArrow(stitch, READ))
+    return whole.unionByName(rest.groupBy("file").applyInArrow(put_together, READ))
+
+
+def stitch(edges: list[dict], with_payload: bool = True) -> list[dict]:
+    """Rows of the records in a file's edges; ValueError if pieces are left over, since a record would be missing.
+
+    The pieces of a member go through one decompressor, so many of them cost no more than few. A member ends where its
+    stream does; what begins with the magic inside a stream is no member.
+    """
+    rows, pieces = [], [r["piece"] for r in sorted(edges, key=lambda r: (r["block"], r["seq"]))]
+    at = 0
+    while at < len(pieces):
+        unzip, end = zlib.decompressobj(31), at
+        try:
+            while end < len(pieces) and not unzip.eof:
+                unzip.decompress(pieces[end])
+                end += 1
+        except zlib.error as e:
+            raise ValueError(f"a damaged member in an archive: {e}") from e
+        if not unzip.eof or unzip.unused_data:
+            raise ValueError("an archive ends inside a member" if not unzip.eof else "bytes behind a member")
+        found = decode(b"".join(pieces[at:end]))
+        if found:
+            row = _row(found)
+            rows.append(row if with_payload else row | {"payload": None})
+        at = end
+    return rows
 
 
 def _batch(rows: list[dict], edges: list[dict]) -> pa.RecordBatch:

@@ -68,7 +68,7 @@ def test_judge(spark):
 
 def test_blocks_give_the_same(spark):
     docs, items = frames(spark, ROWS)
-    one, many = (sorted(map(str, dc.judge(dc.find_hits(docs, items, block_windows=k)).collect())) for k in (10**6, 1))
+    one, many = (sorted(map(str, dc.judge(dc.find_hits(docs, items, block_bytes=k)).collect())) for k in (10**6, 1))
     assert one == many
 
 
@@ -80,3 +80,22 @@ def test_empty_tables(spark):
 
 def test_remove_spans():
     assert dc.remove_spans("Aé b, c d!", [(1, 3)]) == "Aé  d!"
+
+
+def test_own_columns_stay(spark):
+    docs, items = frames(spark, ROWS)
+    docs = docs.selectExpr("doc_id", "n_words", "text", "7L AS hits", "true AS contaminated", "'r' AS row", "1 AS n_hit")
+    for block in (10**6, 1):
+        kept = dc.drop_contaminated(docs, items, block_bytes=block)
+        assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id IS NULL OR doc_id IN (2, 3, 5)").collect()))
+    cut = dc.drop_spans(docs, items)
+    assert cut.columns == docs.columns and cut.count() == docs.count()
+    assert {r.doc_id: r.text for r in cut.collect() if r.doc_id in (2, 4)} == {2: None, 4: "a "}
+
+
+def test_equal_windows_of_many_items():
+    import pyarrow as pa
+
+    grams = dc.NgramSet([(str(k), "a b " + LONG) for k in range(5)] + [("x", None)])
+    _, data, bounds = next(iter(dc.tv.text_slices(pa.array([LONG + " z", "z"]))))
+    assert grams.scan(data, bounds) == [(15, [(0, 14)], list("01234")), (1, [], [])]

@@ -85,3 +85,16 @@ def test_query(spark):
     assert lg.identify(docs.limit(0), profiles).count() == 0
     none = lg.train(docs, F.lit(False))
     assert {r.lang_pred for r in lg.identify(docs, none).collect()} == {"und"}
+
+
+def test_letters_of_all_planes():
+    p = lg.Profiles({"x": lg.ranked(*lg.gram_counts("abc"))})
+    assert p.predict(chr(0x30000) + chr(0x31350))[0] == "x" and p.predict("12 \u0301")[0] == "und"
+
+
+def test_dirty_languages(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text of words ', id % 7) AS text", "CASE WHEN id % 3 = 0 THEN 'en' ELSE concat('x', id) END AS lang")
+    profiles = lg.train(docs, F.lit(True), sample=100, most=10)
+    assert len(profiles.names) <= 10 and "en" in profiles.names
+    hot = spark.range(5000).selectExpr("7L AS doc_id", "'the same text' AS text", "'en' AS lang")
+    assert lg.train(hot, F.lit(True), sample=50).names in ([], ["en"])

@@ -76,9 +76,48 @@ def test_empty(spark):
 
 
 def test_keep_one(spark):
-    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words here"), (3, "other words here"), (None, "a b c d e f g"), (4, "")]
-    kept = nj.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id for r in kept), key=str) == [1, 3, 4, None]
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words here"), (3, "other words here"), (3, "one id but another text"), (None, "a b c d e f g"), (None, "no id and no copy"), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, _keep long, component_id string")
+    kept = nj.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r._keep for r in kept.collect())) == [0, 2, 4, 6, 7, 8]
+    plain = docs.where("_keep IN (0, 1, 2, 7)")
+    assert sorted(r._keep for r in nj.keep_one(plain).collect()) == [0, 2, 7]
+    named = docs.selectExpr("concat('d', doc_id) AS doc_id", "text", "_keep")
+    assert sorted(r._keep for r in nj.keep_one(named).collect()) == [0, 2, 4, 6, 7, 8]
+
+
+def test_named_documents(spark):
+    docs = spark.createDataFrame([("b", "a b c d e f"), ("a", "A b c d e f"), ("c", "x"), (None, "y z"), ("d", None)], "doc_id string, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.components(docs).collect()), key=str)
+    assert got == [("a", 2, "a"), ("b", 2, "a"), ("c", 1, "c"), ("d", 0, "d"), (None, 1, None)]
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_links_are_brute_force(spark, block):
+    rows = [r for r in {i: (i, t) for i, t in corpus(3) if i is not None}.values()]
+    found, members = nj.links(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
+    sets = {i: shingles(t) for i, t in rows}
+    words = {i: tuple(WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in rows}
+    first = {}
+    for i in sorted(words):
+        first.setdefault(words[i], i)
+    own = {i: first[words[i]] for i in words if words[i]}
+    assert {r.doc_id: r.representative for r in members.collect()} == own
+    reps = sorted(set(own.values()))
+    want = {(a, b, len(sets[a] & sets[b])) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [(r.a, r.b, r.overlap) for r in found.collect()]
+    assert len(got) == len(set(got)) and {(a, b) for a, b, _ in got} == {(a, b) for a, b, _ in want} and set(got) == want
+
+
+def test_frequent_columns_and_keys(spark, monkeypatch):
+    """Copies, near copies and a passage in every text, with every key taken for a hot one."""
+    monkeypatch.setattr(nj, "_HOT", 3)
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(30))
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, passage + " " + " ".join(base if k % 3 == 0 else base[: rng.randrange(40, 60)] if k % 3 == 1 else [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(4, 30))])) for k in range(400)] + [(1000 + k, None) for k in range(50)]
+    assert run(spark, rows) == brute(rows)
 
 
 @settings(max_examples=100, deadline=None)

@@ -1,5 +1,6 @@
 import random
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 from functools import cache
@@ -107,3 +108,18 @@ def test_query(spark, rows):
         assert at <= 4096
     total = sum(r.length for r in got)
     assert len(sequences) <= -(-total // 4096) + 1
+
+
+def test_every_code_point():
+    """The ids of each code point in a word, between words and beside a digit are the tokenizer's own."""
+    own = pk.WordTokenizer(pk.default_tokenizer())
+    rare = lambda c: 0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or c >= 0xE000  # noqa: E731  long runs of one class, of which edges and a part are tried
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (not rare(c) or c % 16 in (0, 15) or 0x1E000 <= c < 0x20000 or 0xF900 <= c < 0x10000 or unicodedata.category(chr(c)) != unicodedata.category(chr(c - 1)) or unicodedata.category(chr(c)) != unicodedata.category(chr(min(c + 1, 0x10FFFF))))]
+    texts = [f"a{chr(c)}b {chr(c)}1" for c in points]
+    wrong = []
+    for at in range(0, len(texts), 20_000):
+        some = texts[at : at + 20_000]
+        for text, e in zip(some, own.words.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+            if own.encode(text) != struct.pack(f"<{len(e.ids)}I", *e.ids):
+                wrong.append(text)
+    assert not wrong

@@ -105,3 +105,50 @@ def test_query(spark, model):
     assert got[1][3] == hashlib.sha256(b"email:7:14").hexdigest() and got[3][3] == hashlib.sha256(b"").hexdigest()
     assert pii.find_pii(df.limit(0), model).count() == 0
     assert not pii.train(df.limit(0)).trained
+
+
+def full_decode(m, r):
+    """The dynamic program over all atoms of a region."""
+    k = len(pii.KINDS) + 1
+    best = np.full((r.size + 1, k), -np.inf)
+    best[0, 0] = 0
+    back = {}
+    for j in range(1, r.size + 1):
+        for i, y, _, s in m.segments(r, j):
+            into = best[i] + m.t[:, y] if i else np.where(np.arange(k) == 0, best[0], -np.inf)
+            p = int(into.argmax())
+            if into[p] + s > best[j, y]:
+                best[j, y], back[j, y] = into[p] + s, (i, p)
+    j, y, out = r.size, int(best[r.size].argmax()), []
+    while j:
+        i, p = back[j, y]
+        out += [(y, r.starts[i], r.starts[j])] if y else []
+        j, y = i, p
+    return out[::-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*PARTS, "(824) 555-5244", "4539.5787.6362.1486", " ", " "]), max_size=14).map("".join), st.integers(0, 5))
+def test_stretches_are_the_whole_program(text, seed):
+    rng = np.random.default_rng(seed)
+    m = pii.Model()
+    m.w[:], m.t[:] = rng.normal(0, 1, m.w.shape), rng.normal(0, 1, m.t.shape)
+    r = pii.region_of(text, 0, len(text), [])
+    if r.plain:
+        assert m.decode(r) == full_decode(m, r)
+    every = {(i, j) for j, segs in enumerate(r.by_end) for i, _, _ in segs}
+    atoms = [x[0] for x in pii._ATOM.finditer(text)]
+    for i in range(len(atoms)):
+        for j in range(i + 1, min(len(atoms), i + pii.MAX_ATOMS) + 1):
+            inside = (atoms[i][0].isalnum() or atoms[i] in "+(") and atoms[j - 1][-1].isalnum() and not (i and atoms[i - 1][-1].isalnum()) and not (j < len(atoms) and atoms[j][0].isalnum())
+            assert ((i, j) in every) == bool(inside and pii.admissible("".join(atoms[i:j])))
+
+
+@pytest.mark.parametrize("unit", ["u{k}.n@mail.example.com ", "10.0.{k}.7 ", "u{k}@a.org\n", "+1 (824) 555-{k} ", "x{k} "])
+def test_long_lines_take_linear_time(model, unit):
+    import time
+
+    text = "".join(unit.format(k=1000 + k % 200) if "555" in unit else unit.format(k=k % 200) for k in range((1 << 20) // len(unit)))
+    began = time.process_time()
+    base, every = pii.find(text, model)
+    assert time.process_time() - began < 15 and set(base) <= set(every)

@@ -83,3 +83,10 @@ def test_query_and_redaction(spark):
     out = {r.doc_id: r.text for r in sc.redact(df).collect()}
     assert out[1] == "é [SECRET] end" and out[2] is None and out[3] == "" and out[None] == "clean" and out[4].endswith("[SECRET]")
     assert sc.find_secrets(df.limit(0)).count() == 0
+
+
+def test_own_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a password=abcdefgh12 b", "own", 5), (None, None, None, None)], "doc_id long, text string, secrets string, row int")
+    got = sc.redact(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "a [SECRET] b", "own", 5), (None, None, None, None)]

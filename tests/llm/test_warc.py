@@ -72,3 +72,30 @@ def test_long_record_keeps_its_last_byte():
     data = b"a" * (17 << 20)
     packed = warc.member(data, 1) + b"\0"
     assert gzip.decompress(packed) == data
+
+
+def many_pieces(n):
+    """A member whose compressed bytes hold the magic n times: a stored block of them."""
+    import zlib
+
+    page = (warc.MAGIC + b"abc") * n
+    c = zlib.compressobj(0, zlib.DEFLATED, 31)
+    raw = c.compress(warc.record(7, None, page, hashlib.sha256(page).hexdigest(), len(page), None)) + c.flush()
+    return page, [warc.MAGIC + x for x in raw.split(warc.MAGIC)[1:]]
+
+
+@pytest.mark.parametrize("n", [3, 63, 64, 200])
+def test_a_member_of_many_pieces(n):
+    page, pieces = many_pieces(n)
+    assert len(pieces) == n + 1
+    at = warc._Range("f", 0)
+    rows = [r for p in pieces for r in at.add(p)]
+    rows += warc.stitch(at.close())
+    assert [(r["page_id"], r["payload"]) for r in rows] == [(7, page)]
+
+
+def test_left_over_bytes_are_an_error():
+    _, pieces = many_pieces(100)
+    edges = [{"block": 0, "seq": k, "piece": p} for k, p in enumerate(pieces[:-1])]
+    with pytest.raises(ValueError):
+        warc.stitch(edges)
