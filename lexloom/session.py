@@ -47,9 +47,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexloom-scratch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
