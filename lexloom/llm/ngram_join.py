@@ -338,7 +338,8 @@ def _frequent(rows: DataFrame, table: DataFrame, key: str, least: int) -> DataFr
     """
     names = [c for c in table.columns if c not in (key, "members")]
     hot = table.where(F.col("members") > least).select(key, F.struct(*names).alias("_hot"))
-    cold = table.where(F.col("members") <= least).select(key, F.lit(0).alias("_salt"), F.struct(*names).alias("_cold"))
+    zero = F.pmod("members", F.lit(1)).cast("int")  # a literal would be taken out of the join's keys
+    cold = table.where(F.col("members") <= least).select(key, zero.alias("_salt"), F.struct(*names).alias("_cold"))
     there = rows.join(F.broadcast(hot), key, "left")
     salt = F.when(F.col(key).isNotNull() & F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(4096)).cast("int"))
     both = there.withColumn("_salt", salt).join(cold, [key, "_salt"], "left")
