@@ -25,8 +25,11 @@ _FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "glossary": lambda spark, _: fx.glossary(spark),
     "characters": lambda spark, _: fx.characters(spark),
     "lines": fx.lines,
+    "hits": fx.hits,
+    "tm": fx.tm,
+    "tm_hits": fx.tm_hits,
 }
-_CTES = {"pairs": fx.PAIRS_SQL, "glossary": fx.GLOSSARY_SQL, "characters": fx.CHARACTERS_SQL, "lines": fx.LINES_SQL}
+_CTES = {"pairs": fx.PAIRS_SQL, "glossary": fx.GLOSSARY_SQL, "characters": fx.CHARACTERS_SQL, "lines": fx.LINES_SQL, "hits": fx.HITS_SQL, "tm": fx.TM_SQL, "tm_hits": fx.TM_HITS_SQL}
 
 
 def _swap(sql: str, words: dict[str, str]) -> str:
@@ -68,8 +71,8 @@ def used(sql: str) -> list[str]:
         for name in (*TABLES, *_FRAMES, *VIEWS):
             if name not in found and re.search(rf"\b{name}\b", text):
                 found.add(name)
-                if name in VIEWS:
-                    todo.append(VIEWS[name])
+                if name in VIEWS or name in _CTES:
+                    todo.append(VIEWS.get(name) or _CTES[name])
     return [n for n in (*TABLES, *_FRAMES, *VIEWS) if n in found]
 
 

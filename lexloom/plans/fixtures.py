@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.operators import matching
 from lexloom.session import table
 
 #: Sentence pairs with and without defects; row k goes with the documents whose id leaves k.
@@ -21,12 +22,12 @@ PAIRS = [
     ("He never came [1] (Smith, 1999).", "Ele nunca veio [1] (Smith, 1999)."),
     ("He never came [1] and [^2] (Smith, 1999).", "Ele veio [1]."),
     ("He came home.", "Ele não veio para casa."),
-    ("One day. Two men. Three dogs. A long road lay ahead of them all.", "Um dia dois homens."),
+    ("One day. Two men. Three dogs. A long road lay ahead of them all.", "Um dia dois homens, cara."),
     ("A very long sentence that says many things about the weather.", "Curto."),
     ("Sherlock Holmes met the Count at Baker Street.", "Sherlock Holms encontrou o conde na rua."),
     ("Doctor Watson smiled and the Count laughed aloud.", "O homem sorriu e o Count riu muito alto. O homem sorriu e o Count riu muito alto."),
-    ("\"Where are you?\" he whispered, furious.", "\"Onde você está?\" ele disse, zangado."),
-    ("She said that he was happy and rich.", "Ele disse que ela estava triste e pobre."),
+    ("\"Where are you?\" he whispered, furious.", "\"Onde você está?\" ele disse, chateado."),
+    ("She said that he was alive and furious.", "Ele disse que ela estava morto e irritada."),
     ("Actually he pretended to be a parent of the boy.", "Atualmente ele pretendia ser parente do menino."),
     ("They walked (slowly) to the old house.", "Eles caminharam (devagar para a casa de"),
 ]
@@ -96,6 +97,57 @@ def characters(spark: SparkSession) -> DataFrame:
 
 CHARACTERS_SQL = f"characters AS (SELECT character_id, name, list_filter(string_split(aliases, '|'), lambda x: x <> '') AS aliases, gender FROM {values(CHARACTERS, CHARACTER_COLUMNS)})"
 
+#: Every word of the dictionaries and what it is: a term, its alias or translation, a name or a nickname.
+WORDS = [(w, i, x) for i, term, target, _, _, aliases in GLOSSARY for w, x in (("term", term), ("target", target), *(("alias", a) for a in aliases.split("|") if a))]
+WORDS += [(w, i, x) for i, name, aliases, _ in CHARACTERS for w, x in (("name", name), *(("nick", a) for a in aliases.split("|") if a))]
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, chapter, seq, side, what, id, word, n, starts): the dictionaries' words in both sides of the pairs, in one scan."""
+    side = F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("source").alias("text")), F.struct(F.lit("t").alias("side"), F.col("target").alias("text")))).alias("x")
+    sides = pairs(spark, sf_dir).select("doc_id", "chapter", "seq", side).select("doc_id", "chapter", "seq", "x.side", "x.text")
+    words = spark.createDataFrame(WORDS, "what string, id int, term string")
+    found = matching.find_terms(sides, words, keys=("doc_id", "chapter", "seq", "side"), term_keys=("what", "id"))
+    return found.select("doc_id", "chapter", "seq", "side", "what", "id", F.col("term").alias("word"), F.size("starts").cast("long").alias("n"), "starts")
+
+
+# Places: a text is split at a word; what stands before and behind each piece's end must be no word's inside.
+_INNER = "[\\p{L}\\p{N}_]"
+HITS_SQL = f"""hits AS (
+  SELECT doc_id, chapter, seq, side, what, id, word, CAST(len(starts) AS BIGINT) AS n, starts FROM (
+    SELECT doc_id, chapter, seq, side, what, id, word, list_filter(list_transform(generate_series(1, len(parts) - 1), lambda k: CAST(list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(word) AS BIGINT)),
+      lambda at: NOT regexp_matches(substr(low, at + length(word) + 1, 1), '{_INNER}') AND (at = 0 OR NOT regexp_matches(substr(low, greatest(at, 1), 1), '{_INNER}'))) AS starts FROM (
+      SELECT doc_id, chapter, seq, side, what, id, word, low, string_split(low, lower(word)) AS parts FROM (
+        SELECT doc_id, chapter, seq, 's' AS side, lower(source) AS low FROM pairs UNION ALL SELECT doc_id, chapter, seq, 't', lower(target) FROM pairs) x, {values(WORDS, "what, id, word")} w WHERE contains(low, lower(word))) y) z
+  WHERE len(starts) > 0)"""
+
+
+def tm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A translation memory of the benchmark's texts: every third is kept as it is, the others get a mark in front."""
+    items = table(spark, sf_dir, "benchmark")
+    target = F.when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("pt "), "text"))
+    status = F.when(F.col("item_id") % 4 == 0, "rejected").otherwise("approved")
+    return items.select(F.col("item_id").alias("tm_id"), F.col("text").alias("source_term"), target.alias("target_term"), (F.col("item_id") % 2 == 0).alias("locked"), ((F.col("item_id") % 10) / F.lit(10.0)).alias("confidence"), status.alias("status"), (F.col("item_id") % 6).alias("occurrences"))
+
+
+TM_SQL = "tm AS (SELECT item_id AS tm_id, text AS source_term, CASE WHEN item_id % 3 = 0 THEN text ELSE concat('pt ', text) END AS target_term, item_id % 2 = 0 AS locked, (item_id % 10) / 10e0 AS confidence, CASE WHEN item_id % 4 = 0 THEN 'rejected' ELSE 'approved' END AS status, item_id % 6 AS occurrences FROM benchmark)"
+
+
+def tm_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, tm_id, kept): memory entries whose source a document holds, and whether it holds the translation as well."""
+    entries = tm(spark, sf_dir)
+    both = entries.select("tm_id", F.explode(F.array(F.struct(F.lit(False).alias("kept"), F.col("source_term").alias("term")), F.struct(F.lit(True).alias("kept"), F.col("target_term").alias("term")))).alias("x")).select("tm_id", "x.kept", "x.term")
+    found = matching.find_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), both, term_keys=("tm_id", "kept"))
+    by_entry = found.groupBy("doc_id", "tm_id").agg(F.max("kept").alias("kept"), F.min("kept").alias("only"))
+    return by_entry.where(~F.col("only")).select("doc_id", "tm_id", "kept")
+
+
+def _whole(text: str, term: str) -> str:
+    return f"contains(lower({text}), lower({term})) AND regexp_matches(lower({text}), concat('(^|[^\\p{{L}}\\p{{N}}_])\\Q', lower({term}), '\\E($|[^\\p{{L}}\\p{{N}}_])'))"
+
+
+TM_HITS_SQL = f"tm_hits AS (SELECT doc_id, tm_id, {_whole('text', 'target_term')} AS kept FROM documents, tm WHERE {_whole('text', 'source_term')})"
+
 LINES_SQL = """lines AS (
   SELECT doc_id, lang, source, CAST(i AS INTEGER) AS line_no, l[i] AS line FROM (
     SELECT doc_id, lang, source, string_split(text, chr(10)) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL))"""

@@ -152,16 +152,6 @@ ENTRIES = {
     "style_titles": ("Titles left in English.", "SELECT doc_id, en FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)"),
     "style_contradictions": ("Dimensions with more than one value.", "SELECT chapter, count(DISTINCT lang) AS n FROM pairs GROUP BY chapter HAVING count(DISTINCT lang) > 1"),
     "style_validate_all": ("Findings of the style checks by kind.", "SELECT kind, count(*) AS n FROM (SELECT 'dialogue' AS kind FROM segments WHERE RLIKE(target, R'^[\"“]') UNION ALL SELECT 'title' FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)) x GROUP BY kind"),
-    "sem_divergence": ("Pairs that share under a fifth of their words.", rf"SELECT doc_id FROM (SELECT doc_id, DISTINCT_OF({_WORDS.format(x='source')}) AS a, {_WORDS.format(x='target')} AS b FROM pairs) x WHERE SIZE(a) > 3 AND SIZE(INTERSECT_OF(a, b)) < 0.2e0 * SIZE(a)"),
-    "sem_omission_addition": ("Coverage of content words.", "SELECT doc_id, coverage FROM semantic WHERE coverage < 1"),
-    "sem_antonym": ("Words beside their opposites.", "SELECT doc_id, en, pt FROM signals JOIN antonyms ON contains(lower(source), en) AND contains(lower(target), pt)"),
-    "sem_polarity": ("Short pairs negated on one side.", "SELECT doc_id FROM signals WHERE en_neg <> pt_neg AND sw <= 15"),
-    "sem_subject": ("Subjects of another gender.", "SELECT doc_id, subject FROM semantic WHERE subject < 1"),
-    "sem_intensity": ("Strong words made weak.", "SELECT doc_id, min(en) AS en, count(*) AS n FROM signals JOIN strong ON contains(lower(source), en) AND contains(lower(target), pt) GROUP BY doc_id"),
-    "sem_false_friend": ("False friends.", "SELECT doc_id, min(en) AS en, count(*) AS n FROM signals JOIN friends ON contains(lower(source), en) AND contains(lower(target), pt) GROUP BY doc_id"),
-    "sem_register": ("Informal words under a formal style.", "SELECT doc_id FROM pairs WHERE RLIKE(lower(target), R'(^|[^\\p{L}])(cara|mano|né|rua)($|[^\\p{L}])')"),
-    "sem_overall": ("Weighted score of all signals; passed from 0.7 on without a signal under 0.5.", f"SELECT doc_id, {_OVERALL} AS score, {_OVERALL} >= 0.7e0 AND least(coverage, polarity, subject) >= 0.5e0 AS passed FROM semantic"),
-    "qa_unified": ("Pairs that pass the semantic checks, by chapter.", f"SELECT p.chapter, sum(CASE WHEN {_OVERALL} >= 0.7e0 THEN 1 ELSE 0 END) AS passed, count(*) AS n FROM semantic s JOIN pairs p ON p.doc_id = s.doc_id GROUP BY p.chapter"),
     "bt_token_f1": ("Overlap of words of both sides.", rf"SELECT a.doc_id, round(2e0 * sum(least(a.c, b.c)) / max(t.n), 6) AS f1 FROM (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, EXPLODE({_WORDS.format(x='source')}) AS w FROM pairs) x GROUP BY doc_id, w) a JOIN (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, EXPLODE({_WORDS.format(x='target')}) AS w FROM pairs) y GROUP BY doc_id, w) b ON a.doc_id = b.doc_id AND a.w = b.w JOIN (SELECT doc_id, sw + tw AS n FROM signals) t ON t.doc_id = a.doc_id GROUP BY a.doc_id"),
     "bt_chrf": ("Character n-gram F2 of one to four.", _chrf(4, 2)),
     "bench_chrf6": ("Character n-gram F2 of one to six.", _chrf(6, 2)),

@@ -53,7 +53,7 @@ def compare(spark, con, name, query, sql, sf_dir):
     return None
 
 
-def main(names, sf_dir="/root/testdata/sf0.01"):
+def main(names, sf_dir=os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")):
     import sys
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
