@@ -116,7 +116,7 @@ _INNER = "[\\p{L}\\p{N}_]"
 HITS_SQL = f"""hits AS (
   SELECT doc_id, chapter, seq, side, what, id, word, CAST(len(starts) AS BIGINT) AS n, starts FROM (
     SELECT doc_id, chapter, seq, side, what, id, word, list_filter(list_transform(generate_series(1, len(parts) - 1), lambda k: CAST(list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(word) AS BIGINT)),
-      lambda at: NOT regexp_matches(substr(low, at + length(word) + 1, 1), '{_INNER}') AND (at = 0 OR NOT regexp_matches(substr(low, greatest(at, 1), 1), '{_INNER}'))) AS starts FROM (
+      lambda spot: NOT regexp_matches(substr(low, spot + length(word) + 1, 1), '{_INNER}') AND (spot = 0 OR NOT regexp_matches(substr(low, greatest(spot, 1), 1), '{_INNER}'))) AS starts FROM (
       SELECT doc_id, chapter, seq, side, what, id, word, low, string_split(low, lower(word)) AS parts FROM (
         SELECT doc_id, chapter, seq, 's' AS side, lower(source) AS low FROM pairs UNION ALL SELECT doc_id, chapter, seq, 't', lower(target) FROM pairs) x, {values(WORDS, "what, id, word")} w WHERE contains(low, lower(word))) y) z
   WHERE len(starts) > 0)"""

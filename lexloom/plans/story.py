@@ -11,7 +11,6 @@ dialect.VIEWS |= {
     "story_events": "SELECT event_id, user_id AS story, event_id % 50 AS narrative_order, CASE WHEN event_id % 7 = 0 THEN event_id % 50 - 3 ELSE event_id % 50 END AS chronological_order, CASE WHEN value > 50 THEN 'major' ELSE 'minor' END AS significance, event_type FROM events",
     "facts": "SELECT doc_id AS fact_id, source AS category, lang AS subject, CASE WHEN doc_id % 3 = 0 THEN 'never ' ELSE 'always ' END || source || ' house road' AS statement, doc_id % 5 = 0 AS locked, doc_id % 4 = 0 AS inferred, doc_id % 10 AS seq FROM documents",
     "relations": "SELECT l_orderkey AS rel_id, l_partkey % 40 AS src, l_suppkey % 40 AS tgt, CASE l_linenumber % 3 WHEN 0 THEN 'friend' WHEN 1 THEN 'enemy' ELSE 'sibling' END AS rel_type, l_orderkey % 10 AS chapter, l_linenumber AS seq, l_returnflag = 'R' AS inferred FROM lineitem",
-    "tm": "SELECT item_id AS tm_id, text AS source_term, upper(text) AS target_term, item_id % 2 = 0 AS locked, (item_id % 10) / 10e0 AS confidence, CASE WHEN item_id % 4 = 0 THEN 'rejected' ELSE 'approved' END AS status, item_id % 6 AS occurrences FROM benchmark",
     "aliases": "SELECT term_id, term, target_term, kind, locked, EXPLODE(CONCAT_OF(ARR(term), aliases)) AS alias FROM glossary",
     "names": "SELECT character_id, name, gender, EXPLODE(CONCAT_OF(ARR(name), aliases)) AS alias FROM characters",
     "audit": "SELECT event_id, user_id AS entry_id, event_type AS field, CAST(value AS STRING) AS new_value, ts FROM events",

@@ -110,22 +110,7 @@ def _chrf_query(orders: int, beta: int, doc: str):
 
 _OVERALL = "round(0.25e0 * coverage + 0.20e0 * polarity + 0.20e0 * subject + 0.15e0 * intensity + 0.10e0 * literal + 0.10e0, 4)"
 ENTRIES = {
-    "ctx_neighbours": ("The two segments before and the one behind.", "SELECT doc_id, lag(doc_id, 2) OVER (PARTITION BY chapter ORDER BY seq) AS before_2, lag(doc_id) OVER (PARTITION BY chapter ORDER BY seq) AS before_1, lead(doc_id) OVER (PARTITION BY chapter ORDER BY seq) AS behind FROM segments"),
     "ctx_future_fact_guard": ("Facts that are no revelation of later chapters, and how many are.", "SELECT subject, sum(CASE WHEN seq <= 5 THEN 1 ELSE 0 END) AS allowed, sum(CASE WHEN seq > 5 THEN 1 ELSE 0 END) AS blocked FROM facts GROUP BY subject"),
-    "ctx_alias": ("Characters in a segment: by name, else by alias.", "SELECT doc_id, character_id, max(CASE WHEN alias = name THEN 0.98e0 ELSE 0.92e0 END) AS score FROM segments JOIN names ON contains(lower(source), lower(alias)) GROUP BY doc_id, character_id"),
-    "ctx_pronoun": ("The nearest character before a pronoun, at most three segments back.", "SELECT doc_id, character_id, score FROM (SELECT a.doc_id, n.character_id, greatest(0.65e0, 0.95e0 - 0.1e0 * (a.seq - b.seq - 1)) AS score, row_number() OVER (PARTITION BY a.doc_id, n.character_id ORDER BY a.seq - b.seq) AS rn FROM segments a JOIN segments b ON a.chapter = b.chapter AND b.seq < a.seq AND b.seq >= a.seq - 3 JOIN (SELECT character_id, gender, name FROM characters) n ON contains(lower(b.source), lower(n.name)) WHERE RLIKE(lower(a.source), R'(^|[^\\p{L}])(he|him|his)($|[^\\p{L}])') AND n.gender IN ('male', 'unknown') OR RLIKE(lower(a.source), R'(^|[^\\p{L}])(she|her)($|[^\\p{L}])') AND n.gender IN ('female', 'unknown')) x WHERE rn = 1"),
-    "ctx_glossary_score": ("Terms in a segment, scored by lock and by use in the chapter.", "SELECT s.doc_id, g.term_id, CASE WHEN g.locked THEN 1e0 ELSE least(0.95e0, 0.75e0 + 0.05e0 * count(*) OVER (PARTITION BY s.chapter, g.term_id)) END AS score FROM segments s JOIN glossary g ON contains(lower(s.source), lower(g.term))"),
-    "ctx_tm_score": ("Memory entries by lock, equality and confidence.", "SELECT d.doc_id, t.tm_id, CASE WHEN t.locked THEN 1e0 WHEN d.text = t.source_term THEN 0.98e0 ELSE least(0.95e0, 0.70e0 + 0.25e0 * t.confidence) END AS score FROM documents d JOIN tm t ON contains(d.text, t.source_term)"),
-    "ctx_similar_passages": ("The three most similar earlier segments of the chapter.", "SELECT doc_id, other_id, round(score, 3) AS score, shared FROM (SELECT doc_id, other_id, score, shared, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, other_id) AS rn FROM cosines WHERE score >= 0.15e0) x WHERE rn <= 3"),
-    "ctx_semantic_dense": ("The six most similar from 0.10 on.", "SELECT doc_id, other_id, round(score, 3) AS score FROM (SELECT doc_id, other_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, other_id) AS rn FROM cosines WHERE score >= 0.10e0) x WHERE rn <= 6"),
-    "ctx_tokenize": ("Content words of each text.", "SELECT doc_id, sum(tf) AS tokens, count(*) AS types FROM terms_of GROUP BY doc_id"),
-    "ctx_balanced": ("Items of each segment by kind, under caps.", "SELECT doc_id, kind, count(*) AS n, round(avg(score), 6) AS score FROM (SELECT doc_id, kind, score, row_number() OVER (PARTITION BY doc_id, kind ORDER BY round(score, 9) DESC, item) AS rn FROM (SELECT s.doc_id, 'term' AS kind, g.term_id AS item, CASE WHEN g.locked THEN 1e0 ELSE 0.8e0 END AS score FROM segments s JOIN glossary g ON contains(lower(s.source), lower(g.term)) UNION ALL SELECT s.doc_id, 'character', c.character_id, 0.98e0 FROM segments s JOIN characters c ON contains(lower(s.source), lower(c.name)) UNION ALL SELECT doc_id, 'passage', other_id, score FROM cosines WHERE score >= 0.15e0) x) y WHERE rn <= CASE kind WHEN 'passage' THEN 3 WHEN 'character' THEN 6 ELSE 10 END GROUP BY doc_id, kind"),
-    "ctx_minimal": ("Locked terms and named characters only.", "SELECT s.doc_id, count(*) AS n FROM segments s JOIN glossary g ON g.locked AND contains(lower(s.source), lower(g.term)) GROUP BY s.doc_id"),
-    "ctx_story_heavy": ("Ten facts of each subject, locked ones first.", "SELECT subject, fact_id, pos FROM (SELECT subject, fact_id, CAST(row_number() OVER (PARTITION BY subject ORDER BY CASE WHEN locked THEN 0 ELSE 1 END, fact_id) AS INT) AS pos FROM facts) x WHERE pos <= 10"),
-    "ctx_relevant_fact": ("Facts locked, of the subject, or sharing a word.", "SELECT p.doc_id, f.fact_id, CASE WHEN f.locked THEN 0.95e0 ELSE 0.75e0 END AS score FROM pairs p JOIN facts f ON f.fact_id = p.doc_id AND (f.locked OR f.subject = 'en' OR contains(lower(p.source_head), 'house'))"),
-    "ctx_budget_prune": ("Passages kept within 800 characters, best first.", "SELECT doc_id, other_id FROM (SELECT c.doc_id, c.other_id, sum(length(p.source_head)) OVER (PARTITION BY c.doc_id ORDER BY round(c.score, 9) DESC, c.other_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM cosines c JOIN pairs p ON p.doc_id = c.other_id) x WHERE used <= 150"),
-    "ctx_repro_hash": ("Hash of a segment's context in canonical order.", "SELECT doc_id, substr(SHA256(LISTAGG[CAST(term_id AS STRING); ','; term_id]), 1, 16) AS h FROM (SELECT s.doc_id, g.term_id FROM segments s JOIN glossary g ON contains(lower(s.source), lower(g.term))) x GROUP BY doc_id"),
-    "ctx_compact_summary": ("A line for each kind of context.", "SELECT doc_id, concat('[', CAST(count(*) AS STRING), ' terms]') AS summary FROM (SELECT s.doc_id, g.term_id FROM segments s JOIN glossary g ON contains(lower(s.source), lower(g.term))) x GROUP BY doc_id"),
     "cache_key": ("Key of a segment's translation.", "SELECT doc_id, SHA256(concat_ws('|', source, 'model', 'runtime', 'beams=1')) AS cache_key FROM segments"),
     "cache_lookup": ("Hits, kept translations and misses.", "SELECT CASE WHEN c.k IS NOT NULL THEN 'hit' WHEN s.status = 'translated' THEN 'kept' ELSE 'miss' END AS outcome, count(*) AS n FROM segments s LEFT JOIN (SELECT DISTINCT md5(source) AS k FROM segments WHERE doc_id % 7 = 0 AND doc_id % 20 < 9) c ON c.k = md5(s.source) GROUP BY CASE WHEN c.k IS NOT NULL THEN 'hit' WHEN s.status = 'translated' THEN 'kept' ELSE 'miss' END"),
     "cache_invalidate_term": ("Segments that a changed term makes pending.", "SELECT doc_id, CASE WHEN contains(lower(source), 'count') THEN 'pending' ELSE status END AS status, CASE WHEN contains(lower(source), 'count') THEN '' ELSE target END AS target FROM segments"),
