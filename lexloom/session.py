@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(app: str = "lexloom", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -75,7 +76,13 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    spark = df.sparkSession
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")  # what is written needs its shuffles no more
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
