@@ -350,11 +350,6 @@ def _frequent(rows: DataFrame, table: DataFrame, key: str, least: int) -> DataFr
 _HOT = 1000
 
 
-def _collect(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps, which it does when the driver's JVM collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def _incidence(docs: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, str, int]:
     """Every row's set; the rows that can have partners, equal texts once, with their entries; the latter's path; members of a hot key."""
     spark: SparkSession = docs.sparkSession
@@ -363,11 +358,9 @@ def _incidence(docs: DataFrame, text_col: str, id_col: str, n: int, percent: int
     size = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     bits = _bits((size[0] or 0) / 5)
     sets, _ = materialise(_product(_scan_texts(texts, n, bits), bits, percent, counting=False), "sets")
-    _collect(spark)
     # Equal word sequences are one row; its id is the smallest.
     once = sets.where("kept IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "n", "kept")).alias("r")).select("r.id", "key", "r.n", "r.kept")
     rows, path = materialise(_product(_scan_sets(once, bits), bits, percent, counting=True).where("kept IS NOT NULL"), "rows")
-    _collect(spark)
     return sets, rows, path, max(_HOT, size[1] // 2000)
 
 
@@ -390,7 +383,6 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     pairs = filled.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     signs = F.expr(_signature("array_except(kb, ka)")).alias("missing"), F.expr(_signature("array_except(ka, kb)")).alias("outside")
     counted, counted_path = materialise(_overlaps(pairs, rows, *signs), "pivots")
-    _collect(spark)
     near = _linked(counted, percent)
     first = connected(near)
 
@@ -408,7 +400,6 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     none = F.array(*[F.lit(0).cast("long")] * 4)
     open_rows = open_rows.join(marks, ["id", "pivot"], "left").withColumns({x: F.coalesce(x, none) for x in ("missing", "outside")})
     open_rows, open_path = materialise(open_rows, "open")
-    _collect(spark)
     fields = ("id", "n", "c", "rest", "missing", "outside")
     minor = open_rows.where("c != main").select("h", "whole", *(F.col(x).alias(f"{x}a") for x in fields))
     every = open_rows.select("h", *(F.col(x).alias(f"{x}b") for x in fields))
