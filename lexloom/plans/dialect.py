@@ -28,8 +28,10 @@ _FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hits": fx.hits,
     "tm": fx.tm,
     "tm_hits": fx.tm_hits,
+    "rendered": fx.rendered,
+    "scored": fx.scored,
 }
-_CTES = {"pairs": fx.PAIRS_SQL, "glossary": fx.GLOSSARY_SQL, "characters": fx.CHARACTERS_SQL, "lines": fx.LINES_SQL, "hits": fx.HITS_SQL, "tm": fx.TM_SQL, "tm_hits": fx.TM_HITS_SQL}
+_CTES = {"pairs": fx.PAIRS_SQL, "glossary": fx.GLOSSARY_SQL, "characters": fx.CHARACTERS_SQL, "lines": fx.LINES_SQL, "hits": fx.HITS_SQL, "tm": fx.TM_SQL, "tm_hits": fx.TM_HITS_SQL, "rendered": fx.RENDERED_SQL, "scored": fx.SCORED_SQL}
 
 
 def _swap(sql: str, words: dict[str, str]) -> str:
@@ -104,6 +106,6 @@ def oracle(sql: str) -> str:
     return f"WITH {', '.join(ctes)} {body}"
 
 
-def register(entries: dict[str, tuple[str, str]]) -> tuple[dict, dict]:
-    """(QUERIES, ORACLES) of name -> (what it does, SQL)."""
-    return {k: query(sql, doc) for k, (doc, sql) in entries.items()}, {k: oracle(sql) for k, (_, sql) in entries.items()}
+def register(entries: dict[str, tuple[str, ...]]) -> tuple[dict, dict]:
+    """(QUERIES, ORACLES) of name -> (what it does, SQL), or with another statement, for the second engine alone, behind it."""
+    return {k: query(e[1], e[0]) for k, e in entries.items()}, {k: oracle(e[-1]) for k, e in entries.items()}

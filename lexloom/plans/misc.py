@@ -25,9 +25,9 @@ ENTRIES = {
     "sanitize_filename_strict": ("Names of letters, digits, dots, hyphens and underscores only.", r"SELECT doc_id, line_no, substr(RXR(RXR(line, R'[^A-Za-z0-9._\-]', '_' RXR), R'_+', '_' RXR), 1, 100) AS name FROM lines"),
     "clean_repetition_loops": ("Lines without runs: of a line that comes twice in a row one stays, of three or more none.", "SELECT doc_id, count(*) AS kept, md5(LISTAGG[line; chr(10); first_line]) AS h FROM (SELECT doc_id, run, line, min(line_no) AS first_line, count(*) AS n FROM (SELECT doc_id, line_no, line, sum(CASE WHEN line = before_line THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before_line FROM lines) a) b GROUP BY doc_id, run, line) c WHERE n < 3 GROUP BY doc_id"),
     "estimate_tokens": ("A token for four characters, one at least.", "SELECT doc_id, greatest(1, length(text) DIV 4) AS tokens FROM documents"),
-    "boundary_pattern": ("Terms as whole words.", r"SELECT p.doc_id, g.term_id FROM pairs p JOIN glossary g ON contains(lower(p.source_head), lower(g.term)) AND RLIKE(lower(p.source_head), concat(R'(^|[^\p{L}\p{N}_])', lower(g.term), R'($|[^\p{L}\p{N}_])'))"),
+    "boundary_pattern": ("Terms as whole words, with their number and first place.", "SELECT doc_id, id AS term_id, n, ITEM(starts, 1) AS first_at FROM hits WHERE side = 's' AND what = 'term'"),
     "qa_persist": ("Latest issues of each segment replace earlier ones.", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1"),
-    "cons_markdown": ("Conflicts as lines of a report.", "SELECT term_id, concat('- **', term, '** ', CAST(count(*) AS STRING), ' / ', CAST(count(DISTINCT variant) AS STRING)) AS line FROM variants GROUP BY term_id, term"),
+    "cons_markdown": ("Conflicts as lines of a report.", "SELECT term_id, concat('- **', term, '** ', CAST(count(*) AS STRING), ' / ', CAST(count(DISTINCT variant) AS STRING)) AS line FROM rendered GROUP BY term_id, term"),
     "process_text": ("Blocks in the one chapter they belong to.", "SELECT doc_id, chapter, count(*) AS blocks, sum(length(text)) AS chars FROM blocks GROUP BY doc_id, chapter"),
     "src_pdf": ("Lines by page, with text per page.", "SELECT doc_id, page, count(*) AS n, sum(length(line)) AS chars FROM page_lines GROUP BY doc_id, page"),
     "pdf_structure": ("Paragraphs of page lines: one ends with a closing mark on a line under 0.72 of the widest.", r"SELECT doc_id, CAST(sum(CASE WHEN RLIKE(line, R'[.!?]$') AND length(line) < 0.72e0 * widest THEN 1 ELSE 0 END) AS BIGINT) AS paras, CAST(sum(CASE WHEN upper(line) = line AND lower(line) <> line AND length(line) < 60 THEN 1 ELSE 0 END) AS BIGINT) AS heads FROM page_lines GROUP BY doc_id"),
@@ -58,8 +58,14 @@ class Dictionary:
         return [re.sub(r"[A-Za-z]+", lambda m: self.words.get(m[0].lower(), m[0]), t) for t in texts]
 
 
+class Reverse(Dictionary):
+    """The dictionary the other way, for back-translation."""
+
+    words = {pt: en for en, pt in Dictionary.words.items()}
+
+
 #: Models by name; each has translate(texts) and is made once a worker.
-MODELS: dict[str, Callable[[], Dictionary]] = {"dictionary": Dictionary}
+MODELS: dict[str, Callable[[], Dictionary]] = {"dictionary": Dictionary, "reverse": Reverse}
 
 
 def translate(df: DataFrame, model: str = "dictionary", source: str = "source") -> DataFrame:

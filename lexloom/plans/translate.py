@@ -11,54 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from lexloom.operators import dictionaries as d
 from lexloom.plans import dialect
 from lexloom.plans.fixtures import pairs, values
-from lexloom.plans.text import in_list
 from lexloom.session import ship_package
 
-# False friends and strong words with the forms that give them away, antonyms, titles.
-FALSE_FRIENDS = (("actually", "atualmente"), ("eventually", "eventualmente"), ("parents", "parentes"), ("parent", "parente"), ("realize", "realiz"), ("push", "pux"), ("prejudice", "prejuízo"), ("fabric", "fábrica"), ("novel", "novela"), ("legend", "legenda"), ("pretended", "pretendia"), ("collar", "colar"))
-INTENSITY = (("furious", "chatead"), ("furious", "zangad"), ("terrified", "preocupad"), ("unbearable", "desagradáve"), ("overjoyed", "satisfeit"), ("devastated", "triste"), ("ecstatic", "alegre"), ("masterpiece", "bom trabalho"), ("horrific", "ruim"))
-ANTONYMS = (("alive", "morto"), ("dead", "vivo"), ("accepted", "recusou"), ("rejected", "aceitou"), ("guilty", "inocente"), ("open", "fechado"), ("closed", "aberto"), ("friend", "inimigo"), ("enemy", "amigo"), ("happy", "triste"), ("rich", "pobre"), ("success", "fracasso"))
+# Titles.
 TITLES = (("count", "conde"), ("doctor", "doutor"), ("sir", "senhor"), ("lady", "senhora"), ("king", "rei"), ("queen", "rainha"))
-LEFT_OVER = ("the", "and", "with", "from", "that", "this", "because")
-WEIGHTS = {"fidelity": 0.25, "naturalness": 0.15, "terminology": 0.20, "consistency": 0.15, "character_score": 0.10, "style": 0.08, "fluency": 0.07}
 
 _EN = r"RLIKE(lower(source), R'(^|[^\p{L}])(" + "|".join(d.NEGATIONS_EN).replace("'", r"\x27") + r")($|[^\p{L}])')"
 _PT = r"RLIKE(lower(target), R'(^|[^\p{L}])(" + "|".join(d.NEGATIONS_PT) + r")($|[^\p{L}])')"
 _WORDS = r"regexp_extract_all(lower({x}), R'[\p{{L}}\p{{N}}_]+', 0)"
-_TERM_IN = r"RLIKE(lower({x}), concat(R'(^|[^\p{{L}}\p{{N}}_])\Q', lower({t}), R'\E($|[^\p{{L}}\p{{N}}_])'))"  # whole words
-_CLIP = "greatest(0e0, least(1e0, {x}))"
 
 dialect.VIEWS |= {
-    "friends": f"SELECT en, pt FROM {values(FALSE_FRIENDS, 'en, pt')} f",
-    "strong": f"SELECT en, pt FROM {values(INTENSITY, 'en, pt')} f",
-    "antonyms": f"SELECT en, pt FROM {values(ANTONYMS, 'en, pt')} f",
     "titles": f"SELECT en, pt FROM {values(TITLES, 'en, pt')} f",
     "segments": "SELECT doc_id, lang, chapter, seq, source, target, CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'error' ELSE 'translated' END AS status FROM pairs",
-    "candidates": "SELECT doc_id, 1 AS cand, source, target FROM pairs UNION ALL SELECT doc_id, 2, source, source FROM pairs UNION ALL SELECT doc_id, 3, source, concat(target, ' ', target) FROM pairs UNION ALL SELECT doc_id, 4, source, substr(target, 1, 15) FROM pairs WHERE doc_id % 2 = 0",
-    "terms_of": rf"SELECT doc_id, chapter, seq, t, count(*) AS tf FROM (SELECT doc_id, chapter, seq, EXPLODE(FILTER({_WORDS.format(x='source')}, w -> length(w) >= 3)) AS t FROM pairs) x GROUP BY doc_id, chapter, seq, t",
-    "norms": "SELECT doc_id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) AS norm FROM terms_of GROUP BY doc_id",
-    "cosines": "SELECT a.doc_id, b.doc_id AS other_id, CAST(sum(a.tf * b.tf) AS DOUBLE) / (max(na.norm) * max(nb.norm)) AS score, count(*) AS shared FROM terms_of a JOIN terms_of b ON a.t = b.t AND a.chapter = b.chapter AND b.seq < a.seq JOIN norms na ON na.doc_id = a.doc_id JOIN norms nb ON nb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id",
-    "marks": f"""SELECT doc_id, cand, target, {_CLIP.format(x='1e0 - CASE WHEN length(target) < 0.4e0 * length(source) THEN 0.4e0 WHEN length(target) > 2.5e0 * length(source) THEN 0.3e0 ELSE 0e0 END - least(0.3e0, 0.15e0 * (SIZE(DISTINCT_OF(sn)) - SIZE(INTERSECT_OF(sn, tn)))) - CASE WHEN contains(source, chr(63)) AND NOT contains(target, chr(63)) THEN 0.1e0 ELSE 0e0 END - CASE WHEN contains(source, chr(33)) AND NOT contains(target, chr(33)) THEN 0.1e0 ELSE 0e0 END - least(0.4e0, 0.15e0 * SIZE(FILTER(DISTINCT_OF(tw), w -> w IN ' + in_list(LEFT_OVER) + ')))')} AS fidelity,
-      {_CLIP.format(x="1e0 - 0.25e0 * SIZE(FILTER(sequence(1, greatest(1, SIZE(tw) - 1)), i -> get(tw, i - 1) = get(tw, i) AND length(get(tw, i)) > 1)) - CASE WHEN RLIKE(target, R',\\s*,|\\.\\s*\\.\\s*\\.') THEN 0.15e0 ELSE 0e0 END")} AS naturalness,
-      {_CLIP.format(x="1e0 - CASE WHEN substr(target, 1, 1) = chr(34) THEN 0.15e0 ELSE 0e0 END + CASE WHEN substr(target, 1, 1) = '—' THEN 0.05e0 ELSE 0e0 END")} AS style,
-      {_CLIP.format(x="1e0 - CASE WHEN RLIKE(lower(target), R'(\\s(de|da|do|em|com|para|por|a|o)|,)\\s*$') THEN 0.3e0 ELSE 0e0 END - CASE WHEN length(replace(target, '(', '')) <> length(replace(target, ')', '')) THEN 0.2e0 ELSE 0e0 END - CASE WHEN length(replace(target, '[', '')) <> length(replace(target, ']', '')) THEN 0.2e0 ELSE 0e0 END")} AS fluency
-      FROM (SELECT doc_id, cand, source, target, {_WORDS.format(x='target')} AS tw, regexp_extract_all(source, R'[0-9]+', 0) AS sn, regexp_extract_all(target, R'[0-9]+', 0) AS tn FROM candidates) x""",
-    "losses": f"""SELECT doc_id, cand, sum(of_terms) AS of_terms, sum(of_memory) AS of_memory, sum(of_names) AS of_names FROM (
-      SELECT c.doc_id, c.cand, CASE WHEN {_TERM_IN.format(x='c.target', t='g.target_term')} THEN 0e0 ELSE 0.4e0 END + CASE WHEN lower(g.term) <> lower(g.target_term) AND {_TERM_IN.format(x='c.target', t='g.term')} THEN 0.35e0 ELSE 0e0 END AS of_terms, 0e0 AS of_memory, 0e0 AS of_names FROM candidates c JOIN glossary g ON g.locked AND contains(lower(c.source), lower(g.term)) AND {_TERM_IN.format(x='c.source', t='g.term')}
-      UNION ALL SELECT c.doc_id, c.cand, 0e0, CASE WHEN contains(lower(c.target), lower(t.target_term)) THEN 0e0 ELSE 0.2e0 END, 0e0 FROM candidates c JOIN tm t ON t.locked AND contains(c.source, t.source_term)
-      UNION ALL SELECT doc_id, cand, 0e0, 0e0, CASE WHEN present > 0 AND present < parts THEN 0.15e0 ELSE 0e0 END FROM (SELECT DISTINCT c.doc_id, c.cand, n.character_id, SIZE(FILTER(SPLIT(lower(n.name), ' '), w -> length(w) > 2)) AS parts, SIZE(FILTER(SPLIT(lower(n.name), ' '), w -> length(w) > 2 AND contains(lower(c.target), w))) AS present FROM candidates c JOIN names n ON contains(n.name, ' ') AND contains(lower(c.source), lower(n.alias))) y) x GROUP BY doc_id, cand""",
-    "scored": f"SELECT m.doc_id, m.cand, m.target, m.fidelity, m.naturalness, {_CLIP.format(x='1e0 - coalesce(l.of_terms, 0e0)')} AS terminology, {_CLIP.format(x='1e0 - coalesce(l.of_memory, 0e0)')} AS consistency, {_CLIP.format(x='1e0 - coalesce(l.of_names, 0e0)')} AS character_score, m.style, m.fluency FROM marks m LEFT JOIN losses l ON l.doc_id = m.doc_id AND l.cand = m.cand",
-    "ranked": "SELECT doc_id, cand, target, final_score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, length(target), cand) AS INT) AS rank FROM (SELECT doc_id, cand, target, round(" + " + ".join(f"{w}e0 * {k}" for k, w in WEIGHTS.items()) + ", 6) AS final_score FROM scored) x",
+    "ranked": "SELECT doc_id, cand, target, final_score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, length(target), cand) AS INT) AS rank FROM scored",
     "signals": rf"""SELECT p.doc_id, p.chapter, p.seq, p.source, p.target, SIZE({_WORDS.format(x='source')}) AS sw, SIZE({_WORDS.format(x='target')}) AS tw, {_EN} AS en_neg, {_PT} AS pt_neg FROM pairs p""",
-    "semantic": """SELECT s.doc_id, CASE WHEN sw >= 6 AND tw < 0.4e0 * sw THEN 0.4e0 WHEN sw >= 4 AND tw > 2.2e0 * sw THEN 0.5e0 ELSE 1e0 END AS coverage, CASE WHEN a.doc_id IS NOT NULL THEN 0.2e0 WHEN en_neg <> pt_neg AND sw <= 15 THEN 0.3e0 ELSE 1e0 END AS polarity,
-      CASE WHEN RLIKE(lower(source), R'^he ') AND RLIKE(lower(target), R'^ela ') OR RLIKE(lower(source), R'^she ') AND RLIKE(lower(target), R'^ele ') THEN 0.4e0 ELSE 1e0 END AS subject, CASE WHEN i.doc_id IS NOT NULL THEN 0.6e0 ELSE 1e0 END AS intensity, CASE WHEN f.doc_id IS NOT NULL THEN 0.5e0 ELSE 1e0 END AS literal
-      FROM signals s LEFT JOIN (SELECT DISTINCT doc_id FROM signals JOIN antonyms ON contains(lower(source), en) AND contains(lower(target), pt)) a ON a.doc_id = s.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM signals JOIN strong ON contains(lower(source), en) AND contains(lower(target), pt)) i ON i.doc_id = s.doc_id
-      LEFT JOIN (SELECT DISTINCT doc_id FROM signals JOIN friends ON contains(lower(source), en) AND contains(lower(target), pt)) f ON f.doc_id = s.doc_id""",
-    "variants": "SELECT p.doc_id, p.chapter, g.term_id, g.term, g.kind, g.locked, CASE WHEN contains(lower(p.target), lower(g.target_term)) THEN lower(g.target_term) WHEN contains(lower(p.target), lower(g.term)) THEN lower(g.term) ELSE 'other' END AS variant FROM pairs p JOIN glossary g ON contains(lower(p.source), lower(g.term))",
     "grams": "SELECT doc_id, side, n, g, count(*) AS c FROM (SELECT doc_id, 's' AS side, n, substr(x, i, n) AS g FROM (SELECT doc_id, replace(source, ' ', '') AS x, n, EXPLODE(sequence(1, length(replace(source, ' ', '')) - n + 1)) AS i FROM pairs CROSS JOIN orders_of) a UNION ALL SELECT doc_id, 't', n, substr(x, i, n) FROM (SELECT doc_id, replace(target, ' ', '') AS x, n, EXPLODE(sequence(1, length(replace(target, ' ', '')) - n + 1)) AS i FROM pairs CROSS JOIN orders_of) b) y GROUP BY doc_id, side, n, g",
     "orders_of": f"SELECT n FROM {values([(k,) for k in range(1, 7)], 'n')} v",
 }
-_order = ("friends", "strong", "antonyms", "titles", "segments", "candidates", "terms_of", "norms", "cosines", "marks", "losses", "scored", "ranked", "signals", "semantic", "variants", "orders_of", "grams")
+_order = ("titles", "segments", "ranked", "signals", "orders_of", "grams")
 for _name in _order:  # a fixture stands behind those it reads
     dialect.VIEWS[_name] = dialect.VIEWS.pop(_name)
 
@@ -108,7 +78,6 @@ def _chrf_query(orders: int, beta: int, doc: str):
     return query
 
 
-_OVERALL = "round(0.25e0 * coverage + 0.20e0 * polarity + 0.20e0 * subject + 0.15e0 * intensity + 0.10e0 * literal + 0.10e0, 4)"
 ENTRIES = {
     "ctx_future_fact_guard": ("Facts that are no revelation of later chapters, and how many are.", "SELECT subject, sum(CASE WHEN seq <= 5 THEN 1 ELSE 0 END) AS allowed, sum(CASE WHEN seq > 5 THEN 1 ELSE 0 END) AS blocked FROM facts GROUP BY subject"),
     "cache_key": ("Key of a segment's translation.", "SELECT doc_id, SHA256(concat_ws('|', source, 'model', 'runtime', 'beams=1')) AS cache_key FROM segments"),
@@ -121,7 +90,7 @@ ENTRIES = {
     "tm_exact_shortcut": ("Texts that a locked entry translates as a whole.", "SELECT b.item_id, t.tm_id FROM benchmark b JOIN tm t ON t.locked AND b.text = t.source_term"),
     "glossary_enforce": ("Targets with left-over terms replaced in order.", "SELECT doc_id, replace(replace(target, 'Count', 'Conde'), 'Earl', 'Conde') AS target FROM segments WHERE contains(target, 'Count')"),
     "dialogue_dash": ("Leading quotes as dashes.", "SELECT doc_id, RXR(target, R'^[\"“]', '— ' RXR) AS target FROM segments WHERE RLIKE(target, R'^[\"“]')"),
-    **{f"rank_{k}": (f"Score of candidates: {k}.", f"SELECT doc_id, cand, round({c}, 6) AS score FROM {'marks' if k in ('fidelity', 'naturalness', 'style', 'fluency') else 'scored'}") for k, c in (("fidelity", "fidelity"), ("naturalness", "naturalness"), ("terminology", "terminology"), ("consistency", "consistency"), ("character", "character_score"), ("style", "style"), ("fluency", "fluency"))},
+    **{f"rank_{k}": (f"Score of candidates: {k}.", f"SELECT doc_id, cand, round({c}, 6) AS score FROM scored") for k, c in (("fidelity", "fidelity"), ("naturalness", "naturalness"), ("terminology", "terminology"), ("consistency", "consistency"), ("character", "character_score"), ("style", "style"), ("fluency", "fluency"))},
     "rank_weighted": ("Weighted score.", "SELECT doc_id, cand, final_score FROM ranked"),
     "rank_topk": ("Candidates in order.", "SELECT doc_id, cand, rank FROM ranked"),
     "selected_candidate": ("The candidate of rank 1.", "SELECT doc_id, cand, target FROM ranked WHERE rank = 1"),
@@ -137,29 +106,24 @@ ENTRIES = {
     "style_titles": ("Titles left in English.", "SELECT doc_id, en FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)"),
     "style_contradictions": ("Dimensions with more than one value.", "SELECT chapter, count(DISTINCT lang) AS n FROM pairs GROUP BY chapter HAVING count(DISTINCT lang) > 1"),
     "style_validate_all": ("Findings of the style checks by kind.", "SELECT kind, count(*) AS n FROM (SELECT 'dialogue' AS kind FROM segments WHERE RLIKE(target, R'^[\"“]') UNION ALL SELECT 'title' FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)) x GROUP BY kind"),
-    "bt_token_f1": ("Overlap of words of both sides.", rf"SELECT a.doc_id, round(2e0 * sum(least(a.c, b.c)) / max(t.n), 6) AS f1 FROM (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, EXPLODE({_WORDS.format(x='source')}) AS w FROM pairs) x GROUP BY doc_id, w) a JOIN (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, EXPLODE({_WORDS.format(x='target')}) AS w FROM pairs) y GROUP BY doc_id, w) b ON a.doc_id = b.doc_id AND a.w = b.w JOIN (SELECT doc_id, sw + tw AS n FROM signals) t ON t.doc_id = a.doc_id GROUP BY a.doc_id"),
-    "bt_chrf": ("Character n-gram F2 of one to four.", _chrf(4, 2)),
     "bench_chrf6": ("Character n-gram F2 of one to six.", _chrf(6, 2)),
-    "bt_verify": ("Pairs whose negation or length is lost.", "SELECT doc_id, en_neg <> pt_neg AS negation, tw < 0.45e0 * sw AS short FROM signals WHERE en_neg <> pt_neg OR tw < 0.45e0 * sw"),
     "bench_confusion": ("Labels against predictions.", "SELECT lang, sum(CASE WHEN y = 1 AND p THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND p THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 0 AND NOT p THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN y = 1 AND NOT p THEN 1 ELSE 0 END) AS fn FROM (SELECT d.lang, l.quality AS y, d.n_chars > 500 AS p FROM documents d JOIN labels l ON l.doc_id = d.doc_id) x GROUP BY lang"),
     "bench_latency": ("Mean and 95th percentile by rank.", "SELECT event_type, round(avg(value), 6) AS mean, max(CASE WHEN rn = k THEN value END) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn, CAST(floor(0.95e0 * count(*) OVER (PARTITION BY event_type)) AS BIGINT) + 1 AS k FROM events) x GROUP BY event_type"),
-    "cons_glossary": ("Terms rendered in more than one way.", "SELECT term_id, locked, count(DISTINCT variant) AS variants, count(*) AS n FROM variants GROUP BY term_id, locked HAVING count(DISTINCT variant) > 1"),
+    "cons_glossary": ("Terms rendered in more than one way, safe to fix if locked.", "SELECT term_id, locked, count(DISTINCT variant) AS variants, count(*) AS n, CASE WHEN locked THEN 'safe_fix' ELSE 'suggested_fix' END AS severity FROM rendered GROUP BY term_id, locked HAVING count(DISTINCT variant) > 1"),
     "cons_recurrent": ("Recurrent pairs of words in two documents or more.", r"SELECT bigram, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, EXPLODE(regexp_extract_all(lower(source), R'[a-z]+ (?:street|house|road|holmes)', 0)) AS bigram FROM pairs) x GROUP BY bigram HAVING count(DISTINCT doc_id) >= 2"),
-    "cons_tm": ("Entries found in documents with and without their translation.", "SELECT t.tm_id, count(*) AS n, sum(CASE WHEN contains(d.text, t.target_term) THEN 1 ELSE 0 END) AS kept FROM documents d JOIN tm t ON contains(d.text, t.source_term) GROUP BY t.tm_id"),
-    "cons_characters": ("Names rendered in more than one way.", "SELECT c.character_id, count(*) AS n, sum(CASE WHEN contains(lower(p.target), lower(c.name)) THEN 1 ELSE 0 END) AS exact FROM pairs p JOIN characters c ON contains(lower(p.source), lower(c.name)) GROUP BY c.character_id"),
+    "cons_tm": ("Entries found in documents, with and without their translation.", "SELECT t.tm_id, t.locked, count(*) AS n, sum(CASE WHEN h.kept THEN 1 ELSE 0 END) AS kept FROM tm_hits h JOIN tm t ON t.tm_id = h.tm_id GROUP BY t.tm_id, t.locked"),
+    "cons_characters": ("Names and nicknames of two segments or more, by whether the target has them.", "SELECT s.id AS character_id, s.word, count(*) AS n, sum(CASE WHEN t.word IS NOT NULL THEN 1 ELSE 0 END) AS exact FROM hits s LEFT JOIN hits t ON t.doc_id = s.doc_id AND t.side = 't' AND t.what = s.what AND t.id = s.id AND t.word = s.word WHERE s.side = 's' AND s.what IN ('name', 'nick') AND length(s.word) >= 3 GROUP BY s.id, s.word HAVING count(*) >= 2"),
     "cons_treatment": ("Chapters and their usual form of address.", f"SELECT chapter, form FROM (SELECT chapter, form, row_number() OVER (PARTITION BY chapter ORDER BY count(*) DESC, min(seq)) AS rn FROM (SELECT chapter, seq, {_TREAT} AS form FROM segments) x WHERE form IS NOT NULL GROUP BY chapter, form) y WHERE rn = 1"),
-    "cons_pronoun": ("Pronouns of the other gender beside a character.", "SELECT p.doc_id, c.character_id FROM pairs p JOIN characters c ON contains(lower(p.source), lower(c.name)) WHERE c.gender = 'male' AND RLIKE(lower(p.target), R'(^|[^\\p{L}])(ela|o)($|[^\\p{L}])') OR c.gender = 'female' AND RLIKE(lower(p.target), R'(^|[^\\p{L}])(ele|e)($|[^\\p{L}])')"),
-    "cons_place_org": ("Places rendered in more than one way.", "SELECT term_id, variant, count(*) AS n FROM variants WHERE kind IN ('place', 'location', 'organization') GROUP BY term_id, variant"),
+    "cons_pronoun": ("Pronouns of the other gender in segments that name a character.", "SELECT h.doc_id, c.character_id FROM hits h JOIN characters c ON c.character_id = h.id JOIN pairs p ON p.doc_id = h.doc_id WHERE h.side = 's' AND h.what = 'name' AND (c.gender = 'male' AND RLIKE(lower(p.target), R'(^|[^\\p{L}])(ela|elas|dela|delas|nela|nelas|a\\s+mesma)($|[^\\p{L}])') OR c.gender = 'female' AND RLIKE(lower(p.target), R'(^|[^\\p{L}])(ele|eles|dele|deles|nele|neles|o\\s+mesmo)($|[^\\p{L}])'))"),
+    "cons_place_org": ("Places and organisations by rendering.", "SELECT term_id, variant, count(*) AS n FROM rendered WHERE kind IN ('place', 'location', 'organization') GROUP BY term_id, variant"),
     "cons_titles": ("Titles of two occurrences or more, by rendering.", "SELECT en, count(*) AS n, sum(CASE WHEN contains(lower(target), pt) THEN 1 ELSE 0 END) AS translated FROM segments JOIN titles ON contains(lower(source), en) GROUP BY en HAVING count(*) >= 2"),
     "cons_chronology": ("Anomalies of the story, once each.", "SELECT DISTINCT story, event_id FROM (SELECT event_id, story, significance, chronological_order, lag(chronological_order) OVER (PARTITION BY story ORDER BY narrative_order, event_id) AS prev FROM story_events) x WHERE prev > chronological_order"),
     "cons_dialogue_style": ("Dialogue in quotes by chapter.", "SELECT chapter, count(*) AS n FROM segments WHERE RLIKE(target, R'^[\"“]') GROUP BY chapter"),
-    "cons_variant_extract": ("How each term is rendered.", "SELECT doc_id, term_id, variant FROM variants"),
+    "cons_variant_extract": ("How each term is rendered.", "SELECT doc_id, term_id, variant FROM rendered"),
     "cons_phrase_extract": ("A phrase after its head word, else the first three words.", r"SELECT doc_id, coalesce(nullif(regexp_extract(target, R'(na [\p{L}]+)', 1), ''), regexp_extract(target, R'^([^ ]+ [^ ]+ [^ ]+)', 1)) AS phrase FROM segments"),
     "cons_name_render": ("Renderings of names by rule.", "SELECT character_id, replace(replace(name, 'Doctor', 'Doutor'), 'John', 'João') AS rendered FROM characters"),
-    "cons_apply_safe": ("Segments that safe conflicts change, and to what.", "SELECT doc_id, target AS old_target, replace(target, 'Count', 'Conde') AS new_target FROM segments WHERE contains(target, 'Count')"),
-    "cons_rollback": ("Changes undone: all targets as they were.", "SELECT doc_id, count(*) AS n, md5(min(old_target)) AS restored FROM (SELECT doc_id, target AS old_target, 1 AS step FROM segments WHERE contains(target, 'Count') UNION ALL SELECT doc_id, target, 2 FROM segments WHERE contains(target, 'Count')) x GROUP BY doc_id"),
-    "cons_report_filters": ("Conflicts by chapter and lock.", "SELECT chapter, locked, count(*) AS n FROM variants WHERE variant = 'other' GROUP BY chapter, locked"),
+    "cons_report_filters": ("Divergent renderings by chapter and lock.", "SELECT chapter, locked, count(*) AS n FROM rendered WHERE variant <> target_term GROUP BY chapter, locked"),
     "cons_navigation": ("Chapters with their segments, as lists.", "SELECT chapter, LISTAGG[CAST(doc_id AS STRING); ','; seq] AS segments FROM segments GROUP BY chapter"),
 }
 QUERIES, ORACLES = dialect.register(ENTRIES)
-QUERIES |= {k: _chrf_query(n, 2, ENTRIES[k][0]) for k, n in (("bt_chrf", 4), ("bench_chrf6", 6))}
+QUERIES["bench_chrf6"] = _chrf_query(6, 2, ENTRIES["bench_chrf6"][0])
