@@ -17,28 +17,26 @@ dialect.VIEWS |= {
 }
 
 ENTRIES = {
-    "glossary_match": ("Hits of terms and aliases in pairs, with the first offset.", "SELECT p.doc_id, a.term_id, a.alias, STRPOS(lower(p.source_head), lower(a.alias)) AS at FROM pairs p JOIN aliases a ON STRPOS(lower(p.source), lower(a.alias)) > 0"),
-    "glossary_verify_locked": ("Locked hits whose translation is absent.", "SELECT p.doc_id, g.term_id, g.term, g.target_term FROM pairs p JOIN glossary g ON g.locked AND contains(lower(p.source), lower(g.term)) AND NOT contains(lower(p.target), lower(g.target_term))"),
+    "glossary_match": ("All places of terms and aliases in pairs.", "SELECT doc_id, id AS term_id, word AS alias, EXPLODE(starts) AS at FROM hits WHERE side = 's' AND what IN ('term', 'alias')", "SELECT doc_id, id AS term_id, word AS alias, EXPLODE(starts) AS \"at\" FROM hits WHERE side = 's' AND what IN ('term', 'alias')"),
+    "glossary_verify_locked": ("Locked terms of a source whose translation is absent, with their places.", "SELECT h.doc_id, g.term_id, g.term, g.target_term, CAST(sum(h.n) AS BIGINT) AS places FROM hits h JOIN glossary g ON g.term_id = h.id AND g.locked LEFT JOIN (SELECT DISTINCT doc_id, id FROM hits WHERE side = 't' AND what = 'target') t ON t.doc_id = h.doc_id AND t.id = h.id WHERE h.side = 's' AND h.what IN ('term', 'alias') AND t.id IS NULL GROUP BY h.doc_id, g.term_id, g.term, g.target_term"),
     "glossary_conflicts": ("Aliases that are another entry's term.", "SELECT a.term_id, a.alias, g.term_id AS other_id FROM aliases a JOIN glossary g ON lower(a.alias) = lower(g.term) AND a.term_id <> g.term_id"),
     "glossary_upsert_locked": ("Changed targets; locked ones are refused.", "SELECT term_id, term, target_term AS old_target, upper(target_term) AS new_target, CASE WHEN locked AND target_term <> upper(target_term) THEN 'rejected' ELSE 'updated' END AS outcome FROM glossary"),
     "glossary_update": ("Fields that differ after an update, one row each.", "SELECT term_id, 'target_term' AS field, target_term AS old_value, upper(target_term) AS new_value FROM glossary WHERE target_term <> upper(target_term) UNION ALL SELECT term_id, 'kind', kind, 'term' FROM glossary WHERE kind <> 'term'"),
     "glossary_lookup": ("Words of documents looked up as term, else as alias.", "SELECT d.lang, coalesce(g.term_id, a.term_id) AS term_id, count(*) AS n FROM (SELECT lang, EXPLODE(SPLIT(lower(text), ' ')) AS w FROM documents) d LEFT JOIN glossary g ON lower(g.term) = w LEFT JOIN (SELECT alias, min(term_id) AS term_id FROM aliases WHERE alias <> term GROUP BY alias) a ON lower(a.alias) = w WHERE coalesce(g.term_id, a.term_id) IS NOT NULL GROUP BY d.lang, coalesce(g.term_id, a.term_id)"),
-    "tm_search": ("Memory entries equal to a line, or one inside the other, of enough confidence.", "SELECT l.doc_id, l.line_no, t.tm_id, CASE WHEN l.line = t.source_term THEN 'exact' ELSE 'partial' END AS kind FROM lines l JOIN tm t ON t.confidence >= 0.3e0 AND (contains(t.source_term, l.line) OR contains(l.line, t.source_term))"),
-    "tm_verify_locked": ("Locked entries in a document whose translation is not there.", "SELECT d.doc_id, t.tm_id FROM documents d JOIN tm t ON t.locked AND contains(d.text, t.source_term) AND NOT contains(d.text, t.target_term)"),
+    "tm_verify_locked": ("Locked entries in a document whose translation is not there.", "SELECT h.doc_id, h.tm_id FROM tm_hits h JOIN tm t ON t.tm_id = h.tm_id AND t.locked WHERE NOT h.kept"),
     "tm_conflicts": ("Entries rejected and yet locked.", "SELECT tm_id, status FROM tm WHERE locked AND status = 'rejected'"),
     "tm_upsert": ("Latest entry of each key in lower case, with its occurrences.", "SELECT lower(event_type) AS k, count(*) AS occurrences, max(event_id) AS latest FROM events GROUP BY lower(event_type)"),
-    "tm_list": ("Entries by occurrences.", "SELECT tm_id, occurrences, CAST(row_number() OVER (ORDER BY occurrences DESC, tm_id) AS INT) AS pos FROM tm"),
     "tm_update": ("Field differences of entries that are not locked.", "SELECT tm_id, 'target_term' AS field, md5(target_term) AS old_md5, md5(source_term) AS new_md5 FROM tm WHERE NOT locked AND target_term <> source_term"),
-    "character_upsert": ("Names that two ids bear.", "SELECT lower(c_mktsegment) AS name, count(DISTINCT c_nationkey) AS ids FROM customer GROUP BY lower(c_mktsegment) HAVING count(DISTINCT c_nationkey) > 1"),
-    "character_find_alias": ("Ids by alias or name.", "SELECT DISTINCT p.doc_id, n.character_id FROM pairs p JOIN names n ON contains(lower(p.source), lower(n.alias))"),
+    "character_upsert": ("Observed names against the characters known: new ones are added, known ones get the new nickname unless another character bears it.", "SELECT m.name, CASE WHEN n.character_id IS NULL THEN 'added' WHEN m.ids > 1 THEN 'conflict' ELSE 'merged' END AS outcome, m.seen FROM (SELECT k.name, k.seen, count(DISTINCT n.character_id) AS ids FROM (SELECT lower(word) AS name, CAST(sum(n) AS BIGINT) AS seen FROM hits WHERE side = 's' AND what IN ('name', 'nick', 'term') GROUP BY lower(word)) k LEFT JOIN names n ON lower(n.alias) = k.name GROUP BY k.name, k.seen) m LEFT JOIN (SELECT lower(alias) AS alias, min(character_id) AS character_id FROM names GROUP BY lower(alias)) n ON n.alias = m.name"),
+    "character_find_alias": ("Ids by nickname or name.", "SELECT DISTINCT doc_id, id AS character_id FROM hits WHERE side = 's' AND what IN ('name', 'nick')"),
     "character_alias_conflicts": ("Aliases of more than one character.", "SELECT lower(alias) AS alias, count(DISTINCT character_id) AS n FROM names GROUP BY lower(alias) HAVING count(DISTINCT character_id) > 1"),
     "character_update": ("Fields of characters that differ.", "SELECT character_id, 'gender' AS field, gender AS old_value, 'unknown' AS new_value FROM characters WHERE gender <> 'unknown' UNION ALL SELECT character_id, 'name', name, upper(name) FROM characters WHERE name <> upper(name)"),
     "cross_memory_conflict": ("Terms that two memories translate differently.", "SELECT a.term_id, b.term_id AS other_id, a.alias, CASE WHEN a.locked OR b.locked THEN 'high' ELSE 'low' END AS severity FROM aliases a JOIN aliases b ON lower(a.alias) = lower(b.alias) AND a.target_term <> b.target_term AND a.term_id < b.term_id UNION ALL SELECT a.term_id, b.term_id, a.term, 'same' FROM glossary a JOIN glossary b ON a.target_term = b.target_term AND a.term_id < b.term_id"),
-    "verify_all_locked": ("Locked violations of glossary and memory by kind.", "SELECT kind, count(*) AS n FROM (SELECT 'glossary' AS kind FROM pairs p JOIN glossary g ON g.locked AND contains(lower(p.source), lower(g.term)) AND NOT contains(lower(p.target), lower(g.target_term)) UNION ALL SELECT 'tm' FROM documents d JOIN tm t ON t.locked AND contains(d.text, t.source_term) AND NOT contains(d.text, t.target_term)) v GROUP BY kind"),
+    "verify_all_locked": ("Locked violations of glossary and memory by kind.", "SELECT 'glossary' AS kind, count(*) AS n FROM hits h JOIN glossary g ON g.term_id = h.id AND g.locked LEFT JOIN (SELECT DISTINCT doc_id, id FROM hits WHERE side = 't' AND what = 'target') t ON t.doc_id = h.doc_id AND t.id = h.id WHERE h.side = 's' AND h.what IN ('term', 'alias') AND t.id IS NULL UNION ALL SELECT 'tm', count(*) FROM tm_hits h JOIN tm t ON t.tm_id = h.tm_id AND t.locked WHERE NOT h.kept"),
     "detect_all_conflicts": ("All conflicts of the memories, by kind.", "SELECT 'glossary' AS kind, CAST(a.term_id AS STRING) AS id FROM aliases a JOIN glossary g ON lower(a.alias) = lower(g.term) AND a.term_id <> g.term_id UNION ALL SELECT 'tm', CAST(tm_id AS STRING) FROM tm WHERE locked AND status = 'rejected' UNION ALL SELECT 'character', lower(alias) FROM names GROUP BY lower(alias) HAVING count(DISTINCT character_id) > 1"),
     "audit_history": ("An entry's changes, newest first.", "SELECT entry_id, field, event_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY ts DESC, event_id DESC) AS INT) AS pos FROM audit WHERE field = 'purchase'"),
     "story_summary": ("Latest summary of each chapter.", "SELECT conv_id, chapter, max(order_index) AS latest, count(*) AS n FROM states GROUP BY conv_id, chapter"),
-    "state_asof": ("Each character's latest state at every turn of the story.", "SELECT conv_id, order_index, character_id, status, location FROM (SELECT t.conv_id, t.turn AS order_index, s.character_id, s.status, s.location, row_number() OVER (PARTITION BY t.conv_id, t.turn, s.character_id ORDER BY s.order_index DESC) AS rn FROM (SELECT DISTINCT conv_id, turn FROM conversations) t JOIN states s ON s.conv_id = t.conv_id AND s.order_index <= t.turn) x WHERE rn = 1"),
+    "state_asof": ("Each character's latest state at every turn of the story.", "SELECT conv_id, order_index, character_id, status, location FROM (SELECT g.conv_id, g.turn AS order_index, g.character_id, last_value(s.status, true) OVER w AS status, last_value(s.location, true) OVER w AS location FROM (SELECT t.conv_id, t.turn, c.character_id FROM (SELECT DISTINCT conv_id, turn FROM conversations) t JOIN (SELECT DISTINCT conv_id, character_id FROM states) c ON c.conv_id = t.conv_id) g LEFT JOIN states s ON s.conv_id = g.conv_id AND s.order_index = g.turn AND s.character_id = g.character_id WINDOW w AS (PARTITION BY g.conv_id, g.character_id ORDER BY g.turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x WHERE status IS NOT NULL", "SELECT conv_id, order_index, character_id, status, location FROM (SELECT t.conv_id, t.turn AS order_index, s.character_id, s.status, s.location, row_number() OVER (PARTITION BY t.conv_id, t.turn, s.character_id ORDER BY s.order_index DESC) AS rn FROM (SELECT DISTINCT conv_id, turn FROM conversations) t JOIN states s ON s.conv_id = t.conv_id AND s.order_index <= t.turn) x WHERE rn = 1"),
     "state_scene": ("A character's state in the chapter, else the one before.", "SELECT conv_id, chapter, character_id, coalesce(exact, before) AS order_index FROM (SELECT c.conv_id, c.chapter, r.character_id, max(CASE WHEN s.chapter = c.chapter THEN s.order_index END) AS exact, max(CASE WHEN s.chapter < c.chapter THEN s.order_index END) AS before FROM (SELECT DISTINCT conv_id, chapter FROM states) c JOIN (SELECT DISTINCT conv_id, character_id FROM states) r ON r.conv_id = c.conv_id JOIN states s ON s.conv_id = c.conv_id AND s.character_id = r.character_id AND s.chapter <= c.chapter GROUP BY c.conv_id, c.chapter, r.character_id) x"),
     "state_record": ("Latest state of each place and status.", "SELECT conv_id, character_id, location, status, max(order_index) AS order_index FROM states GROUP BY conv_id, character_id, location, status"),
     "story_get_states": ("Explicit states of a character, in order.", "SELECT conv_id, character_id, order_index, status, CAST(row_number() OVER (PARTITION BY conv_id, character_id ORDER BY order_index) AS INT) AS pos FROM states WHERE NOT inferred"),
@@ -55,23 +53,22 @@ ENTRIES = {
     "xrefs": ("References from or to a unit.", "SELECT l_orderkey AS src, l_partkey AS tgt, l_linenumber AS seq FROM lineitem WHERE l_orderkey = 5 OR l_partkey = 5"),
     "story_record_xref": ("References by source.", "SELECT l_orderkey AS src, count(*) AS n FROM lineitem GROUP BY l_orderkey"),
     "scene_snapshot": ("Facts of a scene: explicit ones of its subject first, then general ones, then inferred ones, five at most.", "SELECT subject, fact_id, tier, pos FROM (SELECT s.subject, f.fact_id, CASE WHEN f.subject = s.subject AND NOT f.inferred THEN 1 WHEN f.category = 'src0' AND NOT f.inferred THEN 2 ELSE 3 END AS tier, CAST(row_number() OVER (PARTITION BY s.subject ORDER BY CASE WHEN f.subject = s.subject AND NOT f.inferred THEN 1 WHEN f.category = 'src0' AND NOT f.inferred THEN 2 ELSE 3 END, f.fact_id) AS INT) AS pos FROM (SELECT DISTINCT lang AS subject FROM documents) s JOIN facts f ON f.subject = s.subject OR f.category = 'src0') x WHERE pos <= 5"),
-    "continuity_dead_acting": ("Turns in which a dead character speaks.", "SELECT s.conv_id, s.character_id, s.order_index, a.order_index AS acts_at FROM states s JOIN states a ON a.conv_id = s.conv_id AND a.character_id = s.character_id AND a.order_index > s.order_index WHERE s.status = 'deceased' AND a.status = 'alive'"),
+    "continuity_dead_acting": ("Turns in which a character acts after its death, with the latest one.", "SELECT conv_id, character_id, died_at, order_index AS acts_at FROM (SELECT conv_id, character_id, order_index, status, max(CASE WHEN status = 'deceased' THEN order_index END) OVER (PARTITION BY conv_id, character_id ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS died_at FROM states) x WHERE status = 'alive' AND died_at IS NOT NULL", "SELECT a.conv_id, a.character_id, max(d.order_index) AS died_at, a.order_index AS acts_at FROM states a JOIN states d ON d.conv_id = a.conv_id AND d.character_id = a.character_id AND d.order_index < a.order_index AND d.status = 'deceased' WHERE a.status = 'alive' GROUP BY a.conv_id, a.character_id, a.order_index"),
     "state_contradiction": ("Dead, then alive, without a flashback.", "SELECT conv_id, character_id, order_index, next_status FROM (SELECT conv_id, character_id, order_index, status, flashback, lead(status) OVER (PARTITION BY conv_id, character_id ORDER BY order_index) AS next_status FROM states) x WHERE status = 'deceased' AND next_status = 'alive' AND NOT flashback"),
     "fact_contradiction": ("Facts of a subject and category with opposite polarity.", "SELECT subject, category, count(*) AS n, sum(CASE WHEN contains(statement, 'never') THEN 1 ELSE 0 END) AS negative FROM facts GROUP BY subject, category HAVING count(DISTINCT contains(statement, 'never')) > 1"),
-    "fact_compliance": ("Negative facts whose words a pair states without a negation near by.", "SELECT f.category, count(*) AS n FROM facts f JOIN pairs p ON p.doc_id = f.fact_id AND contains(f.statement, 'never') AND contains(lower(p.source_head), 'house') AND NOT RLIKE(lower(p.source_head), '(not|never|no) ') GROUP BY f.category"),
+    "fact_compliance": ("Negative facts whose long words a segment states, three words or fewer apart from no negation.", "SELECT f.category, count(*) AS n FROM (SELECT fact_id, category, EXPLODE(FILTER(SPLIT(statement, ' '), w -> length(w) > 4 AND w <> 'never')) AS w FROM facts WHERE contains(statement, 'never') AND locked) f JOIN (SELECT DISTINCT doc_id, EXPLODE(DISTINCT_OF(regexp_extract_all(lower(source), R'[\\p{L}\\p{N}_]{5,}', 0))) AS w, RLIKE(lower(source), R'(^|[^\\p{L}])(not|never|no)($|[^\\p{L}])') AS negated FROM pairs) p ON p.w = f.w WHERE NOT p.negated GROUP BY f.category"),
     "audit_append": ("Audit rows numbered in the order of their entry.", "SELECT event_id, entry_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY ts, event_id) AS INT) AS revision FROM audit"),
     "revision_append": ("Revisions with an id made of their content.", "SELECT doc_id, substr(sha256(source_head || '|' || target_head), 1, 16) AS revision_id FROM pairs"),
     "event_log": ("Project events by type.", "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY event_type"),
     "source_integrity": ("Stored hashes that still hold.", "SELECT doc_id, sha256(text) AS sha, length(text) = n_chars AS intact FROM documents"),
     "qa_fix_history": ("Fixes of a user by time, then insertion.", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS pos FROM events WHERE event_type = 'click'"),
-    "alerts_filter": ("Alerts shown of all, by severity.", "SELECT significance, count(*) AS shown, max(total) AS total FROM (SELECT significance, count(*) OVER () AS total FROM story_events) x GROUP BY significance"),
+    "alerts_filter": ("Alerts shown of all, by severity.", "SELECT significance, count(*) AS shown, max(total) AS total FROM story_events CROSS JOIN (SELECT count(*) AS total FROM story_events) t GROUP BY significance", "SELECT significance, count(*) AS shown, (SELECT count(*) FROM story_events) AS total FROM story_events GROUP BY significance"),
     "promote_entities": ("Entities that become locked terms.", "SELECT name AS term, name AS target_term, true AS locked FROM characters WHERE gender <> 'unknown'"),
     "load_document_tree": ("Units of each document in order, as one list.", "SELECT doc_id, count(*) AS n, md5(LISTAGG[line; '|'; line_no]) AS tree_md5 FROM lines GROUP BY doc_id"),
-    "linear_order": ("Chapters and units in reading order.", "SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) AS INT) AS pos FROM lines"),
     "progress_eta": ("Mean of the last 15 durations times what remains, from five samples on.", "SELECT user_id, event_id, n, round(mean * (total - n), 6) AS eta FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS mean, count(*) OVER (PARTITION BY user_id) AS total FROM events) x WHERE n >= 5"),
     "migrations": ("Versions not applied yet, in order.", "SELECT n_nationkey AS version, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)"),
     "save_get_context": ("Context items as rows, kinds as columns.", "SELECT doc_id, max(CASE WHEN kind = 'title' THEN term END) AS title, max(CASE WHEN kind = 'place' THEN term END) AS place, count(*) AS n FROM (SELECT p.doc_id, g.kind, g.term FROM pairs p JOIN glossary g ON contains(p.source_head, g.term)) x GROUP BY doc_id"),
     "hardware_rule": ("Profiles by thresholds.", "SELECT s_suppkey, CASE WHEN s_acctbal >= 8000 THEN 'quality' WHEN s_acctbal >= 4000 THEN 'balanced' ELSE 'economy' END AS profile, s_acctbal < 0 AS warning FROM supplier"),
 }
-ENTRIES = {k: (d, s.replace("sha256(", "SHA256(")) for k, (d, s) in ENTRIES.items()}
+ENTRIES = {k: tuple(x.replace("sha256(", "SHA256(") for x in e) for k, e in ENTRIES.items()}
 QUERIES, ORACLES = dialect.register(ENTRIES)

@@ -83,7 +83,6 @@ ENTRIES = {
     "cache_key": ("Key of a segment's translation.", "SELECT doc_id, SHA256(concat_ws('|', source, 'model', 'runtime', 'beams=1')) AS cache_key FROM segments"),
     "cache_lookup": ("Hits, kept translations and misses.", "SELECT CASE WHEN c.k IS NOT NULL THEN 'hit' WHEN s.status = 'translated' THEN 'kept' ELSE 'miss' END AS outcome, count(*) AS n FROM segments s LEFT JOIN (SELECT DISTINCT md5(source) AS k FROM segments WHERE doc_id % 7 = 0 AND doc_id % 20 < 9) c ON c.k = md5(s.source) GROUP BY CASE WHEN c.k IS NOT NULL THEN 'hit' WHEN s.status = 'translated' THEN 'kept' ELSE 'miss' END"),
     "cache_invalidate_term": ("Segments that a changed term makes pending.", "SELECT doc_id, CASE WHEN contains(lower(source), 'count') THEN 'pending' ELSE status END AS status, CASE WHEN contains(lower(source), 'count') THEN '' ELSE target END AS target FROM segments"),
-    "pending_segments": ("Segments to translate, in order.", "SELECT doc_id, chapter, seq, CAST(row_number() OVER (ORDER BY chapter, seq) AS INT) AS pos FROM segments WHERE status IN ('pending', 'error')"),
     "count_segments": ("Segments in all and translated.", "SELECT lang, count(*) AS total, sum(CASE WHEN status = 'translated' THEN 1 ELSE 0 END) AS translated FROM segments GROUP BY lang"),
     "checkpoint": ("Latest checkpoint of each project.", "SELECT user_id, max(event_id) AS event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1 GROUP BY user_id"),
     "resume_report": ("What a run would take up.", "SELECT chapter, count(*) AS total, sum(CASE WHEN status IN ('pending', 'error') THEN 1 ELSE 0 END) AS pending FROM segments GROUP BY chapter"),
@@ -108,7 +107,6 @@ ENTRIES = {
     "style_validate_all": ("Findings of the style checks by kind.", "SELECT kind, count(*) AS n FROM (SELECT 'dialogue' AS kind FROM segments WHERE RLIKE(target, R'^[\"“]') UNION ALL SELECT 'title' FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)) x GROUP BY kind"),
     "bench_chrf6": ("Character n-gram F2 of one to six.", _chrf(6, 2)),
     "bench_confusion": ("Labels against predictions.", "SELECT lang, sum(CASE WHEN y = 1 AND p THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND p THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 0 AND NOT p THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN y = 1 AND NOT p THEN 1 ELSE 0 END) AS fn FROM (SELECT d.lang, l.quality AS y, d.n_chars > 500 AS p FROM documents d JOIN labels l ON l.doc_id = d.doc_id) x GROUP BY lang"),
-    "bench_latency": ("Mean and 95th percentile by rank.", "SELECT event_type, round(avg(value), 6) AS mean, max(CASE WHEN rn = k THEN value END) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn, CAST(floor(0.95e0 * count(*) OVER (PARTITION BY event_type)) AS BIGINT) + 1 AS k FROM events) x GROUP BY event_type"),
     "cons_glossary": ("Terms rendered in more than one way, safe to fix if locked.", "SELECT term_id, locked, count(DISTINCT variant) AS variants, count(*) AS n, CASE WHEN locked THEN 'safe_fix' ELSE 'suggested_fix' END AS severity FROM rendered GROUP BY term_id, locked HAVING count(DISTINCT variant) > 1"),
     "cons_recurrent": ("Recurrent pairs of words in two documents or more.", r"SELECT bigram, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, EXPLODE(regexp_extract_all(lower(source), R'[a-z]+ (?:street|house|road|holmes)', 0)) AS bigram FROM pairs) x GROUP BY bigram HAVING count(DISTINCT doc_id) >= 2"),
     "cons_tm": ("Entries found in documents, with and without their translation.", "SELECT t.tm_id, t.locked, count(*) AS n, sum(CASE WHEN h.kept THEN 1 ELSE 0 END) AS kept FROM tm_hits h JOIN tm t ON t.tm_id = h.tm_id GROUP BY t.tm_id, t.locked"),
