@@ -5,7 +5,8 @@ of a variable-bitrate stream, then silent frames (no Huffman data) that carry th
 protected by its CRC-16. `read_stream` does not rely on the writer: it skips tags, resynchronises on frame
 headers, parses Xing/Info and VBRI tables, verifies checksums and returns exact durations and seek offsets.
 
-Cases: null and empty texts give one padded frame; equal bytes give equal streams; a stream with garbage between
+Cases: null and empty texts give one padded frame; equal bytes, and so repeated rows, give equal streams; a very long
+text is a long stream, held by one task as a row is; an empty table gives none; other columns are not read; a stream with garbage between
 frames is resynchronised; a frame whose checksum fails is counted and kept; a stream with no frame gives zero
 frames and duration 0. A payload byte that looks like a sync word is not taken for a frame, since the parser
 steps from frame to frame and searches only after a header that does not parse.
@@ -182,24 +183,88 @@ class Stream:
         return self.offsets[max(0, min(len(self.offsets) - 1, int(seconds * self.rate) // per))]
 
 
+def _synchsafe_int(raw: bytes) -> int:
+    return sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True))
+
+
 def _tag(data: bytes, into: Stream) -> int:
-    """Parses ID3v2 tags at the beginning; where audio begins."""
+    """Parses ID3v2 tags (2.2, 2.3, 2.4; extended headers, unsynchronisation, footers) at the beginning; where audio begins."""
     at = 0
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
         major, flags = data[at + 3], data[at + 5]
-        size = sum((b & 0x7F) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
-        p, end = at + 10, min(len(data), at + 10 + size)
-        while major >= 3 and p + 10 <= end and data[p] != 0:
-            raw = data[p + 4 : p + 8]
-            n = sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True)) if major == 4 else int.from_bytes(raw)
-            if p + 10 + n > end:
+        size = _synchsafe_int(data[at + 6 : at + 10])
+        body = data[at + 10 : at + 10 + size]
+        if flags & 0x80 and major < 4:  # a zero byte behind each 0xFF was put in
+            body = body.replace(b"\xff\x00", b"\xff")
+        p = 0
+        if flags & 0x40 and major >= 3 and len(body) >= 4:
+            p = _synchsafe_int(body[:4]) if major == 4 else int.from_bytes(body[:4]) + 4
+        name, width, head = (3, 3, 6) if major == 2 else (4, 4, 10)
+        while p + head <= len(body) and body[p] != 0:
+            raw = body[p + name : p + name + width]
+            n = _synchsafe_int(raw) if major == 4 else int.from_bytes(raw)
+            if p + head + n > len(body):
                 break
-            into.tags.setdefault(data[p : p + 4].decode("latin-1"), data[p + 10 : p + 10 + n])
-            p += 10 + n
+            value = body[p + head : p + head + n]
+            if major == 4 and body[p + 9] & 0x02:
+                value = value.replace(b"\xff\x00", b"\xff")
+            into.tags.setdefault(body[p : p + name].decode("latin-1"), value)
+            p += head + n
         at += 10 + size + (10 if flags & 0x10 else 0)
     return min(at, len(data))
 
 
+def _bits(data: bytes, at: int, n: int) -> int:
+    """n bits from bit `at` on."""
+    whole = int.from_bytes(data[at // 8 : (at + n + 7) // 8])
+    return whole >> -(at + n) % 8 & (1 << n) - 1
+
+
+def _allocations(h: Header) -> list[int]:
+    """Layer II: bits of each subband's allocation, by version, rate and bitrate of a channel."""
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h.bitrate // 1000 // (1 if h.mono else 2)
+    if each in (32, 48):
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if h.rate == 48000 or each in (56, 64, 80) else 7)
+
+
+def protected_part(frame: bytes, h: Header) -> tuple[bytes, int]:
+    """What the checksum of a protected frame covers: bytes, and how many bits of them. Nothing for a frame cut short.
+
+    Layer III: the header's second half and the side information. Layers I and II: the allocations as well, and for II the
+    selections of scale factors.
+    """
+    head, body = frame[2:4], frame[6:]
+    if h.layer == 3:
+        return head + body[: h.side], 16 + 8 * h.side
+    channels = 1 if h.mono else 2
+    bound = 4 * (frame[3] >> 4 & 3) + 4 if frame[3] >> 6 == 1 else 32  # joint stereo shares the allocations above
+    widths = [4] * 32 if h.layer == 1 else _allocations(h)
+    at, used = 0, 0
+    for band, width in enumerate(widths):
+        own = channels if band < bound else 1
+        if at + own * width > 8 * len(body):
+            return b"", 0
+        for _ in range(own):
+            nonzero = _bits(body, at, width) > 0
+            at += width
+            used += nonzero * (channels if own == 1 and channels == 2 else 1)
+    if h.layer == 2:
+        at += 2 * used
+    return head + body[: (at + 7) // 8], 16 + at
+
+
+def crc16_bits(data: bytes, bits: int) -> int:
+    """crc16() of the first so many bits."""
+    c = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        bit = data[k // 8] >> 7 - k % 8 & 1
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ bit else 0)) & 0xFFFF
+    return c
+
+
 def _vbr(frame: bytes, h: Header, into: Stream) -> bool:
     """Whether the frame holds a Xing, Info or VBRI table, which is read."""
     at = 4 + (2 if h.protected else 0) + h.side
@@ -244,8 +309,8 @@ def read_stream(data: bytes) -> Stream:
             continue
         synced = True
         frame = data[at : at + h.size]
-        if h.protected and h.layer == 3:
-            good = crc16(frame[2:4] + frame[6 : 6 + h.side]) == frame[4] << 8 | frame[5]
+        if h.protected and (covered := protected_part(frame, h))[1]:
+            good = crc16_bits(*covered) == frame[4] << 8 | frame[5]
             out.crc_good, out.crc_bad = out.crc_good + good, out.crc_bad + (not good)
         if first and h.layer == 3 and _vbr(frame, h, out):
             out.rate = h.rate
