@@ -19,13 +19,9 @@ dialect.VIEWS |= {
 ENTRIES = {
     "glossary_match": ("All places of terms and aliases in pairs.", "SELECT doc_id, id AS term_id, word AS alias, EXPLODE(starts) AS at FROM hits WHERE side = 's' AND what IN ('term', 'alias')", "SELECT doc_id, id AS term_id, word AS alias, EXPLODE(starts) AS \"at\" FROM hits WHERE side = 's' AND what IN ('term', 'alias')"),
     "glossary_verify_locked": ("Locked terms of a source whose translation is absent, with their places.", "SELECT h.doc_id, g.term_id, g.term, g.target_term, CAST(sum(h.n) AS BIGINT) AS places FROM hits h JOIN glossary g ON g.term_id = h.id AND g.locked LEFT JOIN (SELECT DISTINCT doc_id, id FROM hits WHERE side = 't' AND what = 'target') t ON t.doc_id = h.doc_id AND t.id = h.id WHERE h.side = 's' AND h.what IN ('term', 'alias') AND t.id IS NULL GROUP BY h.doc_id, g.term_id, g.term, g.target_term"),
-    "glossary_conflicts": ("Aliases that are another entry's term.", "SELECT a.term_id, a.alias, g.term_id AS other_id FROM aliases a JOIN glossary g ON lower(a.alias) = lower(g.term) AND a.term_id <> g.term_id"),
-    "glossary_upsert_locked": ("Changed targets; locked ones are refused.", "SELECT term_id, term, target_term AS old_target, upper(target_term) AS new_target, CASE WHEN locked AND target_term <> upper(target_term) THEN 'rejected' ELSE 'updated' END AS outcome FROM glossary"),
-    "glossary_update": ("Fields that differ after an update, one row each.", "SELECT term_id, 'target_term' AS field, target_term AS old_value, upper(target_term) AS new_value FROM glossary WHERE target_term <> upper(target_term) UNION ALL SELECT term_id, 'kind', kind, 'term' FROM glossary WHERE kind <> 'term'"),
     "glossary_lookup": ("Words of documents looked up as term, else as alias.", "SELECT d.lang, coalesce(g.term_id, a.term_id) AS term_id, count(*) AS n FROM (SELECT lang, EXPLODE(SPLIT(lower(text), ' ')) AS w FROM documents) d LEFT JOIN glossary g ON lower(g.term) = w LEFT JOIN (SELECT alias, min(term_id) AS term_id FROM aliases WHERE alias <> term GROUP BY alias) a ON lower(a.alias) = w WHERE coalesce(g.term_id, a.term_id) IS NOT NULL GROUP BY d.lang, coalesce(g.term_id, a.term_id)"),
     "tm_verify_locked": ("Locked entries in a document whose translation is not there.", "SELECT h.doc_id, h.tm_id FROM tm_hits h JOIN tm t ON t.tm_id = h.tm_id AND t.locked WHERE NOT h.kept"),
     "tm_conflicts": ("Entries rejected and yet locked.", "SELECT tm_id, status FROM tm WHERE locked AND status = 'rejected'"),
-    "tm_upsert": ("Latest entry of each key in lower case, with its occurrences.", "SELECT lower(event_type) AS k, count(*) AS occurrences, max(event_id) AS latest FROM events GROUP BY lower(event_type)"),
     "tm_update": ("Field differences of entries that are not locked.", "SELECT tm_id, 'target_term' AS field, md5(target_term) AS old_md5, md5(source_term) AS new_md5 FROM tm WHERE NOT locked AND target_term <> source_term"),
     "character_upsert": ("Observed names against the characters known: new ones are added, known ones get the new nickname unless another character bears it.", "SELECT m.name, CASE WHEN n.character_id IS NULL THEN 'added' WHEN m.ids > 1 THEN 'conflict' ELSE 'merged' END AS outcome, m.seen FROM (SELECT k.name, k.seen, count(DISTINCT n.character_id) AS ids FROM (SELECT lower(word) AS name, CAST(sum(n) AS BIGINT) AS seen FROM hits WHERE side = 's' AND what IN ('name', 'nick', 'term') GROUP BY lower(word)) k LEFT JOIN names n ON lower(n.alias) = k.name GROUP BY k.name, k.seen) m LEFT JOIN (SELECT lower(alias) AS alias, min(character_id) AS character_id FROM names GROUP BY lower(alias)) n ON n.alias = m.name"),
     "character_find_alias": ("Ids by nickname or name.", "SELECT DISTINCT doc_id, id AS character_id FROM hits WHERE side = 's' AND what IN ('name', 'nick')"),

@@ -102,7 +102,6 @@ ENTRIES = {
     "characters_per_chapter": ("Names in each chapter.", "SELECT doc_id DIV 10 AS chapter, LISTAGG[name; ','; name] AS names FROM (SELECT DISTINCT doc_id DIV 10 * 10 AS doc_id, name FROM mentions) x GROUP BY doc_id DIV 10"),
     "sink_safe_name": ("Names safe for files.", r"SELECT doc_id, line_no, substr(RXR(RXR(RXR(line, R'[<>:\x22/\\|?*\x00-\x1f]', '' RXR), R'\s+', '_' RXR), R'\.\.+', '.' RXR), 1, 120) AS name FROM book"),
     "stitch_segments": ("Parts of a paragraph joined in order.", "SELECT doc_id, block DIV 3 AS paragraph, md5(LISTAGG[text; ' '; block]) AS h FROM blocks GROUP BY doc_id, block DIV 3"),
-    "sink_sqlite_upsert": ("Latest row of each key, the original from the first.", "SELECT user_id, max(event_id) AS latest, min(event_id) AS original FROM events GROUP BY user_id"),
     "export_inline_format": ("Bold and italic marks as tags.", r"SELECT doc_id, line_no, RXR(RXR(replace(replace(replace(m, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), R'\*\*([^*]+)\*\*', R'<b>$1</b>' RXR), R'\*([^*]+)\*', R'<i>$1</i>' RXR) AS html FROM (SELECT doc_id, line_no, concat('**', line, '** *x* <y>') AS m FROM lines WHERE line <> '' AND NOT contains(line, '*')) x"),
 }
 QUERIES, ORACLES = dialect.register(ENTRIES)

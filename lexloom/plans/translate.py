@@ -93,17 +93,11 @@ ENTRIES = {
     "rank_weighted": ("Weighted score.", "SELECT doc_id, cand, final_score FROM ranked"),
     "rank_topk": ("Candidates in order.", "SELECT doc_id, cand, rank FROM ranked"),
     "selected_candidate": ("The candidate of rank 1.", "SELECT doc_id, cand, target FROM ranked WHERE rank = 1"),
-    "style_set_rule": ("Rules by language; locked ones stay.", "SELECT lang, CASE WHEN lang = 'en' THEN 'locked' ELSE 'updated' END AS outcome, count(*) AS evidence FROM documents GROUP BY lang"),
-    "style_get_rule": ("Rules by synonym.", "SELECT term_id, coalesce(nullif(alias, term), target_term) AS rule FROM aliases"),
-    "style_explicit_inferred": ("Rules explicit and inferred.", "SELECT locked, count(*) AS n FROM glossary GROUP BY locked"),
-    "style_add_evidence": ("Evidence rows of each rule.", "SELECT g.term_id, count(*) AS n FROM glossary g JOIN pairs p ON contains(p.source, g.term) GROUP BY g.term_id"),
-    "style_lock": ("Rules with one locked.", "SELECT term_id, CASE WHEN term_id = 3 THEN true ELSE locked END AS locked FROM glossary"),
     "style_dialogue": ("Targets that begin with a quote under a dash policy.", "SELECT doc_id FROM segments WHERE RLIKE(target, R'^[\"“]')"),
     "style_punct": ("Repeated marks, and dashes without a blank.", "SELECT doc_id, line_no FROM lines WHERE RLIKE(line, R'[*][*][*]|[#][#][#]|%%%|,,|;;|::|!!!|—[^\\s]')"),
     "style_profanity": ("Strong words that a censoring policy forbids.", "SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, 1 AS n, EXPLODE(FILTER(SPLIT(lower(text), ' '), w -> w IN ('idiot', 'moron', 'scum', 'stupid'))) AS w FROM documents) x GROUP BY doc_id"),
     "style_treatment": ("Forms of address against the policy.", f"SELECT doc_id, {_TREAT} AS form FROM segments WHERE {_TREAT} IS NOT NULL"),
     "style_titles": ("Titles left in English.", "SELECT doc_id, en FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)"),
-    "style_contradictions": ("Dimensions with more than one value.", "SELECT chapter, count(DISTINCT lang) AS n FROM pairs GROUP BY chapter HAVING count(DISTINCT lang) > 1"),
     "style_validate_all": ("Findings of the style checks by kind.", "SELECT kind, count(*) AS n FROM (SELECT 'dialogue' AS kind FROM segments WHERE RLIKE(target, R'^[\"“]') UNION ALL SELECT 'title' FROM segments JOIN titles ON contains(lower(source), en) AND contains(lower(target), en)) x GROUP BY kind"),
     "bench_chrf6": ("Character n-gram F2 of one to six.", _chrf(6, 2)),
     "bench_confusion": ("Labels against predictions.", "SELECT lang, sum(CASE WHEN y = 1 AND p THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND p THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 0 AND NOT p THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN y = 1 AND NOT p THEN 1 ELSE 0 END) AS fn FROM (SELECT d.lang, l.quality AS y, d.n_chars > 500 AS p FROM documents d JOIN labels l ON l.doc_id = d.doc_id) x GROUP BY lang"),
