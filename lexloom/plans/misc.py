@@ -45,7 +45,7 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to JSON and back."""
     docs = table(spark, sf_dir, "documents")
     back = docs.select("doc_id", "text", F.from_json(F.to_json(F.struct("doc_id", "text", "lang")), "doc_id long, text string, lang string").alias("j"))
-    return back.select("doc_id", (F.col("j.text") == F.col("text")).alias("same"))
+    return back.select("doc_id", F.md5("j.text").alias("text_md5"), F.col("j.lang").alias("lang"))
 
 
 class Dictionary:
@@ -91,14 +91,22 @@ FACTORY = {"txt": files.text_units, "markdown": files.markdown_units, "html": fi
 RECOGNISERS = {"honorific": "mentions", "capitals": "capitals"}
 
 
+def reader_of(df: DataFrame, format: str = "format") -> DataFrame:
+    """df with the reader of each row's format, and an error where there is none."""
+    readers = F.create_map(*[F.lit(x) for k, f in FACTORY.items() for x in (k, f.__name__)])
+    name = F.try_element_at(readers, F.col(format))
+    return df.withColumns({"reader": name, "error": F.when(name.isNull(), F.concat(F.lit("no reader for "), F.coalesce(F.col(format), F.lit("a null format"))))})
+
+
 def src_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats that have a reader."""
-    return spark.createDataFrame([(k,) for k in sorted(FACTORY)], "format string")
+    """The reader of every page by its format, which its first bytes tell."""
+    return reader_of(text_plans.QUERIES["src_detect_format"](spark, sf_dir)).select("page_id", "reader", "error")
 
 
 def ner_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognisers by name."""
-    return spark.createDataFrame(sorted(RECOGNISERS.items()), "name string, view string")
+    """What each recogniser finds in all texts: mentions and names."""
+    parts = [dialect.query(f"SELECT '{k}' AS name, count(*) AS mentions, count(DISTINCT name) AS names FROM {view}", k)(spark, sf_dir) for k, view in sorted(RECOGNISERS.items())]
+    return parts[0].unionByName(parts[1])
 
 
 def sink_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +116,10 @@ def sink_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("format").agg(F.count("*").alias("n"), F.sum("b").alias("bytes"))
 
 
+_HONORIFIC = "SELECT 'honorific' AS name, count(*) AS mentions, count(DISTINCT name) AS names FROM mentions"
 QUERIES |= {f.__name__: f for f in (json_roundtrip, model_call, src_factory, ner_factory, sink_multi)}
 ORACLES |= {
-    "json_roundtrip": "SELECT doc_id, true AS same FROM documents",
-    "src_factory": f"SELECT unnest({sorted(FACTORY)}) AS format",
-    "ner_factory": "SELECT 'capitals' AS name, 'capitals' AS view UNION ALL SELECT 'honorific', 'mentions'",
+    "json_roundtrip": "SELECT doc_id, md5(text) AS text_md5, lang FROM documents",
+    "src_factory": f"SELECT page_id, CASE format WHEN 'html' THEN 'html_units' WHEN 'txt' THEN 'text_units' END AS reader, CASE WHEN format NOT IN ('html', 'txt') THEN concat('no reader for ', format) END AS error FROM ({text_plans.ORACLES['src_detect_format']})",
+    "ner_factory": dialect.oracle("SELECT 'capitals' AS name, count(*) AS mentions, count(DISTINCT name) AS names FROM capitals") + " UNION ALL " + f"({dialect.oracle(_HONORIFIC)})",
 }

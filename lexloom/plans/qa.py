@@ -12,13 +12,17 @@ from lexloom.plans.fixtures import GLOSSARY_SQL, CHARACTERS_SQL, PAIRS_SQL, char
 
 
 
-#: Checks that compare sizes run on the pairs alone; behind the documents' texts nothing would differ.
-HEADS = ("qa_structure", "qa_omission_dup")
+#: Checks that compare sizes: every fourth target is cut, doubled or runs on without a full stop.
+SIZES = ("qa_structure", "qa_omission_dup")
 
 
 def _rows(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairs(spark, sf_dir)
-    return rows.withColumns({"source": F.col("source_head"), "target": F.col("target_head")}) if name in HEADS else rows
+    if name not in SIZES:
+        return rows
+    t, k = F.col("target"), F.col("doc_id") % 4
+    on = F.regexp_replace(F.substring(t, F.lit(1), F.floor(F.length(t) / 2).cast("int")), "[.!?]+", ",")
+    return rows.withColumn("target", F.when(k == 1, F.substring(t, F.lit(1), F.floor(F.length(t) / 5).cast("int"))).when(k == 2, F.concat(t, F.lit(". "), t)).when(k == 3, on).otherwise(t))
 
 
 def _simple(name, check):
@@ -117,9 +121,9 @@ BODY = {
     "qa_locked_terms": f"""SELECT doc_id, 'locked_term_violation' AS check, CASE WHEN left_in THEN 'safe_fix' ELSE 'review_required' END AS severity, term AS found, target_term AS fix FROM (
       SELECT doc_id, term, target_term, {_has('target', 'term')} AND lower(term) <> lower(target_term) AS left_in, {_has('target', 'target_term')} AS there FROM pairs, glossary WHERE locked AND {_has('source', 'term')}) WHERE left_in OR NOT there""",
 }
-BODY |= {k: BODY[k].replace("FROM pairs", "FROM heads") for k in HEADS}
+BODY |= {k: BODY[k].replace("FROM pairs", "FROM sizes") for k in SIZES}
 BODY["qa_names"] = BODY["qa_names"].replace("HAS_NAME", _has("source", "name"))
-_WITH = f"WITH {PAIRS_SQL}, heads AS (SELECT doc_id, source_head AS source, target_head AS target FROM pairs), {GLOSSARY_SQL}, {CHARACTERS_SQL} "
+_WITH = f"WITH {PAIRS_SQL}, sizes AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 1 THEN substr(target, 1, length(target) // 5) WHEN 2 THEN concat(target, '. ', target) WHEN 3 THEN regexp_replace(substr(target, 1, length(target) // 2), '[.!?]+', ',', 'g') ELSE target END AS target FROM pairs), {GLOSSARY_SQL}, {CHARACTERS_SQL} "
 ORACLES = {k: _WITH + v for k, v in BODY.items()}
 _EVERY = " UNION ALL ".join(f"SELECT doc_id, severity FROM ({BODY[k]})" for k in CHECKS)
 ORACLES["qa_report"] = _WITH + f"SELECT p.doc_id, coalesce(n, 0) AS n_issues, coalesce(s, 0) AS n_safe, n IS NULL AS passed FROM pairs p LEFT JOIN (SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN severity = 'safe_fix' THEN 1 ELSE 0 END) AS BIGINT) AS s FROM ({_EVERY}) GROUP BY doc_id) i ON p.doc_id = i.doc_id"
