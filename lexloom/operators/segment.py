@@ -22,16 +22,15 @@ def sentences(text: Column) -> Column:
 
 def pack_greedy(parts: Column, limit: int = MAX_WORDS, glue: str = " ") -> Column:
     """Consecutive parts joined while at most `limit` words; a longer part stands alone. A fold, no shuffle."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
 
     def step(acc: Column, part: Column) -> Column:
         words = word_count(part)
-        fits = (F.size(acc["out"]) > 0) & (acc["n"] + words <= limit)
-        last = F.concat(F.element_at(acc["out"], -1), F.lit(glue), part)
-        joined = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(last))
-        return F.struct(F.when(fits, joined).otherwise(F.concat(acc["out"], F.array(part))).alias("out"), F.when(fits, acc["n"] + words).otherwise(words).alias("n"))
+        fits = acc["open"].isNotNull() & (acc["n"] + words <= limit)
+        closed = F.when(fits | acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"])))
+        return F.struct(closed.alias("out"), F.when(fits, F.concat(acc["open"], F.lit(glue), part)).otherwise(part).alias("open"), F.when(fits, acc["n"] + words).otherwise(words).alias("n"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.aggregate(parts, start, step, lambda acc: F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"]))))
 
 
 def chunk_greedy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_WORDS) -> DataFrame:

@@ -118,9 +118,26 @@ def sem_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / (norm("a") * norm("b")))), 4).alias("score"))
 
 
+# The folds in DuckDB: parts in one string with a mark between them, the last of which grows.
+_COUNT = r"len(list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> ''))"
+_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(text, '([.!?]["''”’)]?)\s+([^a-z\s])', concat('\1', chr(1), '\2'), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"""
+
+
+def _packed(parts: str, limit: int, glue: str) -> str:
+    last = _COUNT.replace("{x}", "split_part(a, chr(2), -1)")
+    own = _COUNT.replace("{x}", "p")
+    return f"string_split(list_reduce({parts}, lambda a, p: CASE WHEN {last} + {own} <= {limit} THEN concat(a, {glue}, p) ELSE concat(a, chr(2), p) END), chr(2))"
+
+
+def _numbered(parts: str, number: str, name: str) -> str:
+    return f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS {number}, c[i] AS {name} FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM (SELECT doc_id, {parts} AS c FROM documents WHERE text IS NOT NULL AND trim(text) <> '') x) y"
+
+
 QUERIES = {f.__name__: f for f in (src_html_units, sink_txt, norm_newlines_unicode, norm_parser_nfc, src_encoding, chunk_greedy, group_short_paragraphs, segment_chapter, process_document, sem_cosine)} | {"sink_docx": _round_trip("docx"), "src_docx": _round_trip("docx"), "sink_epub": _round_trip("epub"), "src_epub": _round_trip("epub")}
 ORACLES = {k: _sql_trip(k.split("_")[1]) for k in ("sink_docx", "src_docx", "sink_epub", "src_epub")} | {
     "src_encoding": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "process_document": r"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), ' ')) AS words_md5 FROM documents",
+    "chunk_greedy": _numbered(_packed(_SENTENCES, segment.MAX_WORDS, "' '"), "chunk_no", "chunk"),
+    "group_short_paragraphs": _numbered(_packed("list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')", segment.GROUP_WORDS, "concat(chr(10), chr(10))"), "group_no", "text"),
     "sem_cosine": "SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 4) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
 }

@@ -127,3 +127,16 @@ _WITH = f"WITH {PAIRS_SQL}, sizes AS (SELECT doc_id, source, CASE doc_id % 4 WHE
 ORACLES = {k: _WITH + v for k, v in BODY.items()}
 _EVERY = " UNION ALL ".join(f"SELECT doc_id, severity FROM ({BODY[k]})" for k in CHECKS)
 ORACLES["qa_report"] = _WITH + f"SELECT p.doc_id, coalesce(n, 0) AS n_issues, coalesce(s, 0) AS n_safe, n IS NULL AS passed FROM pairs p LEFT JOIN (SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN severity = 'safe_fix' THEN 1 ELSE 0 END) AS BIGINT) AS s FROM ({_EVERY}) GROUP BY doc_id) i ON p.doc_id = i.doc_id"
+
+
+def _fixes() -> str:
+    """Safe fixes step by step: each step's text is a column of its own."""
+    steps = [(r"([0-9])\s+%", r"\1%")] + [(rf"([0-9])\s+{e}($|[^\p{{L}}])", rf"\1 {p}\2") for e, p in d.UNITS.items()]
+    sql = "SELECT doc_id, target AS t0 FROM pairs"
+    for k, (pattern, new) in enumerate(steps, 1):
+        sql = f"SELECT *, regexp_replace(t{k - 1}, {lit(pattern)}, {lit(new)}, 'g') AS t{k} FROM ({sql})"
+    changed = " + ".join(f"CASE WHEN t{k} <> t{k - 1} THEN 1 ELSE 0 END" for k in range(1, len(steps) + 1))
+    return f"SELECT doc_id, md5(t{len(steps)}) AS fixed_md5, {changed} AS n_audits FROM ({sql}) WHERE {changed} > 0"
+
+
+ORACLES["qa_apply_safe_fixes"] = f"WITH {PAIRS_SQL} " + _fixes()
