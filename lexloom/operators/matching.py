@@ -75,10 +75,13 @@ _matchers: dict[int, Matcher] = {}
 
 def find_terms(df: DataFrame, terms: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), term_keys: tuple[str, ...] = ("term_id",), term: str = "term", case: str | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(keys, term_keys, term, starts): a row for each row of df and entry of terms that it holds, with all places (from 0)."""
-    entries = terms.select(*term_keys, F.col(term).alias("term"), (F.coalesce(F.col(case), F.lit(False)) if case else F.lit(False)).alias("case"))
+    own, entry = tuple(f"_k{i}" for i in range(len(keys))), tuple(f"_t{i}" for i in range(len(term_keys)))
+    entries = terms.select(*[F.col(k).alias(n) for k, n in zip(term_keys, entry, strict=True)], F.col(term).alias("term"), (F.coalesce(F.col(case), F.lit(False)) if case else F.lit(False)).alias("case"))
     size = entries.agg(F.sum(F.coalesce(F.octet_length("term"), F.lit(0)) + 16)).first()[0] or 0
     ship_package(df.sparkSession)
-    return (_by_automaton if size <= most_bytes else _by_join)(df.select(*keys, F.col(text).alias("text")), entries, keys, term_keys)
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, own, strict=True)], F.col(text).alias("text"))
+    found = (_by_automaton if size <= most_bytes else _by_join)(rows, entries, own, entry)
+    return found.toDF(*keys, *term_keys, "term", "starts")
 
 
 def _by_automaton(df: DataFrame, entries: DataFrame, keys: tuple[str, ...], term_keys: tuple[str, ...]) -> DataFrame:

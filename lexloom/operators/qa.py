@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.regex import NON_WORD, WORD, any_of, extract, has_term, has_word
+from lexloom.functions.regex import NON_WORD, any_of, extract, has_term, has_word
 from lexloom.operators import dictionaries as d
+from lexloom.operators import matching
 
 KEYS = ("doc_id",)
 REVIEW, SAFE, SUGGESTED = "review_required", "safe_fix", "suggested_fix"
@@ -27,18 +28,13 @@ def issues(df: DataFrame, check: str, severity: str | Column, found: Column, fix
     return rows.select(*keys, F.lit(check).alias("check"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), "found", fix.alias("fix"))
 
 
-def dictionary_join(df: DataFrame, terms: DataFrame, text: str, term: str, most: int = 10_000) -> DataFrame:
+def dictionary_join(df: DataFrame, terms: DataFrame, text: str, term: str, most_bytes: int = matching.MOST_BYTES) -> DataFrame:
     """Rows of df with each term that their text holds as whole words, in either case.
 
-    A dictionary of at most `most` entries is counted and broadcast; a larger one is joined on the first word of its terms,
-    which shuffles words and never pairs every row with every term.
+    By matching.find_terms(): one pass of an automaton for a dictionary of at most most_bytes bytes, a join on tokens beyond it.
     """
-    holds = F.lower(text).contains(F.lower(term)) & has_term(F.col(text), F.col(term))
-    if terms.limit(most + 1).count() <= most:
-        return df.join(F.broadcast(terms), holds)
-    words = df.withColumn("_w", F.explode(F.array_distinct(extract(F.lower(text), WORD + "+"))))
-    heads = terms.withColumn("_w", F.regexp_extract(F.lower(term), f"({WORD}+)", 1))
-    return words.join(heads, "_w").where(holds).drop("_w")
+    others = tuple(c for c in terms.columns if c != term)
+    return matching.find_terms(df, terms, text, tuple(df.columns), others, term, most_bytes=most_bytes).withColumnRenamed("term", term).drop("starts")
 
 
 def _numbers(text: str) -> Column:
@@ -132,7 +128,7 @@ def measures(df: DataFrame, keys=KEYS) -> DataFrame:
 def names(df: DataFrame, people: DataFrame, keys=KEYS) -> DataFrame:
     """Names of the source, as whole words, that the target lacks: near forms are suggested, missing surnames reviewed."""
     t, n = F.lower("target"), F.lower("name")
-    rows = dictionary_join(df, people.where(F.length("name") >= 3).select("name"), "source", "name").where(~t.contains(n))
+    rows = dictionary_join(df.select(*keys, "source", "target"), people.where(F.length("name") >= 3).select("name"), "source", "name").where(~t.contains(n))
     last = F.element_at(F.split(n, " "), -1)
     near = F.expr("regexp_extract(lower(target), concat(split(lower(name), ' ')[0], '\\\\s+[a-z]{3,}'), 0)")
     rows = rows.withColumn("near", near).withColumn("severity", F.when(F.col("near") != "", SUGGESTED).when(~t.contains(last), REVIEW)).where("severity IS NOT NULL")
@@ -162,7 +158,7 @@ def citations(df: DataFrame, keys=KEYS) -> DataFrame:
 
 def locked_terms(df: DataFrame, terms: DataFrame, keys=KEYS) -> DataFrame:
     """Locked terms left in the source's language (safe) or missing in the target (review)."""
-    rows = dictionary_join(df, terms.where("locked").select("term", "target_term"), "source", "term")
+    rows = dictionary_join(df.select(*keys, "source", "target"), terms.where("locked").select("term", "target_term"), "source", "term")
     left = F.lower("target").contains(F.lower("term")) & has_term(F.col("target"), F.col("term")) & (F.lower("term") != F.lower("target_term"))
     rows = rows.withColumn("severity", F.when(left, SAFE).when(~has_term(F.col("target"), F.col("target_term")), REVIEW)).where("severity IS NOT NULL")
     return rows.select(*keys, F.lit("locked_term_violation").alias("check"), "severity", F.col("term").alias("found"), F.col("target_term").alias("fix"))

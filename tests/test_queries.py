@@ -6,6 +6,8 @@ from oracle import compare, connect
 from lexloom import registry
 
 SF = "/root/testdata/sf0.001"
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +25,7 @@ def test_module(spark, con, module):
         sql = plans.ORACLES.get(name)
         if sql is None:
             query(spark, SF).count()
-        elif (found := compare(spark, con, name, query, sql, SF)) not in (None, "empty"):
+        elif (found := compare(spark, con, name, query, sql, SF)) not in (None, "empty" if name in MAY_BE_EMPTY else None):
             wrong[name] = found
     assert not wrong
 
