@@ -47,12 +47,14 @@ SHARE_ROWS = 100_000
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
-def unassigned() -> re.Pattern:
-    """Finds a code point that this Python's Unicode does not know; libraries may disagree on its class."""
-    from sys import maxunicode
+# Latin letters, general punctuation and currencies: all assigned, and classed alike by every version of Unicode.
+_COMMON = re.compile("[^\x00-\u02ff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 
+
+def _unassigned(first: int, last: int) -> re.Pattern:
+    """Finds a code point between these that this Python's Unicode does not know; libraries may disagree on its class."""
     runs: list[list[int]] = []
-    for c in range(0x80, maxunicode + 1):
+    for c in range(first, last + 1):
         if unicodedata.category(chr(c)) == "Cn":
             if runs and runs[-1][1] == c - 1:
                 runs[-1][1] = c
@@ -61,6 +63,19 @@ def unassigned() -> re.Pattern:
     return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
 
 
+class Unsure:
+    """Whether a text has a code point that this Python's Unicode does not know. Usual texts cost one search of three ranges."""
+
+    def __init__(self):
+        self.plane = _unassigned(0x80, 0xFFFF).search  # a table; classes that reach beyond it are searched range by range
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").findall
+
+    def __call__(self, text: str) -> bool:
+        if not _COMMON.search(text):
+            return False
+        return bool(self.plane(text)) or any(unicodedata.category(c) == "Cn" for c in set(self.beyond(text)))
+
+
 def default_tokenizer() -> str:
     """The installed vocabulary file; a path is a parameter everywhere."""
     import public_tokenizers
@@ -101,7 +116,7 @@ class WordTokenizer:
 
         self.words = _Words(path, cache_words)
         self.split = regex.compile(_SPLIT).findall
-        self.unsure = unassigned().search
+        self.unsure = Unsure()
 
     def whole(self, text: str) -> bytes:
         """The tokenizer's own answer."""
