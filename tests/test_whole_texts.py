@@ -1,12 +1,15 @@
 """Queries against brute force in Python, on rows whose defects lie in the body of a document, not in the head before it."""
 
+import math
 import re
 from collections import Counter
 
 import pytest
 
 from lexloom import registry
+from lexloom.operators import semantic
 from lexloom.plans import fixtures as fx
+from lexloom.plans import misc
 from lexloom.plans.text import HEAD
 
 BODY = {0: "All quiet.", 3: "At the end the doctor came. O doctor chegou, né.", 11: "“So you are home” he said.\nActually the masterpiece was sold. Atualmente um bom trabalho.", 14: "Count Count again.", 20: "guilty, yet inocente"}
@@ -30,21 +33,32 @@ def whole(k):
 
 
 def test_bodies_are_checked(spark, sf):
-    assert {r["doc_id"] for r in rows(spark, sf, "sem_register")} == {3, 14}  # 14 by its head
+    assert {r["doc_id"] for r in rows(spark, sf, "sem_register")} == {3}
     assert {(3, "doctor")} <= {(r["doc_id"], r["en"]) for r in rows(spark, sf, "style_titles")}
-    assert {(11, "actually")} <= {(r["doc_id"], r["en"]) for r in rows(spark, sf, "sem_false_friend")}
-    assert {(11, "masterpiece")} <= {(r["doc_id"], r["en"]) for r in rows(spark, sf, "sem_intensity")}
-    assert {(20, "guilty", "inocente")} <= {tuple(r.values()) for r in rows(spark, sf, "sem_antonym")}
+    assert {(11, "actually")} <= {(r["doc_id"], r["found"]) for r in rows(spark, sf, "sem_false_friend")}
+    assert {(11, "masterpiece")} <= {(r["doc_id"], r["found"]) for r in rows(spark, sf, "sem_intensity")}
+    assert {(20, "guilty")} <= {(r["doc_id"], r["found"]) for r in rows(spark, sf, "sem_antonym")}
+
+
+def similarity(a, b):
+    """Cosine of the counts of characters by code modulo 32 and of three for each anchor word."""
+
+    def vector(x):
+        words, out = set(re.findall(r"\w+", x.lower())), Counter(ord(c) % semantic.BINS for c in x.lower())
+        for k, (en, pt) in enumerate(semantic.ANCHORS.items()):
+            if words & {en, *pt.split()}:
+                out[semantic.BINS + k] = semantic.ANCHOR_WEIGHT
+        return out
+
+    x, y = vector(a), vector(b)
+    return sum(x[k] * y[k] for k in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
 
 
 def test_divergence(spark, sf):
-    words = lambda x: re.findall(r"\w+", x.lower())
-    want = set()
-    for k in BODY:
-        a, b = map(set, map(words, whole(k)))
-        if len(a) > 3 and len(a & b) < 0.2 * len(a):
-            want.add(k)
-    assert {r["doc_id"] for r in rows(spark, sf, "sem_divergence")} == want
+    got = {r["doc_id"]: (r["similarity"], r["divergent"]) for r in rows(spark, sf, "sem_divergence")}
+    want = {k: similarity(*whole(k)) for k in BODY}
+    assert {k: x for k, (x, _) in got.items()} == pytest.approx(want, abs=1e-5)
+    assert all(d == (want[k] < 0.55 and len(whole(k)[0].split()) > 3) for k, (_, d) in got.items())
 
 
 def brute_chrf(source, target, orders, beta=2):
@@ -57,14 +71,29 @@ def brute_chrf(source, target, orders, beta=2):
     return sum(found) / orders
 
 
-@pytest.mark.parametrize("name, orders", [("bt_chrf", 4), ("bench_chrf6", 6)])
-def test_chrf(spark, sf, name, orders):
-    got = {r["doc_id"]: r["chrf"] for r in rows(spark, sf, name)}
-    assert got == pytest.approx({k: brute_chrf(*whole(k), orders) for k in BODY}, abs=2e-6)
+def test_chrf(spark, sf):
+    got = {r["doc_id"]: r["chrf"] for r in rows(spark, sf, "bench_chrf6")}
+    assert got == pytest.approx({k: brute_chrf(*whole(k), 6) for k in BODY}, abs=2e-6)
+
+
+def back(k):
+    """The target's words by the dictionary the other way."""
+    return re.sub("[A-Za-z]+", lambda m: misc.Reverse.words.get(m[0].lower(), m[0]), whole(k)[1])
+
+
+def pooled_chrf(a, b, orders=4, beta=2):
+    x, y = (Counter(t[i : i + n] for n in range(1, orders + 1) for i in range(len(t) - n + 1)) for t in (a.strip().lower(), b.strip().lower()))
+    p, r = (x & y).total() / y.total(), (x & y).total() / x.total()
+    return (1 + beta**2) * p * r / (beta**2 * p + r)
+
+
+def test_back_translations_are_whole(spark, sf):
+    assert any(back(k) != whole(k)[1] for k in BODY)
+    assert {r["doc_id"]: r["chrf"] for r in rows(spark, sf, "bt_chrf")} == pytest.approx({k: pooled_chrf(whole(k)[0], back(k)) for k in BODY}, abs=2e-6)
+    assert {r["doc_id"]: r["f1"] for r in rows(spark, sf, "bt_token_f1")} == pytest.approx({k: f1(whole(k)[0], back(k)) for k in BODY}, abs=2e-6)
 
 
 def test_candidates_are_whole(spark, sf):
-    assert {r["doc_id"]: r["f1"] for r in rows(spark, sf, "bt_token_f1")} == pytest.approx({k: f1(*whole(k)) for k in BODY}, abs=2e-6)
     assert all(r["target"] in (whole(r["doc_id"])[1], whole(r["doc_id"])[0], " ".join([whole(r["doc_id"])[1]] * 2), whole(r["doc_id"])[1][:15]) for r in rows(spark, sf, "selected_candidate"))
 
 
@@ -124,9 +153,10 @@ def test_memory_search_of_short_lines(spark, tmp_path_factory):
     text, terms = "old house\n\nthe old house stands\nroad", {3: "old house", 5: "the old house stands here", 1: "road"}
     spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(list(terms.items()), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    want = {(1, n, t, "exact" if x == y else "partial") for n, x in enumerate(text.split("\n"), 1) for t, y in terms.items() if t >= 3 and (x in y or y in x)}
+    inside = lambda x, y: re.search(rf"\b{re.escape(x)}\b", y) is not None
+    want = {(1, n, t, "exact" if x == y else "partial") for n, x in enumerate(text.split("\n"), 1) for t, y in terms.items() if t >= 3 and x and (inside(x, y) or inside(y, x))}
     assert {tuple(r.values()) for r in rows(spark, d, "tm_search")} == want
-    assert len(want) == 6
+    assert len(want) == 4
 
 
 def test_scores_join_every_entry(spark, tmp_path_factory):
@@ -140,12 +170,12 @@ def test_scores_join_every_entry(spark, tmp_path_factory):
     for i, text in texts.items():
         s, t = (f"{h}\n{text}" for h in fx.PAIRS[i % len(fx.PAIRS)])
         for cand, target in [(1, t), (2, s), (3, f"{t} {t}")] + [(4, t[:15])] * (i % 2 == 0):
-            terms = sum(0.4 * (not has(target, y)) + 0.35 * (has(target, x) and x.lower() != y.lower()) for _, x, y, _, locked, _ in fx.GLOSSARY if locked and has(s, x))
-            kept = sum(0.2 * (x.upper().lower() not in target.lower()) for k, x in memory.items() if k % 2 == 0 and x in s)
+            terms = sum(0.4 * (not has(target, y)) + 0.35 * (has(target, x) and x.lower() != y.lower()) for _, x, y, _, locked, aliases in fx.GLOSSARY if locked and any(has(s, a) for a in [x, *filter(None, aliases.split("|"))]))
+            kept = sum(0.2 * (not has(target, x if k % 3 == 0 else f"pt {x}")) for k, x in memory.items() if k % 2 == 0 and has(text, x))
             names = 0
             for _, name, aliases, _ in fx.CHARACTERS:
                 parts = [w for w in name.lower().split() if len(w) > 2]
-                if len(name.split()) > 1 and any(a.lower() in s.lower() for a in [name, *filter(None, aliases.split("|"))]):
+                if len(name.split()) > 1 and any(has(s, a) for a in [name, *filter(None, aliases.split("|"))]):
                     names += 0.15 * (0 < sum(w in target.lower() for w in parts) < len(parts))
             want[i, cand] = [max(0, 1 - x) for x in (terms, kept, names)]
     assert {x for row in want.values() for x in row} > {1}
