@@ -91,7 +91,7 @@ def _by_automaton(df: DataFrame, entries: DataFrame, keys: tuple[str, ...], term
     for f in schema.fields:
         f.nullable = True
     types = [to_arrow_type(entries.schema[k].dataType) for k in term_keys]
-    mark = id(held)
+    mark = held._jbroadcast.id()  # workers live on: the number tells dictionaries apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _matchers:
