@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import segment
 from lexloom.plans import dialect
-from lexloom.plans import text as text_plans  # noqa: F401  its fixtures are read here
+from lexloom.plans import story as story_plans  # noqa: F401  its views are read here
+from lexloom.plans import text as text_plans
 from lexloom.plans import translate as translate_plans  # noqa: F401
 from lexloom.plans.fixtures import pairs
 from lexloom.session import ship_package, table
