@@ -93,10 +93,6 @@ ENTRIES = {
     "alias_resolve": ("Single words as the one name they are part of.", "SELECT part, min(name) AS canonical, CASE WHEN count(DISTINCT name) = 1 THEN 0.85e0 ELSE 0.5e0 END AS confidence FROM (SELECT name, EXPLODE(SPLIT(name, ' ')) AS part FROM (SELECT DISTINCT name FROM capitals) c) x GROUP BY part"),
     "entity_occurrence_stats": ("How often and where first each entity occurs.", "SELECT name, count(*) AS n, min(doc_id) AS first_doc FROM mentions GROUP BY name"),
     "entity_summary": ("Thirty most frequent entities.", "SELECT name, n, pos FROM (SELECT name, n, CAST(row_number() OVER (ORDER BY n DESC, name) AS INT) AS pos FROM (SELECT name, count(*) AS n FROM capitals GROUP BY name) c) x WHERE pos <= 30"),
-    "gender_infer": ("Gender by title, else by the pronouns of one kind in the lines that name someone.", r"SELECT name, CASE WHEN RLIKE(name, R'^(Mr\.|Sir|Lord|King|Prince|Captain|Father|Brother)') THEN 'male' WHEN RLIKE(name, R'^(Mrs\.|Miss|Ms\.|Lady|Queen|Sister)') THEN 'female' WHEN sum(he) > 0 AND sum(she) = 0 THEN 'male' WHEN sum(she) > 0 AND sum(he) = 0 THEN 'female' ELSE 'unknown' END AS gender, count(*) AS n FROM (SELECT m.name, CASE WHEN RLIKE(lower(b.line), R'(^|[^\p{L}])(he|him|his|er|il)($|[^\p{L}])') THEN 1 ELSE 0 END AS he, CASE WHEN RLIKE(lower(b.line), R'(^|[^\p{L}])(she|her|hers|sie|elle)($|[^\p{L}])') THEN 1 ELSE 0 END AS she FROM mentions m JOIN book b ON b.doc_id = m.doc_id AND b.line_no = m.line_no) x GROUP BY name"),
-    "relation_extract": ("Relatives named by a possessive.", r"SELECT lang, a, rel, b, count(*) AS n FROM (SELECT lang, regexp_extract(line, R'([A-Z][a-z]+)\x27s (sister|brother|wife|son|friend),? ([A-Z][a-z]+)', 1) AS a, regexp_extract(line, R'([A-Z][a-z]+)\x27s (sister|brother|wife|son|friend),? ([A-Z][a-z]+)', 2) AS rel, regexp_extract(line, R'([A-Z][a-z]+)\x27s (sister|brother|wife|son|friend),? ([A-Z][a-z]+)', 3) AS b FROM book) x WHERE a <> '' GROUP BY lang, a, rel, b"),
-    "narrator_stats": ("First against third person.", r"SELECT doc_id, CAST(SIZE(FILTER(w, x -> x IN ('i', 'me', 'my', 'we'))) AS BIGINT) AS first_person, CAST(SIZE(FILTER(w, x -> x IN ('he', 'she', 'they', 'on', 'er', 'ella'))) AS BIGINT) AS third_person FROM (SELECT doc_id, regexp_extract_all(lower(text), R'[\p{L}]+', 0) AS w FROM documents) d"),
-    "tense_stats": ("Past against present forms.", r"SELECT doc_id, CAST(SIZE(FILTER(w, x -> x IN ('was', 'were', 'had', 'said', 'went'))) AS BIGINT) AS past, CAST(SIZE(FILTER(w, x -> x IN ('is', 'are', 'has', 'says', 'goes', 'est', 'ist', 'es'))) AS BIGINT) AS present FROM (SELECT doc_id, regexp_extract_all(lower(text), R'[\p{L}]+', 0) AS w FROM documents) d"),
     "style_evidence_sample": ("First five lines of dialogue of each language.", "SELECT lang, doc_id, line_no, pos FROM (SELECT lang, doc_id, line_no, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) AS INT) AS pos FROM flagged WHERE is_dash) x WHERE pos <= 5"),
     "recurrent_concepts": ("Entities that occur twice or more.", "SELECT name, count(*) AS n FROM capitals GROUP BY name HAVING count(*) >= 2"),
     "characters_per_chapter": ("Names in each chapter.", "SELECT doc_id DIV 10 AS chapter, LISTAGG[name; ','; name] AS names FROM (SELECT DISTINCT doc_id DIV 10 * 10 AS doc_id, name FROM mentions) x GROUP BY doc_id DIV 10"),
