@@ -21,6 +21,8 @@ from lexloom.sources import files, sinks
 dialect.VIEWS |= {
     "page_lines": "SELECT doc_id, line_no DIV 10 AS page, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before_line, max(length(line)) OVER (PARTITION BY doc_id, line_no DIV 10) AS widest FROM lines WHERE line <> ''",
 }
+#: A paragraph with all inline marks, in front of each page.
+MARKED = "<p>one <em>two <strong>three</strong></em> <u>four</u><s>five</s> <code>six</code></p>"
 ENTRIES = {
     "sanitize_log": ("Log lines without secrets.", r"SELECT doc_id, line_no, md5(RXR(line, R'(?i)(password|token|secret|api_?key)\s*[:=]\s*[^\s]+', R'$1=***' RXR)) AS h FROM lines"),
     "sanitize_filename_strict": ("Names of letters, digits, dots, hyphens and underscores only.", r"SELECT doc_id, line_no, substr(RXR(RXR(line, R'[^A-Za-z0-9._\-]', '_' RXR), R'_+', '_' RXR), 1, 100) AS name FROM lines"),
@@ -33,7 +35,6 @@ ENTRIES = {
     "src_pdf": ("Lines by page, with text per page.", "SELECT doc_id, page, count(*) AS n, sum(length(line)) AS chars FROM page_lines GROUP BY doc_id, page"),
     "pdf_structure": ("Paragraphs of page lines: one ends with a closing mark on a line under 0.72 of the widest.", r"SELECT doc_id, CAST(sum(CASE WHEN RLIKE(line, R'[.!?]$') AND length(line) < 0.72e0 * widest THEN 1 ELSE 0 END) AS BIGINT) AS paras, CAST(sum(CASE WHEN upper(line) = line AND lower(line) <> line AND length(line) < 60 THEN 1 ELSE 0 END) AS BIGINT) AS heads FROM page_lines GROUP BY doc_id"),
     "src_ocr_page": ("Pages with their mean confidence and whether they need review.", "SELECT doc_id, page, round(avg((line_no % 10) / 10e0), 4) AS conf, avg((line_no % 10) / 10e0) < 0.7e0 AS review FROM page_lines GROUP BY doc_id, page"),
-    "src_html_inline_spans": ("Inline marks of pages by style.", r"SELECT page_id, SIZE(regexp_extract_all(html, R'<b>|<strong>', 0)) AS bold, SIZE(regexp_extract_all(html, R'<a [^>]*>', 0)) AS links FROM pages"),
     "src_epub_xhtml": ("Images and notes of pages.", r"SELECT page_id, SIZE(regexp_extract_all(html, R'<img[^>]*>', 0)) AS images, SIZE(regexp_extract_all(html, R'<aside[^>]*>', 0)) AS notes, SIZE(regexp_extract_all(html, R'<h1[^>]*>', 0)) AS chapters FROM pages"),
     "save_document_tree": ("Units of documents as one table.", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN is_chapter THEN 'heading' WHEN is_dash THEN 'dialogue' WHEN is_scene THEN 'scene' ELSE 'paragraph' END AS kind FROM flagged WHERE NOT is_blank) x GROUP BY kind"),
     "story_persist": ("Rows of the story tables.", "SELECT 'states' AS name, count(*) AS n FROM states UNION ALL SELECT 'events', count(*) FROM story_events UNION ALL SELECT 'facts', count(*) FROM facts UNION ALL SELECT 'relations', count(*) FROM relations"),
@@ -110,6 +111,18 @@ def ner_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def src_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of all pages by kind, with their characters; a block that is not closed goes on to the end of the page."""
+    units = files.parse_files(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content")))
+    return units.groupBy("path", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def src_html_inline_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline marks of all pages by style, with the characters they cover."""
+    units = files.parse_files(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.concat(F.lit(MARKED), F.coalesce("html", F.lit(""))).cast("binary").alias("content")))
+    return units.select("path", F.explode("spans").alias("x")).groupBy("path", F.col("x.style").alias("style")).agg(F.count("*").alias("n"), F.sum(F.col("x.end") - F.col("x.start")).alias("chars"))
+
+
 def sink_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in all formats: files and bytes of each."""
     units = segment.group_short_paragraphs(table(spark, sf_dir, "documents")).select("doc_id", F.col("group_no").alias("ord"), F.lit("paragraph").alias("kind"), F.lit(0).alias("level"), "text")
@@ -118,8 +131,23 @@ def sink_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HONORIFIC = "SELECT 'honorific' AS name, count(*) AS mentions, count(DISTINCT name) AS names FROM mentions"
-QUERIES |= {f.__name__: f for f in (json_roundtrip, model_call, src_factory, ner_factory, sink_multi)}
+QUERIES |= {f.__name__: f for f in (json_roundtrip, model_call, src_factory, ner_factory, src_html, src_html_inline_spans, sink_multi)}
+# What an unclosed paragraph takes: all text behind its mark. Blanks are those that a split takes.
+_BLANKS = r"[\s\x0b\x1c-\x1f\x85\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _shown(x: str) -> str:
+    return f"trim(regexp_replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '{_BLANKS}', ' ', 'g'))"
+
+
+_REST = _shown("substr(html, strpos(html, '<p><b>'))")
+_EACH = "SELECT page_id, '{kind}' AS kind, unnest(regexp_extract_all(html, '<{tag}>(.*?)</{tag}>', 1)) AS x FROM pages"
 ORACLES |= {
+    "src_html": f"SELECT CAST(page_id AS VARCHAR) AS path, kind, count(*) AS n, CAST(sum(length({_shown('x')})) AS BIGINT) AS chars FROM ({_EACH.format(kind='item', tag='li')} UNION ALL {_EACH.format(kind='heading', tag='h1')} UNION ALL SELECT page_id, 'paragraph', {_REST} FROM pages) u WHERE x <> '' GROUP BY page_id, kind",
+    "src_html_inline_spans": f"""SELECT CAST(page_id AS VARCHAR) AS path, style, CAST(sum(n) AS BIGINT) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM (
+  SELECT page_id, style, n, chars FROM pages CROSS JOIN (VALUES ('italic', 1, 9), ('bold', 1, 5), ('underline', 1, 4), ('strikethrough', 1, 4), ('code', 1, 3)) AS m(style, n, chars)
+  UNION ALL SELECT page_id, 'bold', 1, length({_REST}) FROM pages
+  UNION ALL SELECT page_id, 'link', 1, length({_shown('x')}) FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a [^>]*>(.*?)</a></li>', 1)) AS x FROM pages) a) GROUP BY page_id, style""",
     "json_roundtrip": "SELECT doc_id, md5(text) AS text_md5, lang FROM documents",
     "src_factory": f"SELECT page_id, CASE format WHEN 'html' THEN 'html_units' WHEN 'txt' THEN 'text_units' END AS reader, CASE WHEN format NOT IN ('html', 'txt') THEN concat('no reader for ', format) END AS error FROM ({text_plans.ORACLES['src_detect_format']})",
     "ner_factory": dialect.oracle("SELECT 'capitals' AS name, count(*) AS mentions, count(DISTINCT name) AS names FROM capitals") + " UNION ALL " + f"({dialect.oracle(_HONORIFIC)})",

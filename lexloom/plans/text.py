@@ -77,7 +77,6 @@ ENTRIES = {
     "src_inspect": ("Size and kind of each file.", "SELECT page_id, octet_length(encode(coalesce(html, ''), 'utf-8')) AS bytes, length(RXR(html, R'\\s', '' RXR)) >= 40 AS textual FROM pages"),
     "src_validate": ("Inputs of an allowed size.", "SELECT page_id FROM pages WHERE length(html) BETWEEN 1 AND 104857600"),
     "src_file_sha256": ("Hash of each file.", "SELECT page_id, SHA256(html) AS sha FROM pages"),
-    "src_html": ("Units of pages: headings, paragraphs, items.", r"SELECT page_id, CAST(regexp_count(html, R'<h[1-6][^>]*>') AS BIGINT) AS headings, CAST(regexp_count(html, R'<p[^>]*>') AS BIGINT) AS paragraphs, CAST(regexp_count(html, R'<li[^>]*>') AS BIGINT) AS items FROM pages"),
     "sanitize_html": ("Pages without scripts, styles and comments.", r"SELECT page_id, md5(RXR(html, R'(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '' RXR)) AS h FROM pages"),
     "src_markdown": ("Headings, images and footnotes of marked lines.", r"SELECT doc_id, line_no, length(regexp_extract(m, R'^(#{1,6})\s', 1)) AS level, regexp_extract(m, R'!\[([^\]]*)\]\(', 1) AS image, regexp_extract(m, R'^\[\^([0-9]+)\]:', 1) AS note FROM (SELECT doc_id, line_no, CASE CAST(line_no AS BIGINT) % 3 WHEN 0 THEN concat('## ', line) WHEN 1 THEN concat('![alt](', line, ')') ELSE concat('[^', CAST(line_no AS STRING), ']: ', line) END AS m FROM lines) x"),
     "pdf_classify": ("Documents by their share of good pages.", r"SELECT doc_id, CASE WHEN scanned >= 0.8e0 OR good = 0 THEN 'scanned' WHEN good >= 0.85e0 THEN 'textual' ELSE 'mixed' END AS class FROM (SELECT doc_id, avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END) AS good, avg(CASE WHEN ok THEN 0e0 ELSE 1e0 END) AS scanned FROM (SELECT doc_id, line_no DIV 10 AS page, sum(length(line)) >= 40 AS ok FROM lines GROUP BY doc_id, line_no DIV 10) x GROUP BY doc_id) y"),

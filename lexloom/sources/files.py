@@ -1,13 +1,15 @@
 """Readers of document files: any store that Spark's binaryFile reads, one row a file, then units in reading order.
 
-A unit is (path, chapter, ord, kind, level, text). Parsing is a function of one file's bytes, so files are the grain of
-parallelism and a lost task is repeated by itself. Files that do not parse become one unit of kind `error`.
+A unit is (path, chapter, ord, kind, level, text, spans); a span is a part of the text, end exclusive, that is bold, italic and so on.
+Parsing is a function of one file's bytes, so files are the grain of parallelism and a lost task is repeated by itself. Files that
+do not parse become one unit of kind `error`.
 """
 
 from __future__ import annotations
 
 import io
 import posixpath
+import re
 import unicodedata
 import xml.etree.ElementTree as ET
 import zipfile
@@ -20,14 +22,52 @@ from pyspark.sql import functions as F
 
 from lexloom.session import ship_package
 
-UNITS = "path string, chapter int, ord int, kind string, level int, text string"
-_TYPES = pa.schema([("path", pa.string()), ("chapter", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())])
+UNITS = "path string, chapter int, ord int, kind string, level int, text string, spans array<struct<start:int,end:int,style:string>>"
+_TYPES = pa.schema([("path", pa.string()), ("chapter", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("style", pa.string())])))])
 MAX_BYTES = 100 << 20
 #: Of a zip's members: together at most this many bytes, so that a small file cannot unpack into a large one.
 MAX_UNPACKED = 500 << 20
 _BLOCKS = {"p", "li", "blockquote", "aside", "h1", "h2", "h3", "h4", "h5", "h6"}
 
+# Elements and what they make of a text.
+STYLES = {"i": "italic", "em": "italic", "b": "bold", "strong": "bold", "u": "underline", "s": "strikethrough", "strike": "strikethrough", "del": "strikethrough", "code": "code", "a": "link"}
+
 Unit = tuple[str, int, str]  # kind, level, text
+Span = tuple[int, int, str]  # start, end, style
+Marked = tuple[str, int, str, list[Span]]  # a unit with its spans
+
+
+def plain(units: list[Marked]) -> list[Unit]:
+    """Units without their spans."""
+    return [u[:3] for u in units]
+
+
+def collapse(parts: list[tuple[str, tuple[str, ...]]]) -> tuple[str, list[Span]]:
+    """Runs (text, styles) as one text with single blanks, and its spans in order of start, end and style; runs of a style that touch are one."""
+    out: list[str] = []
+    open_at: dict[str, list[int]] = {}
+    spans: list[Span] = []
+    size, gap = 0, False
+    for data, styles in parts:
+        words = data.split()
+        if not words:
+            gap = gap or bool(data)
+            continue
+        lead = 1 if size and (gap or data[0].isspace()) else 0
+        body = " ".join(words)
+        out.append(" " * lead + body)
+        start, size = size + lead, size + lead + len(body)
+        for style in set(styles):
+            last = open_at.get(style)
+            if last and last[1] in (start, start - lead):
+                last[1] = size
+            else:
+                if last:
+                    spans.append((last[0], last[1], style))
+                open_at[style] = [start, size]
+        gap = data[-1].isspace()
+    spans += [(a, b, style) for style, (a, b) in open_at.items()]
+    return "".join(out), sorted(spans)
 
 
 def decode(data: bytes) -> str:
@@ -51,25 +91,36 @@ def normalise(text: str, form: str = "NFC") -> str:
 
 
 class _Html(HTMLParser):
-    """Block elements in document order; scripts and styles are left out; nested blocks belong to the outer one."""
+    """Block elements in document order; scripts and styles are left out; nested blocks belong to the outer one.
+
+    An aside is a footnote, and so is a block or division whose class, id, role or epub:type says so.
+    """
 
-    def __init__(self):
+    def __init__(self, base: str = ""):
         super().__init__(convert_charrefs=True)
-        self.units: list[Unit] = []
+        self.units: list[Marked] = []
+        self.base = base
         self.open: str | None = None
+        self.kind = ""
         self.depth = self.skip = 0
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, tuple[str, ...]]] = []
+        self.inline: list[str] = []
 
     def handle_starttag(self, tag, attrs):
+        at = {k: v or "" for k, v in attrs}
+        note = tag == "aside" or "footnote" in at.get("class", "").split() or "footnote" in at.get("id", "").lower() or "footnote" in at.get("epub:type", "") + at.get("role", "")
         if tag in ("script", "style"):
             self.skip += 1
         elif tag == "img":
-            at = dict(attrs)
-            self.units.append(("image", 0, at.get("alt") or at.get("src") or ""))
+            src = at.get("src", "")
+            self.units.append(("image", 0, at.get("alt") or (posixpath.normpath(posixpath.join(self.base, src)) if self.base and src else src), []))
         elif self.open == tag:
             self.depth += 1
-        elif self.open is None and tag in _BLOCKS:
-            self.open, self.depth, self.parts = tag, 1, []
+        elif self.open is None and (tag in _BLOCKS or (tag == "div" and note)):
+            self.open, self.depth, self.parts, self.inline = tag, 1, [], []
+            self.kind = "footnote" if note else "heading" if tag[0] == "h" else "item" if tag == "li" else "paragraph"
+        elif self.open and tag in STYLES:
+            self.inline.append(tag)
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
@@ -78,17 +129,18 @@ class _Html(HTMLParser):
             self.depth -= 1
             if not self.depth:
                 self._end()
+        elif tag in self.inline:
+            del self.inline[len(self.inline) - 1 - self.inline[::-1].index(tag)]
 
     def handle_data(self, data):
         if self.open and not self.skip:
-            self.parts.append(data)
+            self.parts.append((data, tuple(STYLES[t] for t in self.inline)))
 
     def _end(self):
-        tag, text = self.open, " ".join("".join(self.parts).split())
+        tag, (text, spans) = self.open, collapse(self.parts)
         self.open = None
         if text:
-            kind = "heading" if tag[0] == "h" else {"aside": "footnote", "li": "item"}.get(tag, "paragraph")
-            self.units.append((kind, int(tag[1]) if tag[0] == "h" else 0, text))
+            self.units.append((self.kind, int(tag[1]) if self.kind == "heading" else 0, text, spans))
 
     def close(self):
         super().close()
@@ -96,14 +148,19 @@ class _Html(HTMLParser):
             self._end()
 
 
-def html_units(text: str) -> list[Unit]:
-    """Units of an HTML text."""
-    p = _Html()
+def html_marked(text: str, base: str = "") -> list[Marked]:
+    """Units of an HTML text; paths of images are resolved against base, if given."""
+    p = _Html(base)
     p.feed(text)
     p.close()
     return p.units
 
 
+def html_units(text: str) -> list[Unit]:
+    """Units of an HTML text, without spans."""
+    return plain(html_marked(text))
+
+
 def text_units(text: str) -> list[Unit]:
     """Paragraphs between blank lines; CHAPTER lines are headings."""
     units: list[Unit] = []
@@ -115,14 +172,33 @@ def text_units(text: str) -> list[Unit]:
     return units
 
 
-def markdown_units(text: str) -> list[Unit]:
+#: Marks inside a line; each group is the marked text. Every alternative stops at its own mark, so a line is read in linear time.
+_INLINE = re.compile(r"`([^`]+)`|\*\*((?:[^*]|\*(?!\*))+)\*\*|__((?:[^_]|_(?!_))+)__|~~([^~]+)~~|\*([^*\s][^*]*)\*|(?<!\w)_([^_\s][^_]*)_(?!\w)|(?<!!)\[([^\[\]]*)\]\([^()]*\)")
+_INLINE_STYLES = ("code", "bold", "bold", "strikethrough", "italic", "italic", "link")
+
+
+def inline_runs(text: str, styles: tuple[str, ...] = ()) -> list[tuple[str, tuple[str, ...]]]:
+    """A marked line as runs (text, styles); marks within marks are read, but for code."""
+    runs, at = [], 0
+    for m in _INLINE.finditer(text):
+        runs.append((text[at : m.start()], styles))
+        style = _INLINE_STYLES[m.lastindex - 1]
+        runs += [(m[1], (*styles, style))] if style == "code" else inline_runs(m[m.lastindex], (*styles, style))
+        at = m.end()
+    return [r for r in [*runs, (text[at:], styles)] if r[0]]
+
+
+def markdown_marked(text: str) -> list[Marked]:
     """Headings, footnotes, images, items and paragraphs of marked text."""
-    units: list[Unit] = []
+    units: list[Marked] = []
     held: list[str] = []
 
+    def add(kind: str, level: int, raw: str) -> None:
+        units.append((kind, level, *collapse(inline_runs(raw))))
+
     def flush() -> None:
         if held:
-            units.append(("paragraph", 0, " ".join(held)))
+            add("paragraph", 0, " ".join(held))
             held.clear()
 
     for line in [*normalise(text).split("\n"), ""]:
@@ -130,16 +206,16 @@ def markdown_units(text: str) -> list[Unit]:
         marks = len(s) - len(s.lstrip("#"))
         if 1 <= marks <= 6 and s[marks : marks + 1] == " ":
             flush()
-            units.append(("heading", marks, s[marks:].strip()))
+            add("heading", marks, s[marks:].strip())
         elif s.startswith("[^") and "]:" in s:
             flush()
-            units.append(("footnote", 0, s.partition("]:")[2].strip()))
+            add("footnote", 0, s.partition("]:")[2].strip())
         elif s.startswith("![") and "](" in s:
             flush()
-            units.append(("image", 0, s[2:].partition("](")[0]))
+            units.append(("image", 0, s[2:].partition("](")[0], []))
         elif s.startswith(("- ", "* ", "+ ")):
             flush()
-            units.append(("item", 0, s[2:].strip()))
+            add("item", 0, s[2:].strip())
         elif not s:
             flush()
         else:
@@ -147,6 +223,11 @@ def markdown_units(text: str) -> list[Unit]:
     return units
 
 
+def markdown_units(text: str) -> list[Unit]:
+    """Units of marked text, without spans."""
+    return plain(markdown_marked(text))
+
+
 def _zip(data: bytes) -> zipfile.ZipFile:
     z = zipfile.ZipFile(io.BytesIO(data))
     if sum(i.file_size for i in z.infolist()) > MAX_UNPACKED or any(i.filename.startswith("/") or ".." in i.filename.split("/") for i in z.infolist()):
@@ -164,20 +245,52 @@ def _name(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2]
 
 
-def docx_units(data: bytes) -> list[Unit]:
-    """Paragraphs and headings of a DOCX body, tables included."""
-    units: list[Unit] = []
-    for p in (e for e in _xml(_zip(data).read("word/document.xml")).iter() if _name(e) == "p"):
-        text = "".join((t.text or "") if _name(t) == "t" else "\t" if _name(t) == "tab" else "" for t in p.iter()).strip()
-        style = next((v for e in p.iter() if _name(e) == "pStyle" for k, v in e.attrib.items() if k.endswith("val")), "").lower()
+_RUN_STYLES = {"b": "bold", "i": "italic", "u": "underline", "strike": "strikethrough"}
+
+
+def _val(e: ET.Element, name: str = "val") -> str:
+    return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), "")
+
+
+def _run_text(run: ET.Element) -> str:
+    return "".join((t.text or "") if _name(t) == "t" else "\t" if _name(t) == "tab" else "" for t in run.iter())
+
+
+def _runs(node: ET.Element, styles: tuple[str, ...] = ()) -> Iterator[tuple[str, tuple[str, ...]]]:
+    """Runs (text, styles) below a paragraph; those of a hyperlink are links."""
+    for child in node:
+        if _name(child) == "r":
+            own = tuple(_RUN_STYLES[_name(e)] for p in child if _name(p) == "rPr" for e in p if _name(e) in _RUN_STYLES and _val(e) not in ("0", "false", "none"))
+            yield _run_text(child), (*styles, *own)
+        elif _name(child) not in ("pPr", "p"):
+            yield from _runs(child, (*styles, "link") if _name(child) == "hyperlink" else styles)
+
+
+def docx_marked(data: bytes) -> list[Marked]:
+    """Paragraphs and headings of a DOCX body, tables included, each followed by the footnotes it refers to."""
+    z = _zip(data)
+    notes: dict[str, str] = {}
+    if "word/footnotes.xml" in z.namelist():
+        for n in (e for e in _xml(z.read("word/footnotes.xml")).iter() if _name(e) == "footnote" and not _val(e, "type")):
+            notes[_val(n, "id")] = " ".join(_run_text(n).split())
+    units: list[Marked] = []
+    for p in (e for e in _xml(z.read("word/document.xml")).iter() if _name(e) == "p"):
+        text, spans = collapse(list(_runs(p)))
+        style = next((_val(e) for e in p.iter() if _name(e) == "pStyle"), "").lower()
         heading = any(w in style for w in ("heading", "titulo", "title"))
         if text:
             level = next((int(c) for c in style if c in "123456"), 1)
-            units.append(("heading", level, text) if heading else ("paragraph", 0, text))
+            units.append(("heading", level, text, spans) if heading else ("paragraph", 0, text, spans))
+        units += [("footnote", 0, notes[k], []) for k in (_val(e, "id") for e in p.iter() if _name(e) == "footnoteReference") if notes.get(k)]
     return units
 
 
-def epub_units(data: bytes) -> list[list[Unit]]:
+def docx_units(data: bytes) -> list[Unit]:
+    """Units of a DOCX body, without spans."""
+    return plain(docx_marked(data))
+
+
+def epub_marked(data: bytes) -> list[list[Marked]]:
     """Units of each spine item of an EPUB; navigation is left out."""
     z = _zip(data)
     opf = next(e.attrib["full-path"] for e in _xml(z.read("META-INF/container.xml")).iter() if _name(e) == "rootfile")
@@ -188,10 +301,16 @@ def epub_units(data: bytes) -> list[list[Unit]]:
     for ref in (e.attrib["idref"] for e in spine if _name(e) == "itemref"):
         item = items.get(ref)
         if item and "nav" not in item.get("properties", "").split() and item["href"] not in ("nav.xhtml", "toc.ncx") and ref != spine.attrib.get("toc"):
-            out.append(html_units(decode(z.read(posixpath.normpath(posixpath.join(base, item["href"]))))))
+            at = posixpath.normpath(posixpath.join(base, item["href"]))
+            out.append(html_marked(decode(z.read(at)), posixpath.dirname(at) or "."))
     return out
 
 
+def epub_units(data: bytes) -> list[list[Unit]]:
+    """Units of each spine item, without spans."""
+    return [plain(units) for units in epub_marked(data)]
+
+
 def detect(name: str, data: bytes) -> str:
     """Format by magic bytes, else by content, else by extension."""
     if data.startswith(b"%PDF"):
@@ -205,13 +324,16 @@ def detect(name: str, data: bytes) -> str:
     return "markdown" if name.lower().endswith((".md", ".markdown")) else "txt"
 
 
-def parse(name: str, data: bytes) -> list[list[Unit]]:
-    """Chapters of units of one file."""
+def parse_marked(name: str, data: bytes) -> list[list[Marked]]:
+    """Chapters of units of one file, with spans."""
     kind = detect(name, data)
     if kind == "epub":
-        return epub_units(data)
-    units = docx_units(data) if kind == "docx" else {"html": html_units, "markdown": markdown_units, "txt": text_units}[kind](decode(data))
-    chapters: list[list[Unit]] = [[]]
+        return epub_marked(data)
+    readers = {"html": html_marked, "markdown": markdown_marked, "txt": lambda text: [(*u, []) for u in text_units(text)]}
+    if kind != "docx" and kind not in readers:
+        raise ValueError(f"no reader for {kind}")
+    units = docx_marked(data) if kind == "docx" else readers[kind](decode(data))
+    chapters: list[list[Marked]] = [[]]
     for u in units:
         if u[0] == "heading" and u[1] == 1 and chapters[-1]:
             chapters.append([])
@@ -219,6 +341,11 @@ def parse(name: str, data: bytes) -> list[list[Unit]]:
     return chapters
 
 
+def parse(name: str, data: bytes) -> list[list[Unit]]:
+    """Chapters of units of one file."""
+    return [plain(units) for units in parse_marked(name, data)]
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Units of all files under a path; empty files and those over 100 MB are errors."""
     return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
@@ -234,9 +361,10 @@ def parse_files(files: DataFrame) -> DataFrame:
                 try:
                     if not data or len(data) > MAX_BYTES:
                         raise ValueError("empty or too large")
-                    rows = [(path, c, o, *u) for c, units in enumerate(parse(path or "", bytes(data))) for o, u in enumerate(units)]
+                    rows = [(path, c, o, *u) for c, units in enumerate(parse_marked(path or "", bytes(data))) for o, u in enumerate(units)]
                 except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ET.ParseError) as e:
-                    rows = [(path, 0, 0, "error", 0, f"{type(e).__name__}: {e}")]
+                    rows = [(path, 0, 0, "error", 0, f"{type(e).__name__}: {e}", [])]
+                rows = [(*r[:6], [{"start": a, "end": b, "style": style} for a, b, style in r[6]]) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(_TYPES)], schema=_TYPES)
 
     return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, UNITS)

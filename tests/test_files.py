@@ -23,6 +23,35 @@ def test_formats_agree():
     assert files.text_units("CHAPTER I\r\n\r\na\r\nb") == [("heading", 1, "CHAPTER I"), ("paragraph", 0, "a b")]
 
 
+def test_spans_and_notes():
+    html = "<p> a <b>b  <i>c</i></b>d <code>x</code></p><div class='x footnote'>n <a href='u'>l</a></div><li id='footnote-1'>m</li><aside>o</aside>"
+    assert files.html_marked(html) == [
+        ("paragraph", 0, "a b cd x", [(2, 5, "bold"), (4, 5, "italic"), (7, 8, "code")]), ("footnote", 0, "n l", [(2, 3, "link")]), ("footnote", 0, "m", []), ("footnote", 0, "o", []),
+    ]
+    marked = "# A **b** c\n\nx *y* `*z*` ~~no~~ [l *i*](u) a_b_c 2 * 3 * 4 **open\n\n[^1]: see __it__"
+    assert files.markdown_marked(marked) == [
+        ("heading", 1, "A b c", [(2, 3, "bold")]),
+        ("paragraph", 0, "x y *z* no l i a_b_c 2 * 3 * 4 **open", [(2, 3, "italic"), (4, 7, "code"), (8, 10, "strikethrough"), (11, 14, "link"), (13, 14, "italic")]),
+        ("footnote", 0, "see it", [(4, 6, "bold")]),
+    ]
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = '<w:p><w:r><w:t xml:space="preserve"> a </w:t></w:r><w:r><w:rPr><w:b/><w:i w:val="0"/></w:rPr><w:t>b</w:t></w:r><w:hyperlink><w:r><w:t>c</w:t></w:r></w:hyperlink><w:r><w:footnoteReference w:id="2"/></w:r></w:p>'
+    notes = '<w:footnote w:id="0" w:type="separator"><w:p/></w:footnote><w:footnote w:id="2"><w:p><w:r><w:t>note </w:t></w:r></w:p></w:footnote>'
+    data = sinks._pack([("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>", True), ("word/footnotes.xml", f"<w:footnotes {w}>{notes}</w:footnotes>", True)])
+    assert files.docx_marked(data) == [("paragraph", 0, "a bc", [(2, 3, "bold"), (3, 4, "link")]), ("footnote", 0, "note", [])]
+    assert files.html_marked("<p>x</p><img src='../i/a.png'>", "text")[1] == ("image", 0, "i/a.png", [])
+
+
+def test_marks_are_read_in_linear_time():
+    import time
+
+    for mark in ("**a ", "[", "*", "_a ", "`", "~~", "__", "[a](", "<b>"):
+        began = time.time()
+        files.markdown_marked(mark * 20000)
+        files.html_marked("<p>" + "<b>x" * 5000)
+        assert time.time() - began < 5, mark
+
+
 def test_encodings():
     for codec in ("utf-8", "utf-8-sig", "utf-16", "cp1252"):
         assert files.decode("caf\xe9 —".encode(codec)) == "café —"
