@@ -137,7 +137,10 @@ _BLANKS = r"[\s\x0b\x1c-\x1f\x85\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 
 
 def _shown(x: str) -> str:
-    return f"trim(regexp_replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '{_BLANKS}', ' ', 'g'))"
+    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("#x27", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return f"trim(regexp_replace({x}, '{_BLANKS}', ' ', 'g'))"
 
 
 _REST = _shown("substr(html, strpos(html, '<p><b>'))")
