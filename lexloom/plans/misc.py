@@ -32,9 +32,6 @@ ENTRIES = {
     "qa_persist": ("Latest issues of each segment replace earlier ones.", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1"),
     "cons_markdown": ("Conflicts as lines of a report.", "SELECT term_id, concat('- **', term, '** ', CAST(count(*) AS STRING), ' / ', CAST(count(DISTINCT variant) AS STRING)) AS line FROM rendered GROUP BY term_id, term"),
     "process_text": ("Blocks in the one chapter they belong to.", "SELECT doc_id, chapter, count(*) AS blocks, sum(length(text)) AS chars FROM blocks GROUP BY doc_id, chapter"),
-    "src_pdf": ("Lines by page, with text per page.", "SELECT doc_id, page, count(*) AS n, sum(length(line)) AS chars FROM page_lines GROUP BY doc_id, page"),
-    "pdf_structure": ("Paragraphs of page lines: one ends with a closing mark on a line under 0.72 of the widest.", r"SELECT doc_id, CAST(sum(CASE WHEN RLIKE(line, R'[.!?]$') AND length(line) < 0.72e0 * widest THEN 1 ELSE 0 END) AS BIGINT) AS paras, CAST(sum(CASE WHEN upper(line) = line AND lower(line) <> line AND length(line) < 60 THEN 1 ELSE 0 END) AS BIGINT) AS heads FROM page_lines GROUP BY doc_id"),
-    "src_ocr_page": ("Pages with their mean confidence and whether they need review.", "SELECT doc_id, page, round(avg((line_no % 10) / 10e0), 4) AS conf, avg((line_no % 10) / 10e0) < 0.7e0 AS review FROM page_lines GROUP BY doc_id, page"),
     "src_epub_xhtml": ("Images and notes of pages.", r"SELECT page_id, SIZE(regexp_extract_all(html, R'<img[^>]*>', 0)) AS images, SIZE(regexp_extract_all(html, R'<aside[^>]*>', 0)) AS notes, SIZE(regexp_extract_all(html, R'<h1[^>]*>', 0)) AS chapters FROM pages"),
     "save_document_tree": ("Units of documents as one table.", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN is_chapter THEN 'heading' WHEN is_dash THEN 'dialogue' WHEN is_scene THEN 'scene' ELSE 'paragraph' END AS kind FROM flagged WHERE NOT is_blank) x GROUP BY kind"),
     "story_persist": ("Rows of the story tables.", "SELECT 'states' AS name, count(*) AS n FROM states UNION ALL SELECT 'events', count(*) FROM story_events UNION ALL SELECT 'facts', count(*) FROM facts UNION ALL SELECT 'relations', count(*) FROM relations"),

@@ -69,7 +69,6 @@ ENTRIES = {
     "verify_no_loss": ("Documents whose lines, joined, are the text.", "SELECT d.doc_id, d.text = b.t AS same FROM documents d JOIN (SELECT doc_id, LISTAGG[line; chr(10); line_no] AS t FROM lines GROUP BY doc_id) b ON b.doc_id = d.doc_id"),
     "repetition_detect": ("Lines in max(2, 0.6 of the documents) of a source or more.", "SELECT source, md5(k) AS h, n AS groups FROM repeated"),
     "repetition_filter": ("Lines of documents without the repeated ones.", "SELECT l.doc_id, count(*) AS n FROM lines l LEFT JOIN repeated r ON r.source IS NOT DISTINCT FROM l.source AND r.k = lower(l.line) WHERE r.k IS NULL GROUP BY l.doc_id"),
-    "header_footer_filter": ("Margin lines on 0.35 of the pages or more; a page is ten lines.", "SELECT doc_id, h, n FROM (SELECT doc_id, md5(line) AS h, count(DISTINCT page) AS n, max(pages) AS pages FROM (SELECT doc_id, line, line_no DIV 10 AS page, row_number() OVER (PARTITION BY doc_id, line_no DIV 10 ORDER BY line_no) AS top, row_number() OVER (PARTITION BY doc_id, line_no DIV 10 ORDER BY line_no DESC) AS bottom, max(line_no DIV 10) OVER (PARTITION BY doc_id) + 1 AS pages FROM lines) x WHERE (top <= 2 OR bottom <= 2) AND line <> '' GROUP BY doc_id, md5(line)) y WHERE n >= greatest(2, CAST(floor(pages * 0.35e0) AS BIGINT))"),
     "reading_sequence": ("Units of several kinds in one order.", "SELECT doc_id, line_no, CASE WHEN is_chapter THEN 'heading' WHEN is_dash THEN 'dialogue' ELSE 'paragraph' END AS kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS pos FROM flagged WHERE NOT is_blank"),
     "word_count": ("Words of blocks by chapter.", "SELECT doc_id, chapter, CAST(sum(SIZE(FILTER(SPLIT(text, ' '), w -> w <> ''))) AS BIGINT) AS n FROM blocks GROUP BY doc_id, chapter"),
     "src_txt": ("Chapters and paragraphs of plain texts.", "SELECT doc_id, chapter, block, first_line, length(text) AS n FROM blocks"),
@@ -79,9 +78,6 @@ ENTRIES = {
     "src_file_sha256": ("Hash of each file.", "SELECT page_id, SHA256(html) AS sha FROM pages"),
     "sanitize_html": ("Pages without scripts, styles and comments.", r"SELECT page_id, md5(RXR(html, R'(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '' RXR)) AS h FROM pages"),
     "src_markdown": ("Headings, images and footnotes of marked lines.", r"SELECT doc_id, line_no, length(regexp_extract(m, R'^(#{1,6})\s', 1)) AS level, regexp_extract(m, R'!\[([^\]]*)\]\(', 1) AS image, regexp_extract(m, R'^\[\^([0-9]+)\]:', 1) AS note FROM (SELECT doc_id, line_no, CASE CAST(line_no AS BIGINT) % 3 WHEN 0 THEN concat('## ', line) WHEN 1 THEN concat('![alt](', line, ')') ELSE concat('[^', CAST(line_no AS STRING), ']: ', line) END AS m FROM lines) x"),
-    "pdf_classify": ("Documents by their share of good pages.", r"SELECT doc_id, CASE WHEN scanned >= 0.8e0 OR good = 0 THEN 'scanned' WHEN good >= 0.85e0 THEN 'textual' ELSE 'mixed' END AS class FROM (SELECT doc_id, avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END) AS good, avg(CASE WHEN ok THEN 0e0 ELSE 1e0 END) AS scanned FROM (SELECT doc_id, line_no DIV 10 AS page, sum(length(line)) >= 40 AS ok FROM lines GROUP BY doc_id, line_no DIV 10) x GROUP BY doc_id) y"),
-    "ocr_review": ("Pages read with confidence under 0.7.", "SELECT doc_id, line_no, (line_no % 10) / 10e0 AS conf FROM lines WHERE (line_no % 10) / 10e0 < 0.7e0"),
-    "ocr_cache": ("Pages that no cache has.", "SELECT l.doc_id, count(*) AS n FROM lines l LEFT JOIN (SELECT DISTINCT md5(line) AS h FROM lines WHERE line_no % 2 = 0) c ON c.h = md5(l.line) WHERE c.h IS NULL GROUP BY l.doc_id"),
     "ner_honorific": ("Titles with names.", "SELECT lang, name, count(*) AS n, max(confidence) AS confidence FROM mentions GROUP BY lang, name"),
     "ner_multiword": ("Runs of capitalised words.", "SELECT lang, name, count(*) AS n FROM capitals GROUP BY lang, name"),
     "ner_possessive": ("Names in the possessive.", r"SELECT lang, name, count(*) AS n FROM (SELECT lang, EXPLODE(regexp_extract_all(line, R'([A-Z][a-z]+)\x27s', 1)) AS name FROM book) x GROUP BY lang, name"),
