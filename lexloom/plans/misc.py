@@ -26,7 +26,6 @@ MARKED = "<p>one <em>two <strong>three</strong></em> <u>four</u><s>five</s> <cod
 ENTRIES = {
     "sanitize_log": ("Log lines without secrets.", r"SELECT doc_id, line_no, md5(RXR(line, R'(?i)(password|token|secret|api_?key)\s*[:=]\s*[^\s]+', R'$1=***' RXR)) AS h FROM lines"),
     "sanitize_filename_strict": ("Names of letters, digits, dots, hyphens and underscores only.", r"SELECT doc_id, line_no, substr(RXR(RXR(line, R'[^A-Za-z0-9._\-]', '_' RXR), R'_+', '_' RXR), 1, 100) AS name FROM lines"),
-    "clean_repetition_loops": ("Lines without runs: of a line that comes twice in a row one stays, of three or more none.", "SELECT doc_id, count(*) AS kept, md5(LISTAGG[line; chr(10); first_line]) AS h FROM (SELECT doc_id, run, line, min(line_no) AS first_line, count(*) AS n FROM (SELECT doc_id, line_no, line, sum(CASE WHEN line = before_line THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before_line FROM lines) a) b GROUP BY doc_id, run, line) c WHERE n < 3 GROUP BY doc_id"),
     "estimate_tokens": ("A token for four characters, one at least.", "SELECT doc_id, greatest(1, length(text) DIV 4) AS tokens FROM documents"),
     "boundary_pattern": ("Terms as whole words, with their number and first place.", "SELECT doc_id, id AS term_id, n, ITEM(starts, 1) AS first_at FROM hits WHERE side = 's' AND what = 'term'"),
     "qa_persist": ("Latest issues of each segment replace earlier ones.", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1"),

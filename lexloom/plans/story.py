@@ -62,9 +62,7 @@ ENTRIES = {
     "promote_entities": ("Entities that become locked terms.", "SELECT name AS term, name AS target_term, true AS locked FROM characters WHERE gender <> 'unknown'"),
     "load_document_tree": ("Units of each document in order, as one list.", "SELECT doc_id, count(*) AS n, md5(LISTAGG[line; '|'; line_no]) AS tree_md5 FROM lines GROUP BY doc_id"),
     "progress_eta": ("Mean of the last 15 durations times what remains, from five samples on.", "SELECT user_id, event_id, n, round(mean * (total - n), 6) AS eta FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS mean, count(*) OVER (PARTITION BY user_id) AS total FROM events) x WHERE n >= 5"),
-    "migrations": ("Versions not applied yet, in order.", "SELECT n_nationkey AS version, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)"),
     "save_get_context": ("Context items as rows, kinds as columns.", "SELECT doc_id, max(CASE WHEN kind = 'title' THEN term END) AS title, max(CASE WHEN kind = 'place' THEN term END) AS place, count(*) AS n FROM (SELECT p.doc_id, g.kind, g.term FROM pairs p JOIN glossary g ON contains(p.source_head, g.term)) x GROUP BY doc_id"),
-    "hardware_rule": ("Profiles by thresholds.", "SELECT s_suppkey, CASE WHEN s_acctbal >= 8000 THEN 'quality' WHEN s_acctbal >= 4000 THEN 'balanced' ELSE 'economy' END AS profile, s_acctbal < 0 AS warning FROM supplier"),
 }
 ENTRIES = {k: tuple(x.replace("sha256(", "SHA256(") for x in e) for k, e in ENTRIES.items()}
 QUERIES, ORACLES = dialect.register(ENTRIES)
