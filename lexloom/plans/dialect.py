@@ -18,6 +18,7 @@ from lexloom.session import table
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _SPARK = {"RLIKE(": "regexp_like(", "SIZE(": "size(", "FILTER(": "filter(", "MAP(": "transform(", "HAS(": "array_contains(", "ARR(": "array(", "EXPLODE(": "explode(", " DIV ": " DIV ", "SPLIT(": "split(", "ITEM(": "try_element_at(", "DISTINCT_OF(": "array_distinct(", "INTERSECT_OF(": "array_intersect(", "CONCAT_OF(": "concat(", "sequence(": "sequence(", "SLICE(": "slice(", "ORD(": "ascii(", "STRPOS(": "instr(", "array_to_string(": "array_join("}
 _DUCK = {"RLIKE(": "regexp_matches(", "SIZE(": "len(", "FILTER(": "list_filter(", "MAP(": "list_transform(", "HAS(": "list_contains(", "ARR(": "list_value(", "EXPLODE(": "unnest(", " DIV ": " // ", "SPLIT(": "string_split(", "ITEM(": "list_extract(", "DISTINCT_OF(": "list_distinct(", "INTERSECT_OF(": "list_intersect(", "CONCAT_OF(": "list_concat(", "sequence(": "generate_series(", "SLICE(": "list_slice(", "ORD(": "unicode(", "SHA256(": "sha256(", "STRPOS(": "strpos("}
+_RAW = re.compile(r"(?<![\w'])R'")  # not the end of a string such as 'R'
 #: Fixtures in SQL of this dialect, in an order in which each names earlier ones only.
 VIEWS: dict[str, str] = {}
 _FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -49,7 +50,7 @@ def to_spark(sql: str) -> str:
             end += 1
         sql = f"{sql[:at]}sha2({sql[at + 7 : end - 1]}, 256){sql[end:]}"
     sql = re.sub(r"LISTAGG\[(.*?);(.*?);(.*?)\]", r"listagg(\1, \2) WITHIN GROUP (ORDER BY \3)", sql, flags=re.S)
-    sql = _swap(sql.replace(" RXR)", ")").replace("RXR(", "regexp_replace(").replace("R'", "r'"), _SPARK)
+    sql = _swap(_RAW.sub("r'", sql.replace(" RXR)", ")").replace("RXR(", "regexp_replace(")), _SPARK)
     names = "|".join([*TABLES, *_FRAMES, *VIEWS])
     return re.sub(rf"\b(FROM|JOIN) ({names})\b", r"\1 lx_\2", sql)
 
@@ -57,7 +58,7 @@ def to_spark(sql: str) -> str:
 def to_duck(sql: str) -> str:
     """The query as DuckDB reads it, without the fixtures."""
     sql = re.sub(r"LISTAGG\[(.*?);(.*?);(.*?)\]", r"string_agg(\1, \2 ORDER BY \3)", sql, flags=re.S)
-    sql = sql.replace(" RXR)", ", 'g')").replace("RXR(", "regexp_replace(").replace("R'", "'")
+    sql = _RAW.sub("'", sql.replace(" RXR)", ", 'g')").replace("RXR(", "regexp_replace("))
     sql = re.sub(r"\$([0-9])", r"\\\1", sql).replace(", 'utf-8')", ")")
     sql = re.sub(r"regexp_count\(([^,]+), ", r"len(regexp_extract_all(\1, ", sql).replace(") AS BIGINT) AS headings", ")) AS BIGINT) AS headings").replace(") AS BIGINT) AS paragraphs", ")) AS BIGINT) AS paragraphs").replace(") AS BIGINT) AS items", ")) AS BIGINT) AS items")
     sql = sql.replace("get(tw, i - 1) = get(tw, i) AND length(get(tw, i)) > 1", "tw[i] = tw[i + 1] AND length(tw[i + 1]) > 1")  # lists count from 1 there

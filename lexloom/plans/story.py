@@ -36,17 +36,12 @@ ENTRIES = {
     "state_scene": ("A character's state in the chapter, else the one before.", "SELECT conv_id, chapter, character_id, coalesce(exact, before) AS order_index FROM (SELECT c.conv_id, c.chapter, r.character_id, max(CASE WHEN s.chapter = c.chapter THEN s.order_index END) AS exact, max(CASE WHEN s.chapter < c.chapter THEN s.order_index END) AS before FROM (SELECT DISTINCT conv_id, chapter FROM states) c JOIN (SELECT DISTINCT conv_id, character_id FROM states) r ON r.conv_id = c.conv_id JOIN states s ON s.conv_id = c.conv_id AND s.character_id = r.character_id AND s.chapter <= c.chapter GROUP BY c.conv_id, c.chapter, r.character_id) x"),
     "state_record": ("Latest state of each place and status.", "SELECT conv_id, character_id, location, status, max(order_index) AS order_index FROM states GROUP BY conv_id, character_id, location, status"),
     "story_get_states": ("Explicit states of a character, in order.", "SELECT conv_id, character_id, order_index, status, CAST(row_number() OVER (PARTITION BY conv_id, character_id ORDER BY order_index) AS INT) AS pos FROM states WHERE NOT inferred"),
-    "relation_record": ("Latest relation of each pair, type and chapter.", "SELECT src, tgt, rel_type, chapter, max(rel_id) AS rel_id FROM relations GROUP BY src, tgt, rel_type, chapter"),
-    "relation_between": ("Relations with both ends among the chosen.", "SELECT rel_id, seq, src, tgt FROM relations WHERE src IN (1, 2, 3) AND tgt IN (1, 2, 3)"),
-    "relation_of": ("Explicit relations of one character.", "SELECT rel_id, seq, src, tgt, rel_type FROM relations WHERE (src = 7 OR tgt = 7) AND NOT inferred"),
     "relation_contradiction": ("Pairs that are friends and enemies in one chapter.", "SELECT least(src, tgt) AS a, greatest(src, tgt) AS b, chapter FROM relations WHERE src <> tgt GROUP BY least(src, tgt), greatest(src, tgt), chapter HAVING count(DISTINCT CASE WHEN rel_type IN ('friend', 'enemy') THEN rel_type END) > 1"),
     "events_two_clocks": ("Events by narrative and by chronological order.", "SELECT event_id, story, CAST(row_number() OVER (PARTITION BY story ORDER BY narrative_order, event_id) AS INT) AS narrative_pos, CAST(row_number() OVER (PARTITION BY story ORDER BY chronological_order, event_id) AS INT) AS chronological_pos FROM story_events"),
     "story_record_event": ("Events whose chronological order defaults to the narrative one.", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN chronological_order END, narrative_order) AS chronological_order FROM story_events"),
     "timeline_jump": ("Major events that go back in time.", "SELECT event_id, story, prev, chronological_order FROM (SELECT event_id, story, significance, chronological_order, lag(chronological_order) OVER (PARTITION BY story ORDER BY narrative_order, event_id) AS prev FROM story_events) x WHERE prev > chronological_order AND significance = 'major'"),
-    "facts_filter": ("Explicit locked facts of a subject.", "SELECT fact_id, category FROM facts WHERE subject = 'en' AND locked AND NOT inferred"),
     "story_record_fact": ("Facts with their number of repetitions.", "SELECT statement, min(fact_id) AS fact_id, count(*) AS occurrences FROM facts GROUP BY statement"),
     "story_lock_fact": ("Facts with one locked.", "SELECT fact_id, CASE WHEN fact_id = 7 THEN true ELSE locked END AS locked FROM facts"),
-    "xrefs": ("References from or to a unit.", "SELECT l_orderkey AS src, l_partkey AS tgt, l_linenumber AS seq FROM lineitem WHERE l_orderkey = 5 OR l_partkey = 5"),
     "story_record_xref": ("References by source.", "SELECT l_orderkey AS src, count(*) AS n FROM lineitem GROUP BY l_orderkey"),
     "scene_snapshot": ("Facts of a scene: explicit ones of its subject first, then general ones, then inferred ones, five at most.", "SELECT subject, fact_id, tier, pos FROM (SELECT s.subject, f.fact_id, CASE WHEN f.subject = s.subject AND NOT f.inferred THEN 1 WHEN f.category = 'src0' AND NOT f.inferred THEN 2 ELSE 3 END AS tier, CAST(row_number() OVER (PARTITION BY s.subject ORDER BY CASE WHEN f.subject = s.subject AND NOT f.inferred THEN 1 WHEN f.category = 'src0' AND NOT f.inferred THEN 2 ELSE 3 END, f.fact_id) AS INT) AS pos FROM (SELECT DISTINCT lang AS subject FROM documents) s JOIN facts f ON f.subject = s.subject OR f.category = 'src0') x WHERE pos <= 5"),
     "continuity_dead_acting": ("Turns in which a character acts after its death, with the latest one.", "SELECT conv_id, character_id, died_at, order_index AS acts_at FROM (SELECT conv_id, character_id, order_index, status, max(CASE WHEN status = 'deceased' THEN order_index END) OVER (PARTITION BY conv_id, character_id ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS died_at FROM states) x WHERE status = 'alive' AND died_at IS NOT NULL", "SELECT a.conv_id, a.character_id, max(d.order_index) AS died_at, a.order_index AS acts_at FROM states a JOIN states d ON d.conv_id = a.conv_id AND d.character_id = a.character_id AND d.order_index < a.order_index AND d.status = 'deceased' WHERE a.status = 'alive' GROUP BY a.conv_id, a.character_id, a.order_index"),

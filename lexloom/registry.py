@@ -10,7 +10,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("terms", "qa", "story", "text", "translate", "files", "misc", "semantic", "context", "consistency", "memory", "style", "analysis", "pages", "runtime")
+MODULES = ("terms", "qa", "story", "text", "translate", "files", "misc", "semantic", "context", "consistency", "memory", "style", "analysis", "pages", "runtime", "relations")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
