@@ -72,6 +72,13 @@ def test_segments_lose_nothing(spark):
     assert segment.segment_chapter(df).where("doc_id = 1").agg(F.sum("words")).first()[0] == len(text.split())
 
 
+def test_sentences_keep_their_digits(spark):
+    text = "0th. 12 men came. 2 left! 33 stayed.\n4 slept? 5"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert df.select(segment.sentences(F.col("text"))).first()[0] == ["0th.", "12 men came.", "2 left!", "33 stayed.", "4 slept?", "5"]
+    assert [r.chunk for r in segment.chunk_greedy(df, limit=5).orderBy("chunk_no").collect()] == ["0th. 12 men came.", "2 left! 33 stayed.", "4 slept? 5"]
+
+
 def test_dictionary_join_both_ways(spark):
     df = spark.createDataFrame([(1, "The old House, by Baker Street"), (2, "housing"), (3, None), (4, "house house"), (5, "5 $ a$")], "doc_id long, source string")
     terms = spark.createDataFrame([("house",), ("Baker Street",), ("street",), ("$",)], "term string")
