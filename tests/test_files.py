@@ -79,6 +79,16 @@ def test_sentences_keep_their_digits(spark):
     assert [r.chunk for r in segment.chunk_greedy(df, limit=5).orderBy("chunk_no").collect()] == ["0th. 12 men came.", "2 left! 33 stayed.", "4 slept? 5"]
 
 
+def test_process_document_keeps_all_words(spark, tmp_path):
+    from hashlib import md5
+
+    from lexloom.plans.files import process_document
+
+    text = "Call. 1 800 1. 2381604611877803 is a card of 12. 3"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert process_document(spark, str(tmp_path)).first()["words_md5"] == md5(text.encode()).hexdigest()
+
+
 def test_dictionary_join_both_ways(spark):
     df = spark.createDataFrame([(1, "The old House, by Baker Street"), (2, "housing"), (3, None), (4, "house house"), (5, "5 $ a$")], "doc_id long, source string")
     terms = spark.createDataFrame([("house",), ("Baker Street",), ("street",), ("$",)], "term string")
