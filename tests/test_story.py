@@ -1,5 +1,7 @@
 """Look-ups in a story's memory, with nulls, small casts and replaced rows."""
 
+from pyspark.sql import functions as F
+
 from lexloom.operators import story
 
 RELATION = "rel_id long, src int, tgt int, rel_type string, chapter int, inferred boolean"
@@ -23,3 +25,16 @@ def test_facts_and_references(spark):
     assert sorted(r.id for r in story.facts(rows, entity="a", inferred=False).collect()) == [1]
     refs = spark.createDataFrame([(1, 2), (2, 3), (3, None)], "src int, tgt int")
     assert story.references(refs, 2).count() == 2
+
+
+def test_fact_compliance_reads_a_text_once(spark, tmp_path):
+    import time
+
+    from lexloom.plans.story import QUERIES
+
+    words = " ".join(f"wordy{k:05d}" for k in range(40000))
+    rows = [(15 * k, f"{words} house roads" if k == 1 else "a house" if k % 2 else "no house", "src0 roads") for k in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
+    assert [tuple(r) for r in QUERIES["fact_compliance"](spark, str(tmp_path)).collect()] == [("src0 roads", 12)]
+    assert time.time() - began < 20
