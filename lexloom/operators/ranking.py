@@ -1,18 +1,22 @@
 """Ranking of translation candidates on seven criteria, with what a segment's memories ask for.
 
-Criteria of the text alone are columns; those of terms, memory and characters compare what is relevant to the segment, as
-one array a segment, with what the candidate holds, as one array a candidate. Both come by equi-joins.
+Criteria of the text alone are read in one pass in Python, before any join, so that texts which nobody asks for are not
+shuffled; those of terms, memory and characters compare what is relevant to the segment, as one array a segment, with what
+the candidate holds, as one array a candidate. Both come by equi-joins.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.operators import matching
+from lexloom.session import ship_package
 
 # Weights, English words that betray an untranslated text, words a sentence does not end with.
 WEIGHTS = {"fidelity": 0.25, "naturalness": 0.15, "terminology": 0.20, "consistency": 0.15, "character_score": 0.10, "style": 0.08, "fluency": 0.07}
@@ -20,54 +24,69 @@ LEFT_OVER = ("the", "and", "with", "from", "that", "this", "because")
 DANGLING = (" de", " com", " em", " para", " por", " sob", " sobre", ",")
 
 
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+_WORDS = re.compile(r"\w+")
+_DIGITS = re.compile(r"[0-9]+")
+_TWICE = re.compile(r",[ \t\n\x0b\f\r]*,|\.[ \t\n\x0b\f\r]*\.[ \t\n\x0b\f\r]*\.")
+OF_TEXT = "fidelity double, naturalness double, style double, fluency double"
+
+
 def clip(score: Column) -> Column:
     """Between 0 and 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
-def _less(condition: Column, penalty: float) -> Column:
-    return F.when(condition, penalty).otherwise(0.0)
-
+def _clip(score: float) -> float:
+    return max(0.0, min(1.0, score))
 
-def _numbers(text: str) -> Column:
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}_]+"), 0), lambda w: w.rlike("^[0-9]+$")))
 
-
-def fidelity() -> Column:
+def fidelity(source: str, target: str) -> float:
     """Length, numbers, question and exclamation marks, words left in English."""
-    s, t = F.col("source"), F.col("target")
-    ratio = F.length(t) / F.greatest(F.lit(1), F.length(s))
-    lost = F.least(F.lit(0.3), 0.15 * F.size(F.array_except(_numbers("source"), _numbers("target"))))
-    marks = [_less(s.contains(m) & ~t.contains(m), 0.1) for m in "?!"]
-    words = F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), 0))
-    kept = F.least(F.lit(0.4), 0.15 * F.size(F.array_intersect(words, F.array(*map(F.lit, LEFT_OVER)))))
-    score = 1.0 - F.when(ratio < 0.4, 0.4).when(ratio > 2.5, 0.3).otherwise(0.0) - lost - marks[0] - marks[1] - kept
-    return F.when(s == "", 1.0).otherwise(clip(score))
+    if source == "":
+        return 1.0
+    numbers, words = ({w for w in _WORDS.findall(source) if _DIGITS.fullmatch(w)}, _WORDS.findall(target))
+    lost = min(0.3, 0.15 * len(numbers.difference(words)))
+    marks = [0.1 if m in source and m not in target else 0.0 for m in "?!"]
+    kept = min(0.4, 0.15 * len(set(LEFT_OVER).intersection(_WORDS.findall(target.lower()))))
+    ratio = len(target) / max(1, len(source))
+    return _clip(1.0 - (0.4 if ratio < 0.4 else 0.3 if ratio > 2.5 else 0.0) - lost - marks[0] - marks[1] - kept)
 
 
-def naturalness() -> Column:
+def naturalness(target: str) -> float:
     """Words and pairs of words said twice in a row, marks said twice."""
-    w = F.filter(F.split(F.lower("target"), r"\s+"), lambda x: x != "")
-    n = F.size(w)
-    twice = F.size(F.filter(F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: (a == b) & (F.length(a) > 1)), lambda x: x))
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    loop = F.exists(F.zip_with(F.slice(pairs, 1, F.greatest(n - 3, F.lit(0))), F.slice(pairs, 3, F.greatest(n - 3, F.lit(0))), lambda a, b: a == b), lambda x: x)
-    marks = F.col("target").rlike(r",\s*,|\.\s*\.\s*\.")
-    return F.when(n == 0, 0.0).otherwise(clip(1.0 - 0.25 * twice - _less((n >= 4) & loop, 0.35) - _less(marks, 0.15)))
+    w = [x for x in _BLANKS.split(target.lower()) if x]
+    if not w:
+        return 0.0
+    twice = sum(a == b and len(a) > 1 for a, b in zip(w, w[1:], strict=False))
+    loop = any(a == c and b == d for a, b, c, d in zip(w, w[1:], w[2:], w[3:], strict=False))
+    return _clip(1.0 - 0.25 * twice - (0.35 if loop else 0.0) - (0.15 if _TWICE.search(target) else 0.0))
 
 
-def style() -> Column:
+def style(target: str) -> float:
     """Dialogue opened by a dash, not by a quote."""
-    t = F.regexp_replace("target", r"^\s+", "")
-    return clip(1.0 - _less(t.startswith('"') | t.startswith("'"), 0.15) + F.when(t.startswith("—") | t.startswith("- "), 0.05).otherwise(0.0))
+    t = target.lstrip(" \t\n\x0b\f\r")
+    return _clip(1.0 - (0.15 if t.startswith(('"', "'")) else 0.0) + (0.05 if t.startswith(("—", "- ")) else 0.0))
 
 
-def fluency() -> Column:
+def fluency(target: str) -> float:
     """A sentence that ends, and brackets that close."""
-    t = F.regexp_replace("target", r"^\s+|\s+$", "")
-    ends = reduce(lambda a, b: a | b, (t.endswith(x) for x in DANGLING))
-    count = lambda c: F.length("target") - F.length(F.translate("target", c, ""))
-    return F.when(t == "", 0.0).otherwise(clip(1.0 - _less(ends, 0.3) - _less(count("(") != count(")"), 0.2) - _less(count("[") != count("]"), 0.2)))
+    t = target.strip(" \t\n\x0b\f\r")
+    if not t:
+        return 0.0
+    return _clip(1.0 - (0.3 if t.endswith(DANGLING) else 0.0) - (0.2 if target.count("(") != target.count(")") else 0.0) - (0.2 if target.count("[") != target.count("]") else 0.0))
+
+
+def of_text(df: DataFrame) -> DataFrame:
+    """df (source, target) with the four criteria of the texts alone; each text is read once, and null where one is null."""
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf(OF_TEXT)
+    def run(source: pd.Series, target: pd.Series) -> pd.DataFrame:
+        none = (None,) * 4
+        rows = [none if s is None or t is None else (fidelity(s, t), naturalness(t), style(t), fluency(t)) for s, t in zip(source, target, strict=True)]
+        return pd.DataFrame(rows, columns=["fidelity", "naturalness", "style", "fluency"], dtype="float64")
+
+    return df.withColumn("_text", run("source", "target")).withColumns({c: F.col(f"_text.{c}") for c in ("fidelity", "naturalness", "style", "fluency")}).drop("_text")
 
 
 def score(candidates: DataFrame, terms: DataFrame, memory: DataFrame, names: DataFrame) -> DataFrame:
@@ -83,21 +102,20 @@ def score(candidates: DataFrame, terms: DataFrame, memory: DataFrame, names: Dat
     people = names.where(F.size(F.split(F.trim("name"), r"\s+")) > 1).select("doc_id", F.struct("name", parts.alias("parts")).alias("n")).groupBy("doc_id").agg(F.collect_set("n").alias("_people"))
     words = terms.select(F.explode(F.array("term", "target_term")).alias("w")).unionByName(memory.select(F.col("target_term").alias("w"))).select(F.lower("w").alias("term")).distinct()
     held = matching.find_terms(candidates, words.withColumn("k", F.lit(0)), "target", ("doc_id", "cand"), ("k",)).groupBy("doc_id", "cand").agg(F.collect_set("term").alias("_held"))
-    rows = candidates.join(held, ["doc_id", "cand"], "left")
-    for side in (wanted, unwanted, known, people):
+    low = F.lower("target")
+    present = lambda n: F.size(F.filter(n["parts"], lambda w: low.contains(w)))
+    named = candidates.select("doc_id", "cand", "target").join(people, "doc_id").select("doc_id", "cand", F.size(F.filter("_people", lambda n: (present(n) > 0) & (present(n) < F.size(n["parts"])))).alias("_partial"))
+    rows = of_text(candidates).join(held, ["doc_id", "cand"], "left").join(named, ["doc_id", "cand"], "left")
+    for side in (wanted, unwanted, known):
         rows = rows.join(side, "doc_id", "left")
     none = F.array().cast("array<string>")
     got = {c: F.coalesce(c, none) for c in ("_held", "_wanted", "_unwanted", "_memory")}
     rows = rows.withColumns(got)
-    low = F.lower("target")
-    present = lambda n: F.size(F.filter(n["parts"], lambda w: low.contains(w)))
-    partial = F.size(F.filter(F.coalesce("_people", F.array().cast(people.schema["_people"].dataType)), lambda n: (present(n) > 0) & (present(n) < F.size(n["parts"]))))
     rows = rows.withColumns(
         {
-            "fidelity": fidelity(), "naturalness": naturalness(), "style": style(), "fluency": fluency(),
             "terminology": clip(1.0 - 0.4 * F.size(F.array_except("_wanted", "_held")) - 0.35 * F.size(F.array_intersect("_unwanted", "_held"))),
             "consistency": clip(1.0 - 0.2 * F.size(F.array_except("_memory", "_held"))),
-            "character_score": clip(1.0 - 0.15 * partial),
+            "character_score": clip(1.0 - 0.15 * F.coalesce("_partial", F.lit(0))),
         }
     )
     final = reduce(lambda a, b: a + b, (F.lit(w) * F.col(k) for k, w in WEIGHTS.items()))
@@ -105,5 +123,6 @@ def score(candidates: DataFrame, terms: DataFrame, memory: DataFrame, names: Dat
 
 
 def rank(scored: DataFrame) -> DataFrame:
-    """scored with `rank` within the segment: the best score, then the shorter text, then the smaller number."""
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("final_score"), F.length("target"), "cand")))
+    """scored with `rank` within the segment: the best score, then the shorter text (column size, else target's length), then the smaller number."""
+    size = F.col("size") if "size" in scored.columns else F.length("target")
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("final_score"), size, "cand")))

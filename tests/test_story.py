@@ -38,3 +38,15 @@ def test_fact_compliance_reads_a_text_once(spark, tmp_path):
     began = time.time()
     assert [tuple(r) for r in QUERIES["fact_compliance"](spark, str(tmp_path)).collect()] == [("src0 roads", 12)]
     assert time.time() - began < 20
+
+
+def test_ranking_joins_no_sources(spark):
+    from lexloom.plans.translate import QUERIES
+
+    for name in ("rank_topk", "rank_weighted"):
+        todo, joins = [QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()], []
+        while todo:
+            plan = todo.pop()
+            joins += [plan.output().mkString(",")] if plan.nodeName() == "Join" else []
+            todo += [plan.children().apply(k) for k in range(plan.children().size())]
+        assert joins and not [j for j in joins if "source#" in j]
