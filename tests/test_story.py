@@ -50,3 +50,14 @@ def test_ranking_joins_no_sources(spark):
             joins += [plan.output().mkString(",")] if plan.nodeName() == "Join" else []
             todo += [plan.children().apply(k) for k in range(plan.children().size())]
         assert joins and not [j for j in joins if "source#" in j]
+
+
+def test_selected_candidate_ranks_without_texts(spark):
+    from lexloom.plans.translate import QUERIES
+
+    todo, windows = [QUERIES["selected_candidate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        plan = todo.pop()
+        windows += [plan.output().mkString(",")] if plan.nodeName() == "Window" else []
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    assert windows and not [w for w in windows if "target#" in w]
