@@ -127,3 +127,31 @@ def test_language_groups():
     texts = pa.array(["It was the best of days", "Der Hund ist nicht von mir und das ist gut", "les mots et le temps pour vous", "el perro y los gatos por la casa con su amo", "zzz", ""])
     _, data, bounds = next(iter(tx.tv.text_slices(texts)))
     assert [tx.GROUPS[g] for g in tx.tokens(data, bounds)[3]] == ["en", "de", "fr", "es", "other", "other"]
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    calm = [t for _, t, y in corpus(300, 5) if not y]
+    long = [" ".join(calm[(7 * k + j) % len(calm)] for j in range(90)) + " scumlord morondo" for k in range(40)]
+    assert min(map(len, long)) > 20_000
+    rows = [(k, t, 0) for k, t in enumerate(calm)] + [(1000 + k, t, 1) for k, t in enumerate(long)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    fitted, held = [], []
+    average, counts = tx._average, tx._held_counts
+    monkeypatch.setattr(tx, "_average", lambda state, moved: (fitted.append(sum(r["n"] for r in moved if r["block"] < 0)), average(state, moved)))
+    monkeypatch.setattr(tx, "_held_counts", lambda *a: (held.append(counts(*a)), held[-1])[1])
+    assert tx.train(docs, labels, F.lit(True)).trained
+    assert len(fitted) == tx.EPOCHS and {n + held[0][3].sum() for n in fitted} == {len(rows)}
+    assert (held[0][2] * held[0][3]).sum() > 0
+
+
+def test_shards_make_one_model(spark, monkeypatch):
+    rows = corpus(600, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(tx, "SHARD_ROWS", 150)
+    first, again = (tx.train(d, labels, F.col("doc_id") < 400) for d in (docs, docs.repartition(5)))
+    assert np.array_equal(first.embed, again.embed) and first.cuts == again.cuts
+    texts, y = pa.array([r[1] for r in rows[400:]]), np.array([r[2] for r in rows[400:]])
+    got = np.concatenate([first.scores(d, b) for _, d, b in tx.tv.text_slices(texts)])
+    assert ((got >= tx.THRESHOLD) == (y == 1)).mean() > 0.9
