@@ -100,6 +100,19 @@ def test_process_document_keeps_all_words(spark, tmp_path):
     assert process_document(spark, str(tmp_path)).first()["words_md5"] == md5(text.encode()).hexdigest()
 
 
+def test_process_document_on_odd_characters(spark, tmp_path):
+    import duckdb
+
+    from lexloom.plans.files import ORACLES, process_document
+
+    texts = ["one\x01two. Three", "a\x0bb. \x0bC! 4", "x.\x0b\x0bY", "\x01", "\x0b. A", "", " ", None, "q\x02r. S\x00t", "u\x85v.\x85W \u2028 X. \u3000Y", "e.\" F' g.) H. i"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["process_document"]).fetchall())
+    assert sorted((r.doc_id, r.words_md5) for r in process_document(spark, str(tmp_path)).collect()) == want
+
+
 def test_dictionary_join_both_ways(spark):
     df = spark.createDataFrame([(1, "The old House, by Baker Street"), (2, "housing"), (3, None), (4, "house house"), (5, "5 $ a$")], "doc_id long, source string")
     terms = spark.createDataFrame([("house",), ("Baker Street",), ("street",), ("$",)], "term string")
