@@ -61,3 +61,29 @@ def test_selected_candidate_ranks_without_texts(spark):
         windows += [plan.output().mkString(",")] if plan.nodeName() == "Window" else []
         todo += [plan.children().apply(k) for k in range(plan.children().size())]
     assert windows and not [w for w in windows if "target#" in w]
+
+
+def test_ranking_joins_no_targets(spark):
+    from lexloom.plans.translate import QUERIES
+
+    todo, joins, passes = [QUERIES["rank_weighted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()], [], 0
+    while todo:
+        plan = todo.pop()
+        joins += [plan.output().mkString(",")] if plan.nodeName() == "Join" else []
+        passes += plan.nodeName() in ("ArrowEvalPython", "MapInArrow")
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    assert joins and not [j for j in joins if "target#" in j] and passes == 1
+
+
+def test_ranking_of_large_dictionaries_is_the_same(spark, monkeypatch):
+    from lexloom.operators import matching, ranking
+
+    texts = ["Ann Lee saw 12 roads and the house", "ann saw the casa casa", "", "1a 12\u2003b 3 the, LEE", "x\x1cx x x y x y"]
+    rows = spark.createDataFrame([(k, c, s, t) for k, s in enumerate(texts) for c, t in enumerate(texts)], "doc_id long, cand int, source string, target string")
+    terms = spark.createDataFrame([(0, "house", "casa"), (1, "saw", "viu")], "doc_id long, term string, target_term string")
+    memory = spark.createDataFrame([(0, "the house"), (3, "lee")], "doc_id long, target_term string")
+    names = spark.createDataFrame([(0, "Ann Lee"), (1, "Ann Lee")], "doc_id long, name string")
+    first = sorted(map(tuple, ranking.score(rows, terms, memory, names).collect()))
+    monkeypatch.setattr(matching, "MOST_BYTES", 1)
+    assert first == sorted(map(tuple, ranking.score(rows, terms, memory, names).collect()))
+    assert len({r[-1] for r in first}) > 5 and {r[8] for r in first} == {0.85, 1.0}
