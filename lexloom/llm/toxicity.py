@@ -8,8 +8,9 @@ Thresholds are calibrated by language. The language is a guess from the text's o
 an input, neither of a score nor of a cut); for each, the raw score that separates the rows kept from fitting best is moved to THRESHOLD,
 by a shift of the logit, so one cut holds for all and scores stay ordered within a language.
 
-Fitting takes every usable labelled row with its whole text. The rows are dealt to shards by a hash of id and text; in each of EPOCHS
-rounds every shard goes once through its rows from the same weights, on the executors, and the results are averaged: dense
+Fitting takes every usable labelled row with its whole text. A Bloom filter of the labels' ids drops most other rows where they lie,
+and the labels come to the rows' ids, so texts are moved once, as buckets of 4 bytes a word, at any size: rows are dealt to shards by a hash
+of id and text, and what the filter let through without a label goes there. In each of EPOCHS rounds every shard goes once through its rows from the same weights, on the executors, and the results are averaged: dense
 weights over all shards, an embedding over the shards that moved it. One row in HELD, by a hash of its text, is kept from fitting; the cuts
 come from counts of all of these, by steps of 1 / STEPS of a logit. The driver holds weights and counts, no texts, and nothing
 depends on how the tables are stored. Scoring reads whole texts. Cases: null and empty texts have no words and get a score
@@ -28,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ THRESHOLD = 0.7
 SHARD_ROWS = 4000
 SHARD_WORDS = 8_000_000
 HELD = 5
+FILTER_BITS = 1 << 28
 STEPS = 256
 BUCKETS = 1 << 15
 DIM = 12
@@ -330,18 +333,28 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, text_col: str =
     """A model of all labelled rows. usable: a condition on labels' rows."""
     spark = docs.sparkSession
     ship_package(spark)
-    known = labels.where(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(known, "id")
-    rows = rows.select(F.xxhash64(F.col("id").cast("string"), "text").alias("h"), (F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0).alias("held"), "y", "text")
-    rows, rows_at = materialise(rows.mapInArrow(_tokenised, "h long, held boolean, y int, lang int, n long, word binary, prefix binary"), "toxicity_rows")
-    n, words, hit, n_fit, hit_fit = rows.agg(F.count("*"), F.sum("n"), F.sum("y"), F.count(F.when(~F.col("held"), 1)), F.sum(F.when(~F.col("held"), F.col("y")))).first()
+    kind = docs.schema[id_col].dataType
+    known = labels.where(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).try_cast(kind).alias("id"), F.col(label_col).cast("int").alias("y"))
+    known, known_at = materialise(known.where("id IS NOT NULL").groupBy("id").agg(F.max("y").alias("y")), "toxicity_labels")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = rows.select("id", F.xxhash64("id").alias("key"), F.xxhash64(F.col("id").cast("string"), "text").alias("h"), (F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0).alias("held"), "text")
+    sent = spark.sparkContext.broadcast(_id_filter(known))
+    schema = rows.select("id", "h", "held", *(F.lit(None).cast(t).alias(c) for c, t in (("lang", "int"), ("n", "long"), ("word", "binary"), ("prefix", "binary")))).schema
+    rows, rows_at = materialise(rows.mapInArrow(lambda batches: _tokenised(batches, sent.value), schema), "toxicity_rows")
+    sent.destroy()
+    labelled, labelled_at = materialise(rows.select("id", "h", "held", "n").join(known, "id"), "toxicity_labelled")
+    remove(spark, known_at)
+    n, words, hit, n_fit, hit_fit = labelled.agg(F.count("*"), F.sum("n"), F.sum("y"), F.count(F.when(~F.col("held"), 1)), F.sum(F.when(~F.col("held"), F.col("y")))).first()
     if n < 10 or hit in (0, n):
         remove(spark, rows_at)
+        remove(spark, labelled_at)
         return Model(np.zeros((1, DIM)), [], np.zeros(0), np.zeros(0), 0.0, trained=False)
     count = max(1, -(-n // SHARD_ROWS), -(-words // SHARD_WORDS))
-    dealt = rows.withColumn("shard", F.pmod("h", F.lit(count)).cast("int")).repartition(2 * count, "shard")
-    shards, shards_at = materialise(dealt.groupBy("shard").applyInArrow(_packed, _SHARD), "toxicity_shards")
+    shard = F.pmod("h", F.lit(count)).cast("int").alias("shard")
+    dealt, marks = (x.repartitionById(count, "shard").groupBy("shard") for x in (rows.select("*", shard), labelled.select("id", "y", shard)))
+    shards, shards_at = materialise(dealt.cogroup(marks).applyInArrow(_packed, _SHARD), "toxicity_shards")
     remove(spark, rows_at)
+    remove(spark, labelled_at)
     state = _new_state(7)
     for k in range(EPOCHS):
         _average(state, _round(shards, state, (hit_fit or 0) / max(1, n_fit), k))
@@ -354,24 +367,47 @@ _SHARD = "shard int, held binary, y binary, lang binary, n binary, word binary,
 _MOVED = "block int, shard int, n long, t long, ids binary, moved binary"
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A text's words as buckets of 16 bits."""
+def _id_filter(known: DataFrame) -> np.ndarray:
+    """Words of a Bloom filter of ids: two bits an id, about 16 bits an id or more up to FILTER_BITS in all; a denser one lets more rows through."""
+    bits = min(FILTER_BITS, max(64, 1 << (16 * known.count()).bit_length()))
+    key = F.xxhash64("id")
+    places = known.select(F.explode(F.array(*(k.bitwiseAND(F.lit(bits - 1)) for k in (key, F.shiftrightunsigned(key, 32))))).alias("at"))
+    found = places.groupBy(F.expr("CAST(at DIV 64 AS INT)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where a filter may hold the id of such a hash; true for all ids it was made from."""
+    own = keys.view(np.uint64)
+    ok = np.ones(own.size, dtype=bool)
+    for k in (own, own >> np.uint64(32)):
+        at = k & np.uint64(words.size * 64 - 1)
+        ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The words, as buckets of 16 bits, of the texts whose id the filter may hold."""
     for batch in batches:
+        batch = batch.filter(pa.array(_may_hold(ids, batch.column("key").to_numpy())))
         for first, data, bounds in tv.text_slices(batch.column("text")):
             word, prefix, begin, lang = tokens(data, bounds)
             part = batch.slice(first, begin.size)
             edges = np.append(begin, word.size)
             counts = np.diff(edges) - _PAD
             cells = [[x[a : a + n].astype("<u2").tobytes() for a, n in zip(begin, counts, strict=True)] for x in (word, prefix - BUCKETS)]
-            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("held"), part.column("y"), pa.array(lang.astype(np.int32)), pa.array(counts.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cells)], names=["h", "held", "y", "lang", "n", "word", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "h", "held")), pa.array(lang.astype(np.int32)), pa.array(counts.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cells)], names=["id", "h", "held", "lang", "n", "word", "prefix"])
 
 
-def _packed(rows: pa.Table) -> pa.Table:
-    """A shard as one row, in an order that does not depend on how its rows came."""
-    rows = rows.sort_by([("h", "ascending"), ("n", "ascending"), ("y", "ascending")])
+def _packed(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """A shard's labelled rows as one row, in an order that does not depend on how they came. known: (id, y) of these."""
+    at = pc.index_in(rows.column("id"), value_set=known.column("id").combine_chunks())
+    rows = rows.append_column("y", known.column("y").take(at)).filter(pc.is_valid(at)).sort_by([("h", "ascending"), ("n", "ascending"), ("y", "ascending")])
     numbers = [rows.column(c).to_numpy().astype(t).tobytes() for c, t in (("held", "u1"), ("y", "u1"), ("lang", "u1"), ("n", "<i8"))]
     cells = [b"".join(rows.column(c).to_pylist()) for c in ("word", "prefix")]
-    return pa.table([pa.array([rows.column("shard")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in (*numbers, *cells))], names=["shard", "held", "y", "lang", "n", "word", "prefix"])
+    return pa.table([rows.column("shard").slice(0, 1), *(pa.array([x] * min(1, rows.num_rows), pa.binary()) for x in (*numbers, *cells))], names=["shard", "held", "y", "lang", "n", "word", "prefix"])
 
 
 def _unpacked(shard: dict, held: bool) -> tuple[list, np.ndarray, np.ndarray]:

@@ -155,3 +155,44 @@ def test_shards_make_one_model(spark, monkeypatch):
     texts, y = pa.array([r[1] for r in rows[400:]]), np.array([r[2] for r in rows[400:]])
     got = np.concatenate([first.scores(d, b) for _, d, b in tx.tv.text_slices(texts)])
     assert ((got >= tx.THRESHOLD) == (y == 1)).mean() > 0.9
+
+
+def test_texts_without_a_label_stay_where_they_lie(spark, monkeypatch):
+    rows = corpus(600, 4)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 10 == 0], "doc_id long, toxic int")
+    seen, write = {}, tx.materialise
+    monkeypatch.setattr(tx, "materialise", lambda df, name: (seen.setdefault(name, (df._jdf.queryExecution().executedPlan().toString(), df.count())), write(df, name))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tx.train(docs, labels, F.lit(True))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in seen["toxicity_rows"][0] and "Join" not in seen["toxicity_rows"][0]
+    assert 60 <= seen["toxicity_rows"][1] < 90
+    assert seen["toxicity_shards"][0].count("Exchange") == 2  # the rows and their labels
+
+
+def test_filter_holds_every_id(spark):
+    known = spark.range(0, 40_000, 4)
+    words = tx._id_filter(known)
+    keys = spark.range(0, 40_000).select((F.col("id") % 4 == 0).alias("own"), F.xxhash64("id").alias("key")).toArrow()
+    own, found = keys.column("own").to_numpy(), tx._may_hold(words, keys.column("key").to_numpy())
+    assert found[own].all() and found[~own].mean() < 0.03
+    assert not tx._may_hold(tx._id_filter(known.limit(0)), keys.column("key").to_numpy()).any()
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_filter_does_not_move_the_model(spark, monkeypatch, kind):
+    rows = corpus(300, 6)
+    docs = spark.createDataFrame([(i // 2, t) for i, t, _ in rows] + [(None, "scumlord"), (7000, "plain")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i // 2, y) for i, _, y in rows if i < 200] + [(None, 1), (8000, 1)], "doc_id long, toxic int")
+    fitted, average = [], tx._average
+    monkeypatch.setattr(tx, "_average", lambda state, moved: (fitted.append(sum(r["n"] for r in moved if r["block"] < 0)), average(state, moved)))
+    monkeypatch.setattr(tx, "SHARD_ROWS", 60)
+    sharp = tx.train(docs, labels.withColumn("doc_id", F.col("doc_id").cast(kind)), F.lit(True))
+    monkeypatch.setattr(tx, "FILTER_BITS", 64)  # lets every row through
+    blunt = tx.train(docs, labels, F.lit(True))
+    assert np.array_equal(sharp.embed, blunt.embed) and sharp.cuts == blunt.cuts and sharp.trained
+    assert len(set(fitted)) == 1 and 100 < fitted[0] < 200
