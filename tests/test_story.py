@@ -40,6 +40,64 @@ def test_fact_compliance_reads_a_text_once(spark, tmp_path):
     assert time.time() - began < 20
 
 
+def plainly_stated(statement, text):
+    """The restricted words of a statement that a text states, in order, by plain patterns."""
+    import re
+
+    low, text = statement.lower(), text.lower()
+    if not re.search("não|proibido|nunca|cannot|never|impossível", low):
+        return []
+    idle = "não pode deve proibido nunca cannot never impossível regra universo fora para sobre".split()
+    there = [w for w in re.findall(r"\w{4,}", low) if w not in idle and re.search(rf"\b{w}\b", text)]
+    return [w for w in there if not re.search(rf"\b(não|nunca|jamais|proibido|impossível de|not|never|no)\s+(\w+\s+)?{w}\b", text)]
+
+
+def odd_texts(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    parts = ["house", "road", "roads", "src0", "HOUSE", "sea_1", "não", "nunca", "impossível de", "de", "not", "never", "no", "No", "knot", "a", "old", "é", ".", ",", "\n", " ", "\xa0", "-", "\x1c", "\x0b"]
+    return ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", "", "  "]) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+def test_fact_compliance_looks_for_negation_near_the_word(spark, tmp_path):
+    import oracle
+    from lexloom.plans import fixtures
+    from lexloom.plans.story import ORACLES, QUERIES
+
+    kinds = ["src0", "SEA_1, nunca", "roads", "old", None]
+    texts = ["He never came. A road to the house.", "no old house, no very old road", "not a big house", "road\nno house", "no road. road", None, *odd_texts(594, 7)]
+    for name, step, first in (("locked", 1, 0), ("free", 5, 3)):  # in the second no fact is locked, so all of them count
+        rows = [(first + step * k, t, kinds[k % 5]) for k, t in enumerate(texts)]
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).write.parquet(folder + "/documents.parquet")
+        facts = [(s, f"{'never' if i % 3 == 0 else 'always'} {s} house road") for i, _, s in rows if s and (step == 5 or i % 5 == 0)]
+        whole = [f"{fixtures.PAIRS[i % 20][0]}\n{t}" for i, t, _ in rows if t is not None]
+        each, want = {s: sum(len(plainly_stated(s, t)) for t in whole) for _, s in facts}, {}
+        for category, statement in facts:
+            if each[statement]:
+                want[category] = want.get(category, 0) + each[statement]
+        got = QUERIES["fact_compliance"](spark, folder)
+        assert {r.category: r.n for r in got.collect()} == want and want
+        import duckdb
+
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+        assert oracle.compare(spark, con, "fact_compliance", QUERIES["fact_compliance"], ORACLES["fact_compliance"], folder) is None
+
+
+def test_violations_give_the_first_word_of_each_fact(spark):
+    statements = ["Never a road to the House", "cannot sea_1 house", "road house", "não pode para fora", None, "Nunca roads, src0"]
+    texts = list(enumerate(["the house has a road", "no house. A road", "no road, no old house", "no very old house", "", None, *odd_texts(300, 11)]))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for flags in ((True, False, True, None, False, True), (False, False, None, False, False, None)):
+        facts = [(k, s, b) for k, (s, b) in enumerate(zip(statements, flags))]
+        chosen = [f for f in facts if f[2]] or facts
+        want = {(k, i): plainly_stated(s, t)[0] for k, s, _ in chosen for i, t in texts if s and t and plainly_stated(s, t)}
+        got = story.violations(spark.createDataFrame(facts, "fact_id long, statement string, locked boolean"), docs).collect()
+        assert {(r.fact_id, r.doc_id): r.word for r in got} == want and len(got) == len(want) > 100
+
+
 def test_ranking_joins_no_sources(spark):
     from lexloom.plans.translate import QUERIES
 
